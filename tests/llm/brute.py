@@ -73,3 +73,32 @@ def corpus(seed=0, n=60, vocabulary=40):
         words_of[len(words_of) // 2 :: 37] = ["changed"] * len(words_of[len(words_of) // 2 :: 37])
         rows.append((1000 + k, " ".join(words_of)))
     return rows
+
+
+ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def ascii_lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def op6(rows, items, window=13):
+    windows = {}
+    for item, text in items:
+        words = ALNUM.findall(ascii_lower(text or ""))
+        size = min(window, len(words))
+        for i in range(len(words) - size + 1 if size else 0):
+            windows.setdefault(tuple(words[i : i + size]), set()).add(str(item))
+    sizes = {len(w) for w in windows}
+    out = {}
+    for doc_id, text in rows:
+        words = ALNUM.findall(ascii_lower(text or ""))
+        hit, found = set(), set()
+        for size in sizes:
+            for i in range(len(words) - size + 1):
+                key = tuple(words[i : i + size])
+                if key in windows:
+                    hit.update(range(i, i + size))
+                    found |= windows[key]
+        out[doc_id] = (len(words), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(words))
+    return out
