@@ -41,6 +41,33 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", ids_digest("item_ids").alias("items_sha256"), "contaminated")
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is the payload of a page that refers to it once."""
+    from . import media as M
+    from .common import Scratch
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+    images = Scratch(spark, "media").write(M.stored(docs), "images")
+    n_bytes = F.octet_length("payload").cast("long")
+    blocks = F.greatest(F.lit(1), F.ceil(n_bytes / M.BLOCK)) * M.BLOCK - n_bytes
+    digest = F.sha2(F.concat("payload", F.unhex(F.repeat(F.lit("FF"), blocks.cast("int")))), 256)
+    html = F.concat(
+        F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), n_bytes.cast("string"), F.lit("</figcaption></figure>")
+    )
+    items = M.resolved(M.interleaved(docs.select("doc_id", html.alias("html")), "doc_id"), M.measured(images))
+    return items.select(
+        F.col("page").alias("doc_id"),
+        F.col("caption").cast("long").alias("n_bytes"),
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        "feature",
+        "pos",
+    )
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import suffix_dedup
 
@@ -59,6 +86,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_media_columns": op7_media_columns,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
