@@ -212,8 +212,9 @@ class Coder:
 
     def decode_chunks(self, chunks: list[bytes]) -> str:
         shown = self.shown
-        for c in {*chunks} - shown.keys():
-            shown[c] = self.decode(c)
+        for c in {*chunks}:
+            if c not in shown:
+                shown[c] = self.decode(c)
         return " ".join([shown[c] for c in chunks if c])
 
 
