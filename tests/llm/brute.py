@@ -102,3 +102,44 @@ def op6(rows, items, window=13):
                     found |= windows[key]
         out[doc_id] = (len(words), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(words))
     return out
+
+
+def op8(rows, n=5, threshold=0.8):
+    """(class_id, n_links, n_text_links, copy_of) of each doc_id; ids are not null here."""
+    sets = {}
+    for d, t in rows:
+        w = WORD.findall(t or "")
+        sets[d] = frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else None
+    ids = sorted(sets)
+    link = {d: set() for d in ids}
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and len(x & y) >= threshold * len(x | y):
+                link[a].add(b)
+                link[b].add(a)
+    out = {}
+    for d in ids:
+        seen, stack = {d}, [d]
+        while stack:
+            for e in link[stack.pop()] - seen:
+                seen.add(e)
+                stack.append(e)
+        copies = [e for e in ids if sets[e] == sets[d] and sets[d]] or [d]
+        out[d] = (min(seen), len(link[d]), len({sets[e] for e in link[d]} - {sets[d]}), min(copies))
+    return out
+
+
+def near_corpus(seed=0):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    rows, k = [], 0
+    for base in range(25):
+        body = [r.choice(words) for _ in range(r.choice([1, 3, 5, 8, 40, 150, 400]))]
+        for copy in range(r.choice([1, 1, 2, 5, 30 if base % 9 == 0 else 3])):
+            text = list(body)
+            for _ in range(r.choice([0, 0, 1, 2, len(body) // 60, len(body) // 20])):
+                text[r.randrange(len(text))] = r.choice(words)
+            k += r.randint(1, 3)
+            rows.append((k, " ".join(text) if copy % 2 else "\n".join(text)))
+    return [*rows, (100_000, None), (100_001, ""), (100_002, " \n")]
