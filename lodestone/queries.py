@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import boards, tables  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
