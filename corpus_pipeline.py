@@ -1,12 +1,80 @@
-"""A corpus pipeline of five of the operators; see STAGES."""
+"""A corpus pipeline of five operators: toxic documents go, repeated lines go, one document of each
+group of near-duplicates stays, contaminated documents go, and the rest is encoded and decoded.
+
+Each stage reads all that the one before it kept, which is written as Parquet between them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm.bpe import bpe_round_trip
+from lodestone.llm.common import Scratch, table
+from lodestone.llm.decontaminate import contamination, is_contaminated
+from lodestone.llm.jaccard_join import jaccard_join
+from lodestone.llm.line_dedup import line_dedup
+from lodestone.llm.quality import held_out, label_table
+from lodestone.llm.queries import tokenizer_path
+from lodestone.llm.toxicity import ToxicityModel
+from lodestone.llm.windows import NULL_ID
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under one half stay."""
+    labelled = label_table(table(spark, sf_dir, "labels"), "toxic").where(~held_out(F.col("doc_id")))
+    text = F.coalesce("text", F.lit(""))
+    model = ToxicityModel().fit(docs.select("doc_id", text.alias("text")), labelled)
+    scored = model.score(docs, name="__toxicity") if model.fitted else docs.withColumn("__toxicity", F.lit(0.0))
+    return scored.where(F.col("__toxicity") < 0.5).select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the lines that an earlier document has; no document goes."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    out = line_dedup(docs, carry=others)
+    made = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return out.select(*[made.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The leading document of each class stays, once if its row is repeated; documents without
+    words all stay."""
+    found = jaccard_join(docs).where("leads")
+    stays = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.col("th").alias("__th")).distinct()
+    keyed = docs.withColumns(
+        {"__id": F.coalesce("doc_id", F.lit(NULL_ID)), "__th": F.xxhash64("doc_id", F.coalesce("text", F.lit("")))}
+    ).join(stays, ["__id", "__th"], "left_semi")
+    words = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    once = keyed.where(words).dropDuplicates(["__id", "__th"])
+    return once.unionByName(keyed.where(~words)).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated stay whole."""
+    found = contamination(table(spark, sf_dir, "benchmark"))
+    marked = docs.withColumn("__found", found(F.coalesce("text", F.lit(""))))
+    return marked.where(~is_contaminated(F.col("__found"))).select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding and decoding", encoding),
+]
 
-STAGES: list = []
+#: No SQL expresses the classifier; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
+    return docs

@@ -290,35 +290,14 @@ def load_benchmark(items: DataFrame, window: int, id_col: str = "item_id", text_
     return [*shards, Benchmark(held, window)]
 
 
-def decontaminate(
-    docs: DataFrame,
-    items: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    window: int = 13,
-    min_share: int = 20,
-    with_kept: bool = False,
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, item_ids, contaminated, and
-    with ``with_kept`` the text without its hit words.
+FOUND = "struct<n_words:long,n_hit:long,item_ids:array<string>,kept:string>"
 
-    Words are ASCII lower-cased. A window is ``window`` consecutive words of an item, or all words
-    of a shorter one; a document word inside an occurrence of a window is hit. A document is
-    contaminated if it has hits, and at least one word in ``min_share`` is hit. Null and empty texts
-    have no words; repeated rows and null ids stay; empty tables give an empty result, or no hits.
-    Repeated items are found together; further columns are not read.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load_benchmark(items, window))
-    fields = [
-        pa.field("doc_id", pa.int64()),
-        pa.field("n_words", pa.int64()),
-        pa.field("n_hit", pa.int64()),
-        pa.field("item_ids", pa.list_(pa.string())),
-        *([pa.field("kept", pa.string())] if with_kept else []),
-    ]
-
-    def one(keys: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+
+def contamination(items: DataFrame, window: int = 13, with_kept: bool = False):
+    """A function of a text column that yields the struct FOUND; kept is null without ``with_kept``."""
+    shared = items.sparkSession.sparkContext.broadcast(load_benchmark(items, window))
+
+    def one(data: np.ndarray, offsets: np.ndarray) -> pa.StructArray:
         # texts are joined with a blank between, so that no word crosses two of them
         sizes = np.diff(offsets).astype(np.int64)
         n = len(sizes)
@@ -334,38 +313,65 @@ def decontaminate(
             hit |= more
             for d, i in zip(at.tolist(), item.tolist(), strict=True):
                 found[d].add(benchmark.ids[i])
-        columns = [
-            keys,
-            pa.array(np.bincount(doc, minlength=n)),
-            pa.array(np.bincount(doc[hit], minlength=n)),
-            pa.array([sorted(x) for x in found], pa.list_(pa.string())),
-        ]
+        kept: list[str | None] = [None] * n
         if with_kept:
             gone = np.zeros(len(joined) + 1, np.int8)
             np.add.at(gone, start[hit], 1)
             np.subtract.at(gone, end[hit], 1)
             keep = np.cumsum(gone[:-1]) == 0
-            columns.append(pa.array([joined[b : b + s][keep[b : b + s]].tobytes().decode() for b, s in zip(begin, sizes, strict=True)], pa.string()))
-        return pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, offsets = W.text_bytes(batch.column(1))
+            kept = [joined[b : b + s][keep[b : b + s]].tobytes().decode() for b, s in zip(begin, sizes, strict=True)]
+        columns = [
+            pa.array(np.bincount(doc, minlength=n)),
+            pa.array(np.bincount(doc[hit], minlength=n)),
+            pa.array([sorted(x) for x in found], pa.list_(pa.string())),
+            pa.array(kept, pa.string()),
+        ]
+        return pa.StructArray.from_arrays(columns, names=["n_words", "n_hit", "item_ids", "kept"])
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            data, offsets = W.text_bytes(column)
             part = (offsets[1:] - offsets[0]).astype(np.int64) // (4 * BATCH_WORDS)
-            edges = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                yield one(batch.column(0).slice(a, b - a), data, offsets[a : b + 1])
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(column)]
+            parts = [one(data, offsets[a : b + 1]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.concat_arrays(parts)
+
+    return F.arrow_udf(run, FOUND, F.ArrowUDFType.SCALAR_ITER)
+
+
+def is_contaminated(found, min_share: int = 20):
+    return (found["n_hit"] > 0) & (min_share * found["n_hit"] >= found["n_words"])
+
+
+def decontaminate(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = 13,
+    min_share: int = 20,
+    with_kept: bool = False,
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, item_ids, contaminated, and
+    with ``with_kept`` the text without its hit words.
 
+    Words are ASCII lower-cased. A window is ``window`` consecutive words of an item, or all words
+    of a shorter one; a document word inside an occurrence of a window is hit. A document is
+    contaminated if it has hits, and at least one word in ``min_share`` is hit. Null and empty texts
+    have no words; repeated rows and null ids stay; empty tables give an empty result, or no hits.
+    Repeated items are found together; further columns are not read.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    schema = "doc_id long, n_words long, n_hit long, item_ids array<string>" + (", kept string" if with_kept else "")
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, schema)
-    return out.withColumns(
-        {
-            "n_items": F.size("item_ids").cast("long"),
-            "contaminated": (F.col("n_hit") > 0) & (min_share * F.col("n_hit") >= F.col("n_words")),
-        }
+    found = contamination(items, window, with_kept)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), found(text).alias("x"))
+    return rows.select(
+        "doc_id",
+        "x.n_words",
+        "x.n_hit",
+        F.size("x.item_ids").cast("long").alias("n_items"),
+        "x.item_ids",
+        is_contaminated(F.col("x"), min_share).alias("contaminated"),
+        *(["x.kept"] if with_kept else []),
     )
 
 

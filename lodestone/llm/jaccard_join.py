@@ -302,13 +302,14 @@ def verified_links(members: DataFrame, how: Join, n: int) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Join = Join()) -> DataFrame:  # noqa: B008
-    """One row per row of ``docs``: doc_id, class_id, n_links, n_text_links, copy_of.
+    """One row per row of ``docs``: doc_id, th, class_id, n_links, n_text_links, copy_of, leads.
 
     Two documents are linked if the Jaccard similarity of their sets of shingles of ``how.words``
     words is at least ``how.threshold``; a text of fewer words is one shingle. class_id is the least
     doc_id among all that links tie together, n_links the number of other rows linked to the row,
-    copies included, n_text_links the number of different sets of shingles linked, and copy_of the
-    least doc_id with the same shingles.
+    copies included, n_text_links the number of different sets of shingles linked, copy_of the least
+    doc_id with the same shingles, and leads tells the document of each class that may stay for all.
+    th is a hash of id and text, which with the id tells rows apart.
 
     Words are runs of characters other than ASCII white space, unchanged. Null and empty texts have
     no shingles: each is a class of its own without links. Repeated rows are copies of each other; a
@@ -327,9 +328,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     members = scratch.write(memberships(bands(sigs, how, n), how, n), "members")
     # candidates' signatures: of copies the one that leads
-    leads = classes.select("c", F.col("lead.doc_id").alias("doc_id"), F.col("lead.th").alias("th"))
-    same = sigs["c"].eqNullSafe(leads["c"]) & sigs["doc_id"].eqNullSafe(leads["doc_id"]) & (sigs["th"] == leads["th"])
-    one_each = sigs.join(leads, same, "left_semi").dropDuplicates(["c"])
+    firsts = classes.select("c", F.col("lead.doc_id").alias("doc_id"), F.col("lead.th").alias("th"))
+    same = (sigs["c"] == firsts["c"]) & sigs["doc_id"].eqNullSafe(firsts["doc_id"]) & (sigs["th"] == firsts["th"])
+    one_each = sigs.join(firsts, same, "left_semi").dropDuplicates(["c"])
     edges = candidate_edges(with_signatures(one_each, members, how, n), how)
     groups = components(scratch.write(edges, "edges"), scratch, "candidates")
     # members are dealt into parts by their hash; each pair of parts is verified on its own
@@ -341,26 +342,32 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tied = components(links.where("v is not null").select(F.col("c").alias("u"), "v"), scratch, "classes-tied")
     counts = links.where("v is null").groupBy("c").agg(F.sum("texts").alias("texts"), F.sum("rows").alias("rows"))
     named = classes.join(tied, classes["c"] == tied["node"], "left").select(
-        "c", "weight", F.col("lead.doc_id").alias("copy_of"), F.coalesce("component", "c").alias("component")
+        "c", "weight", "lead", F.coalesce("component", "c").alias("component")
+    )
+    names = named.groupBy("component").agg(
+        F.coalesce(F.min(F.when(F.col("lead.doc_id").isNotNull(), F.col("lead"))), F.min("lead")).alias("first")
     )
-    names = named.groupBy("component").agg(F.min("copy_of").alias("class_id"))
     per_class = scratch.write(
         named.join(names, "component")
         .join(counts, "c", "left")
         .select(
             "c",
-            "class_id",
-            "copy_of",
+            F.col("first.doc_id").alias("class_id"),
+            F.col("first.th").alias("class_th"),
+            F.col("lead.doc_id").alias("copy_of"),
             (F.col("weight") - 1 + F.coalesce("rows", F.lit(0))).alias("n_links"),
             F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
         ),
         "per-class",
     )
-    out = sigs.select("doc_id", "c").join(per_class, "c", "left")
+    out = sigs.select("doc_id", "th", "c").join(per_class, "c", "left")
+    leads = F.col("c").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th")))
     return out.select(
         "doc_id",
+        "th",
         F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"),
         F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
+        leads.alias("leads"),
     )

@@ -91,8 +91,11 @@ def apply_bitmap(lines: Column, bitmap: Column) -> Column:
     return F.when(bitmap.isNull(), lines).otherwise(start)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_text, bitmap.
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, carry: list[str] | None = None
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_text, bitmap; with ``carry``
+    also a struct ``row`` of those columns.
 
     A key of at least ``min_chars`` code points that occurs in several documents loses its lines
     everywhere but in the document with the smallest id. Null and empty texts are one empty line. A
@@ -102,7 +105,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     n = partitions(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn(
+    carried = [F.struct(*carry).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *carried).withColumn(
         "th", F.xxhash64("doc_id", "text")
     )
     lines = Scratch(spark, "line-dedup").write(line_hashes(rows, min_chars), "lines")
@@ -115,4 +119,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("b.n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         F.array_join(apply_bitmap(split, F.col("b.bitmap")), "\n").alias("kept_text"),
         F.col("b.bitmap").alias("bitmap"),
+        *([F.col("d.row").alias("row")] if carry else []),
     )

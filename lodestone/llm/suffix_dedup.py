@@ -190,7 +190,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read. What is kept of a text need not be valid UTF-8: a span may end inside a character.
     """
     spark = docs.sparkSession
-    unit = W.Unit(window=window, gram=min(16, window), words=False, within=False)
+    unit = W.Unit(window=window, gram=min(24, window), words=False, within=False)
     rows, n = keyed(docs, id_col, text_col), 2 * partitions(spark)
     found = Scratch(spark, "suffix-dedup").write(W.match(W.cut(rows, unit, n), unit, n, keep_runs=False), "found")
     passages = W.together(rows, found.where(F.col("kind") == W.OPEN), n, fetch_bytes(unit), W.OUT_SQL)

@@ -310,10 +310,10 @@ class ToxicityModel:
             self.fitted = train([bytes(r["raw"]) for r in rows], y, count.get(1.0, 0) / total, self.how)
         return self
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with a column score; its columns doc_id and text are read."""
+    def score(self, docs: DataFrame, text_col: str = "text", name: str = "score") -> DataFrame:
+        """``docs`` with a column of scores; of its columns the text is read."""
         if self.fitted is None:
-            return docs.withColumn("score", F.lit(0.5))
+            return docs.withColumn(name, F.lit(0.5))
         net, slope, place = self.fitted
         shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -331,7 +331,7 @@ class ToxicityModel:
                 yield pa.array(out)
 
         score = F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)
-        return docs.withColumn("score", score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        return docs.withColumn(name, score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def toxicity_scores(

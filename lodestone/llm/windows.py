@@ -117,7 +117,7 @@ BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 WORDS = Unit(window=20, gram=8, words=True, within=True)
-BYTES = Unit(window=50, gram=16, words=False, within=False)
+BYTES = Unit(window=50, gram=24, words=False, within=False)
 
 
 def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +147,11 @@ def runs_of(tokens: np.ndarray, piece: np.ndarray, unit: Unit) -> tuple[np.ndarr
     if len(tokens) < w:
         return (np.zeros(0, U64),) * 2 + (np.zeros(0, np.int64),) * 2
     gram, width = tokens, 1
-    while width < k:
+    while 2 * width <= k:
         gram = gram[:-width] * BASE2 + gram[width:]
         width *= 2
+    if width < k:
+        gram = gram[: width - k] * BASE2 + gram[k - width :]
     gram = mix(gram)
     least = (gram & ~PLACE) | (PLACE - np.arange(len(gram), dtype=U64))
     width = 1
