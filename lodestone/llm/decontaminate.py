@@ -336,7 +336,7 @@ def contamination(items: DataFrame, window: int = 13, with_kept: bool = False):
             parts = [one(data, offsets[a : b + 1]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.concat_arrays(parts)
 
-    return F.arrow_udf(run, FOUND, F.ArrowUDFType.SCALAR_ITER)
+    return F.arrow_udf(run, FOUND)
 
 
 def is_contaminated(found, min_share: int = 20):

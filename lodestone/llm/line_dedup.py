@@ -34,7 +34,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
             x["pos"].alias("pos"), F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit("second"), x["key"]).alias("h2")
         ),
     )
-    return docs.select("doc_id", "th", F.explode(hashed).alias("x")).select("doc_id", "th", "x.pos", "x.h1", "x.h2")
+    return docs.where("doc_id is not null").select("doc_id", "th", F.explode(hashed).alias("x")).select("doc_id", "th", "x.pos", "x.h1", "x.h2")
 
 
 def dropped_positions(lines: DataFrame, n: int) -> DataFrame:
@@ -98,9 +98,9 @@ def line_dedup(
     also a struct ``row`` of those columns.
 
     A key of at least ``min_chars`` code points that occurs in several documents loses its lines
-    everywhere but in the document with the smallest id. Null and empty texts are one empty line. A
-    null id sorts before all others, and its lines count as first occurrences only among
-    themselves. Rows with the same id count as one document, and each of them is returned.
+    everywhere but in the document with the smallest id. Null and empty texts are one empty line.
+    Rows without an id keep all their lines and count for no other. Rows with the same id count as
+    one document, and each of them is returned. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     n = partitions(spark)

@@ -84,7 +84,7 @@ def token_counts(
     Null and empty texts have no bytes and no tokens; repeated rows and null ids stay as they are;
     an empty table gives an empty result. Further columns are not read.
     """
-    counts = F.arrow_udf(counter(model_path, batch_bytes, split_chars), "long", F.ArrowUDFType.SCALAR_ITER)
+    counts = F.arrow_udf(counter(model_path, batch_bytes, split_chars), "long")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     return rows.select(

@@ -330,7 +330,7 @@ class ToxicityModel:
                         out[a:b] = sigmoid(slope * net.document_logits(*joined(texts)).astype(float) + place)
                 yield pa.array(out)
 
-        score = F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)
+        score = F.arrow_udf(run, "double")
         return docs.withColumn(name, score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
