@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling.
 
 A word enters as its own vector, if the training sample has it in several documents, beside the mean
-of vectors of its pairs of bytes. Two recurrent passes over a window of words, one each way, are
+of vectors of its runs of three bytes. Two recurrent passes over a window of words, one each way, are
 pooled by attention into one logit; all overlapping windows of a text are scored, and the largest
 logit counts. Training runs in numpy on the driver over a bounded sample of labelled documents;
 scoring runs in Arrow batches, many windows side by side.
@@ -21,20 +21,23 @@ from . import windows as W
 from .decontaminate import LOWER, words_of
 from .quality import held_out, label_table
 
-PAIRS = 4096
-WORD_DIM, PAIR_DIM, HIDDEN, POOL = 12, 8, 12, 8
+GRAMS = 16384
+WORD_DIM, GRAM_DIM, HIDDEN, POOL = 12, 8, 12, 8
 WINDOW, STRIDE = 48, 32
 F32 = np.float32
 
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds and rates of training. ``sample`` is the most labelled documents of each label that
-    are brought to the driver, and ``sample_bytes`` the most bytes of any of them that are trained
-    on; scoring always covers whole texts."""
+    """Bounds and rates of training. ``sample`` is the most labelled documents of each label that are
+    brought to the driver for training, ``clean`` the most of label 0 besides, for calibration alone;
+    ``sample_bytes`` is the most bytes of any of them that are read, ``train_bytes`` the most that
+    are trained on. Scoring always covers whole texts."""
 
     sample: int = 600
-    sample_bytes: int = 6_000
+    clean: int = 1200
+    sample_bytes: int = 20_000
+    train_bytes: int = 6_000
     epochs: int = 8
     batch: int = 32
     rate: float = 0.01
@@ -44,24 +47,31 @@ class Training:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
 def word_table(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, its start, hashes of the different words, number of each word in them)."""
     hashes, start, end = words_of(data)
     unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    return hashes, start, unique, inverse, *pair_lists(LOWER[data], start[first], end[first])
+    return hashes, start, unique, inverse, *gram_lists(LOWER[data], start[first], end[first])
 
 
-def pair_lists(lower: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the pairs of bytes of each word, its two ends included, and how many there are."""
+def gram_lists(lower: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the runs of three bytes of each word, its two ends included, and how many there
+    are."""
     size = end - start + 1
     at = W.expand(start, size)
     word = np.repeat(np.arange(len(size)), size)
-    here = np.where(at < end[word], lower[np.minimum(at, max(len(lower) - 1, 0))], 0).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
-    before = np.where(at > start[word], lower[at - 1], 0).astype(np.uint32) if len(at) else here
-    return ((before * np.uint32(257) + here) * np.uint32(2654435761) >> np.uint32(20)).astype(np.int64), size
+    if not len(at):
+        return np.zeros(0, np.int64), size
+
+    def byte(i: np.ndarray) -> np.ndarray:
+        inside = (i >= start[word]) & (i < end[word])
+        return np.where(inside, lower[np.clip(i, 0, len(lower) - 1)], 0).astype(np.uint64)
+
+    code = (byte(at - 2) << np.uint64(16)) | (byte(at - 1) << np.uint64(8)) | byte(at)
+    return (W.mix(code * W.BASE + W.BASE2) % np.uint64(GRAMS)).astype(np.int64), size
 
 
 def window_places(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,11 +89,11 @@ class Network:
 
     def __init__(self, words: np.ndarray, seed: int):
         rng = np.random.default_rng(seed)
-        d, h = WORD_DIM + PAIR_DIM, HIDDEN
+        d, h = WORD_DIM + GRAM_DIM, HIDDEN
         self.words = words  # sorted hashes of known words; row 0 of the table is for all others
         self.p = {
             "word": rng.normal(0, 0.1, (len(words) + 1, WORD_DIM)),
-            "pair": rng.normal(0, 0.1, (PAIRS, PAIR_DIM)),
+            "gram": rng.normal(0, 0.1, (GRAMS, GRAM_DIM)),
             "pool": rng.normal(0, 0.3, (2 * h, POOL)),
             "look": rng.normal(0, 0.3, POOL),
             "out": rng.normal(0, 0.3, 2 * h),
@@ -103,11 +113,11 @@ class Network:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, at + 1, 0)
 
-    def vectors(self, row: np.ndarray, pairs: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Inputs of different words: own vector beside the mean of the vectors of pairs."""
+    def vectors(self, row: np.ndarray, grams: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Inputs of different words: own vector beside the mean of the vectors of byte runs."""
         if not len(row):
-            return np.zeros((0, WORD_DIM + PAIR_DIM), F32)
-        sums = np.add.reduceat(self.p["pair"][pairs], np.cumsum(size) - size, axis=0)
+            return np.zeros((0, WORD_DIM + GRAM_DIM), F32)
+        sums = np.add.reduceat(self.p["gram"][grams], np.cumsum(size) - size, axis=0)
         return np.concatenate([self.p["word"][row], sums / size[:, None].astype(F32)], axis=1)
 
     def _pass(self, x: np.ndarray, mask: np.ndarray, way: str, keep: list | None) -> np.ndarray:
@@ -150,7 +160,7 @@ class Network:
     def gradients(self, batch: dict, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss of documents whose largest window logit, smoothly taken, should tell the label."""
         p, h = self.p, HIDDEN
-        x = self.vectors(batch["row"], batch["pairs"], batch["size"])
+        x = self.vectors(batch["row"], batch["grams"], batch["size"])
         px, keep = self.projected(x), {}
         logit = self.forward(px, batch["token"], batch["mask"], keep)
         starts = np.flatnonzero(W.edges_of(batch["doc"]))
@@ -196,23 +206,23 @@ class Network:
             d_x += d_px[:-1] @ p[f"{way}x"].T
         np.add.at(g["word"], batch["row"], d_x[:, :WORD_DIM])
         share = d_x[:, WORD_DIM:] / batch["size"][:, None].astype(F32)
-        np.add.at(g["pair"], batch["pairs"], np.repeat(share, batch["size"], axis=0))
+        np.add.at(g["gram"], batch["grams"], np.repeat(share, batch["size"], axis=0))
         return loss, g
 
     def window_batch(self, data: np.ndarray, offsets: np.ndarray, places: tuple | None = None) -> dict:
         """Inputs of the windows of joined texts with at least one byte between any two."""
-        hashes, start, unique, inverse, pairs, size = word_table(data)
+        hashes, start, unique, inverse, grams, size = word_table(data)
         per_doc = np.diff(np.searchsorted(start, offsets))
         doc, first, length = window_places(per_doc) if places is None else places(per_doc)
         at = np.arange(WINDOW)[:, None]
         mask = at < length[None, :]
         index = np.minimum(first[None, :] + at, max(len(hashes) - 1, 0))
         token = np.where(mask, inverse[index], len(unique)) if len(unique) else np.zeros(mask.shape, np.int64)
-        return {"doc": doc, "token": token, "mask": mask.astype(F32), "row": self.known(unique), "pairs": pairs, "size": size}
+        return {"doc": doc, "token": token, "mask": mask.astype(F32), "row": self.known(unique), "grams": grams, "size": size}
 
     def document_logits(self, data: np.ndarray, offsets: np.ndarray, step: int = 1024) -> np.ndarray:
         b = self.window_batch(data, offsets)
-        px = self.projected(self.vectors(b["row"], b["pairs"], b["size"]))
+        px = self.projected(self.vectors(b["row"], b["grams"], b["size"]))
         parts = [self.forward(px, b["token"][:, i : i + step], b["mask"][:, i : i + step]) for i in range(0, len(b["doc"]), step)]
         return np.maximum.reduceat(np.concatenate(parts), np.flatnonzero(W.edges_of(b["doc"]))) if parts else np.zeros(0, F32)
 
@@ -226,25 +236,26 @@ def train(texts: list[bytes], y: np.ndarray, prior: float, how: Training) -> tup
     """The network, and the slope and place that turn its logit into a probability under ``prior``,
     the share of label 1 among all labelled documents that may be learned from."""
     rng = np.random.default_rng(how.seed)
-    cut = [t[: how.sample_bytes] for t in texts]
+    cut = [t[: how.train_bytes] for t in texts]
+    # kept back to choose the epoch and for calibration; of label 0 all beyond the training sample
+    last = (rng.random(len(cut)) < 0.15) | ((y == 0) & (np.cumsum(y == 0) > how.sample))
+    use = np.flatnonzero(~last)
     seen: dict[int, list[int]] = {}
-    for text, label in zip(cut, y, strict=True):
+    for text, label in ((cut[i], y[i]) for i in use):
         for w in np.unique(words_of(np.frombuffer(text, np.uint8))[0]).tolist():
             c = seen.setdefault(w, [0, 0])
             c[int(label)] += 1
     common = sorted(w for w, c in seen.items() if sum(c) >= how.least_docs)
     net = Network(np.array(common, dtype=np.uint64), how.seed)
     # the first unit of a word's vector starts at its log odds of the labels, smoothed
-    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
+    n1, n0 = max(y[use].sum(), 1), max((1 - y[use]).sum(), 1)
     odds = [np.log((seen[w][1] + 1) / (n1 + 2)) - np.log((seen[w][0] + 1) / (n0 + 2)) for w in common]
     if odds:
         net.p["word"][1:, 0] = np.clip(odds, -2, 2).astype(F32) * F32(0.5)
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
-    last = rng.random(len(cut)) < 0.15  # kept back to choose the epoch and for calibration
     best, kept = np.inf, {k: v.copy() for k, v in net.p.items()}
-    use = np.flatnonzero(~last)
     for _ in range(how.epochs if len(use) else 0):
         rng.shuffle(use)
         for i in range(0, len(use), how.batch):
@@ -265,20 +276,29 @@ def train(texts: list[bytes], y: np.ndarray, prior: float, how: Training) -> tup
         if loss < best:
             best, kept = loss, {k: v.copy() for k, v in net.p.items()}
     net.p = kept
-    logit = logits_of(net, cut)
-    # as many of each label in the sample as there are: weights bring the prior back
+    held = np.flatnonzero(last) if y[last].sum() >= 5 else np.arange(len(cut))
+    logit, y = logits_of(net, [texts[j] for j in held]), y[held]
+    # as many of each label as there are: weights bring the prior back
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
-    slope, place = 1.0, 0.0
-    for _ in range(100):
-        p = sigmoid(slope * logit + place)
-        r, v = weight * (p - y), weight * p * (1 - p) + 1e-9
-        h = np.array([[np.sum(v * logit**2) + 1, np.sum(v * logit)], [np.sum(v * logit), np.sum(v) + 1e-3]])
-        move = np.linalg.solve(h, [np.sum(r * logit) + (slope - 1), np.sum(r)])
-        slope, place = slope - move[0], place - move[1]
-        if np.abs(move).max() < 1e-6:
+    at = np.array([1.0, 0.0])
+
+    def cost(p: np.ndarray) -> float:
+        z = p[0] * logit + p[1]
+        return float(np.sum(weight * (np.logaddexp(0, z) - y * z)) + (p[0] - 1) ** 2 / 2 + p[1] ** 2 / 200)
+
+    for _ in range(100):  # Newton's method with halved steps where a whole one does not help
+        p = sigmoid(at[0] * logit + at[1])
+        r, v = weight * (p - y), weight * p * (1 - p)
+        slope = np.array([np.sum(r * logit) + at[0] - 1, np.sum(r) + at[1] / 100])
+        bend = np.array([[np.sum(v * logit**2) + 1, np.sum(v * logit)], [np.sum(v * logit), np.sum(v) + 0.01]])
+        move, now = np.linalg.solve(bend, slope), cost(at)
+        while cost(at - move) > now and np.abs(move).max() > 1e-9:
+            move = move / 2
+        at = at - move
+        if np.abs(move).max() < 1e-7:
             break
-    return net, float(slope), float(place)
+    return net, float(at[0]), float(at[1])
 
 
 def logits_of(net: Network, texts: list[bytes]) -> np.ndarray:
@@ -292,17 +312,17 @@ class ToxicityModel:
 
     def fit(self, docs: DataFrame, labelled: DataFrame) -> ToxicityModel:
         """``labelled`` (doc_id, y). The sample: of each label the documents with the least hash of
-        their id, at most ``how.sample``."""
+        their id, as many as ``how`` allows."""
         count = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
         total = sum(count.values())
         if not total:
             return self  # nothing to learn from: every score is one half
         chosen = None
-        for label in (0.0, 1.0):
-            part = labelled.where(F.col("y") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(self.how.sample)
+        for label, most in ((0.0, self.how.sample + self.how.clean), (1.0, self.how.sample)):
+            part = labelled.where(F.col("y") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
             chosen = part if chosen is None else chosen.unionByName(part)
         text = F.substring(F.encode("text", "UTF-8"), 1, self.how.sample_bytes)
-        # at most 2 * sample ids, so this side may be broadcast
+        # a bounded number of ids, so this side may be broadcast
         rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", text.alias("raw"), "y").collect()
         rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["raw"])))
         if rows:

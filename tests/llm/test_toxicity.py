@@ -17,7 +17,7 @@ def test_gradients(monkeypatch):
     y = np.array([1.0, 0, 1, 0])
     _, g = net.gradients(batch, y)
     for k, v in net.p.items():
-        at = {"word": (1, 2), "pair": (batch["pairs"][3], 1)}.get(k) or tuple(rng.integers(0, s) for s in v.shape)
+        at = {"word": (1, 2), "gram": (batch["grams"][3], 1)}.get(k) or tuple(rng.integers(0, s) for s in v.shape)
         v[at] += 1e-5
         up, _ = net.gradients(batch, y)
         v[at] -= 2e-5
