@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,63 @@ def upper_median(value: Column) -> Column:
     return F.when(n > 0, F.element_at(ordered(value), (F.floor(n / 2) + 1).cast("int")))
 
 
+#: Groups up to this size are selected from whole.
+SMALL_GROUP = 10_000
+
+
+def at_ranks(rows: DataFrame, group: list[str], value: str, ranks: dict, margin: float = 0.005) -> DataFrame:
+    """Exact order statistics of large groups: per group n, low, high, and for each name of ``ranks``
+    the value at that place of the ascending order; nulls do not count. ``ranks`` maps a name to
+    (share, function of n that gives the place from 1).
+
+    A sketch with a proven rank error brackets each place, so only about twice ``margin`` of a
+    group's rows are ordered, after equal values were counted together; no group is collected.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("v"))
+    shares = [q for q, _ in ranks.values()]
+    ends = [max(0.0, q - margin) for q in shares] + [min(1.0, q + margin) for q in shares]
+    stats = rows.groupBy(*group).agg(
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", ends, 10_000).alias("ends")
+    )
+    k, n = len(shares), F.col("n")
+    want = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                place(n).cast("long").alias("place"),
+                F.when(n <= SMALL_GROUP, F.col("low")).otherwise(F.col("ends")[i]).alias("from_"),
+                F.when(n <= SMALL_GROUP, F.col("high")).otherwise(F.col("ends")[k + i]).alias("to_"),
+            )
+            for i, (_, place) in enumerate(ranks.values())
+        ]
+    )
+    stats = stats.withColumn("want", want)
+    counted = rows.groupBy(*group, "v").agg(F.count("*").alias("c"))
+    near = counted.join(stats.select(*group, "want"), group)
+    below = [F.sum(F.when(F.col("v") < F.col("want")[i]["from_"], F.col("c")).otherwise(0)).alias(f"b{i}") for i in range(k)]
+    inside = F.filter("want", lambda w: (F.col("v") >= w["from_"]) & (F.col("v") <= w["to_"]))
+    hits = near.withColumn("w", F.explode(inside)).select(*group, "v", "c", F.col("w.i").alias("i"), F.col("w.place").alias("place"))
+    base = near.groupBy(*group).agg(*below)
+    w = Window.partitionBy(*group, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    hits = hits.withColumn("run", F.sum("c").over(w)).join(base, group)
+    under = F.element_at(F.array(*[F.col(f"b{i}") for i in range(k)]), F.col("i") + 1)
+    found = hits.where(F.col("run") + under >= F.col("place")).groupBy(*group).agg(
+        *[F.min(F.when(F.col("i") == i, F.col("v"))).alias(name) for i, name in enumerate(ranks)]
+    )
+    return stats.select(*group, "n", "low", "high").join(found, group)
+
+
+def interpolated(q: float):
+    """The two places between which quantile ``q`` lies, and its value from them."""
+    place = lambda n: q * (n - 1)
+    return (q, lambda n: F.floor(F.round(place(n), 9)) + 1), (q, lambda n: F.ceil(F.round(place(n), 9)) + 1)
+
+
+def between(low: str, high: str, q: float) -> Column:
+    at = F.round(q * (F.col("n") - 1), 9)
+    return F.col(low) + (at - F.floor(at)) * (F.col(high) - F.col(low))
+
+
 def distribution(value: Column) -> list[Column]:
     """n, mean, interpolated quartiles and extremes of the finite values."""
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

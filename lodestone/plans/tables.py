@@ -16,16 +16,25 @@ from .registry import query
 @query("""SELECT o_orderpriority AS tool, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.25), 4) AS p25,
  round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.75), 4) AS p75, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1""")
 def dist_summary(spark, sf):
-    d = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("tool")).agg(*S.distribution(X.finite(F.col("o_totalprice"))))
-    return d.select("tool", "n", *[F.round(c, 4).alias(c) for c in ("mean", "p25", "median", "p75")], "low", "high")
+    """n, mean, interpolated quartiles and extremes of finite values."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("tool"), X.finite(F.col("o_totalprice")).alias("v"))
+    ranks = {f"{side}{q}": r for q in (25, 50, 75) for side, r in zip("ab", S.interpolated(q / 100), strict=True)}
+    d = S.at_ranks(o, ["tool"], "v", ranks).join(o.groupBy("tool").agg(F.round(F.avg("v"), 4).alias("mean")), "tool")
+    names = {25: "p25", 50: "median", 75: "p75"}
+    return d.select("tool", "n", "mean", *[F.round(S.between(f"a{q}", f"b{q}", q / 100), 4).alias(c) for q, c in names.items()], "low", "high")
 
 
 @query("""SELECT tool, v[CAST(floor(0.9 * (n - 1)) AS INTEGER) + 1] AS p90, v[CAST(least(n, floor(0.95 * n) + 1) AS INTEGER)] AS p95, v[CAST(floor(n / 2) AS INTEGER) + 1] AS upper_median
 FROM (SELECT c_mktsegment AS tool, count(*) AS n, list_sort(list(c_acctbal)) AS v FROM customer GROUP BY 1)""")
 def quantile_rules(spark, sf):
-    v = F.col("c_acctbal")
-    c = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("tool"))
-    return c.agg(S.quantile_floor(v, 0.9).alias("p90"), S.p95(v).alias("p95"), S.upper_median(v).alias("upper_median"))
+    """Three rules that are not interpolated, each with its own place."""
+    c = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("tool"), "c_acctbal")
+    ranks = {
+        "p90": (0.9, lambda n: F.floor(0.9 * (n - 1)) + 1),
+        "p95": (0.95, lambda n: F.least(n, F.floor(0.95 * n) + 1)),
+        "upper_median": (0.5, lambda n: F.floor(n / 2) + 1),
+    }
+    return S.at_ranks(c, ["tool"], "c_acctbal", ranks).select("tool", *ranks)
 
 
 @query(f"""WITH {SCORES} SELECT tool, round(median(value) FILTER (WHERE metric = 'mean'), 6) AS mean, round(median(value) FILTER (WHERE metric = 'top'), 6) AS top,
@@ -153,10 +162,11 @@ def mode_lowest_tie(spark, sf):
 @query("""SELECT p_brand, min(p_retailprice) FILTER (WHERE c >= h) AS weighted_median FROM (SELECT p_brand, p_retailprice,
  sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey ROWS UNBOUNDED PRECEDING) AS c, sum(p_size) OVER (PARTITION BY p_brand) / 2.0 AS h FROM part) GROUP BY p_brand""")
 def weighted_median(spark, sf):
-    """The first value at which the running weight reaches half of all."""
+    """The first value at which the running weight reaches half of all; equal values are added up
+    before they are ordered."""
     w = Window.partitionBy("p_brand")
-    running = F.sum("p_size").over(w.orderBy("p_retailprice", "p_partkey").rowsBetween(Window.unboundedPreceding, 0))
-    p = table(spark, sf, "part").select("p_brand", "p_retailprice", running.alias("c"), (F.sum("p_size").over(w) / 2.0).alias("h"))
+    p = table(spark, sf, "part").groupBy("p_brand", "p_retailprice").agg(F.sum("p_size").alias("s"))
+    p = p.withColumns({"c": F.sum("s").over(w.orderBy("p_retailprice")), "h": F.sum("s").over(w) / 2.0})
     return p.where("c >= h").groupBy("p_brand").agg(F.min("p_retailprice").alias("weighted_median"))
 
 

@@ -93,6 +93,17 @@ def test_distribution_and_quantile_rules(spark):
     assert tuple(many) == (9.0, 10.0, 6.0)
 
 
+def test_order_statistics_of_large_groups(spark):
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.normal(size=30_000), rng.integers(0, 5, 5_000)])
+    rows = spark.createDataFrame([("a", float(v)) for v in values] + [("b", float(i)) for i in range(7)] + [("b", None)], "g string, v double")
+    ranks = {"p95": (0.95, lambda n: F.least(n, F.floor(0.95 * n) + 1)), "mid": (0.5, lambda n: F.floor(n / 2) + 1)}
+    got = {r["g"]: r for r in S.at_ranks(rows, ["g"], "v", ranks).collect()}
+    s = np.sort(values)
+    assert (got["a"]["n"], got["a"]["p95"], got["a"]["mid"]) == (35_000, s[int(0.95 * 35_000)], s[17_500])
+    assert (got["b"]["n"], got["b"]["p95"], got["b"]["mid"], got["b"]["high"]) == (7, 6, 3, 6)
+
+
 def test_generator_and_bootstrap(spark):
     def plain(seed, n):
         out = []
