@@ -7,10 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .raster import COLUMN, ROW, with_cross
+from .raster import column, row, with_cross
 
-DOWN = Window.partitionBy("img_id", F.expr("x - y")).orderBy("x")
-UP = Window.partitionBy("img_id", F.expr("x + y")).orderBy("x")
+
+def down():
+    return Window.partitionBy("img_id", F.expr("x - y")).orderBy("x")
+
+
+def up():
+    return Window.partitionBy("img_id", F.expr("x + y")).orderBy("x")
 
 
 def flood(px: DataFrame, passable: Column, seeds: Column, checkpoint, most_rounds: int = 4096) -> DataFrame:
@@ -21,7 +26,7 @@ def flood(px: DataFrame, passable: Column, seeds: Column, checkpoint, most_round
     total = -1
     for _ in range(most_rounds):
         step = now
-        for w, key in ((ROW, "y"), (COLUMN, "x")):
+        for w, key in ((row(), "y"), (column(), "x")):
             # stretches of passable pixels between two that are not
             step = step.withColumn("stretch", F.sum((~F.col("ok")).cast("int")).over(w))
             step = step.withColumn("hit", F.col("ok") & F.bool_or(F.col("ok") & F.col("hit")).over(Window.partitionBy("img_id", key, "stretch")))
@@ -39,7 +44,7 @@ def keep_factor(distance: Column, tolerance: float, feather: float) -> Column:
 
 
 def feathered(px: DataFrame, value: str, radius: int, passes: int = 3) -> DataFrame:
-    for w in (ROW, COLUMN):
+    for w in (row(), column()):
         for _ in range(passes):
             px = px.withColumn(value, F.avg(value).over(w.rowsBetween(-radius, radius)))
     return px
@@ -48,7 +53,7 @@ def feathered(px: DataFrame, value: str, radius: int, passes: int = 3) -> DataFr
 def grown(px: DataFrame, alpha: str, carried: list[str], radius: int) -> DataFrame:
     """Largest alpha in reach, with what the pixel that has it carries; on a tie the pixel's own,
     else the first. Rows first, then columns."""
-    for w in (ROW, COLUMN):
+    for w in (row(), column()):
         frame = F.collect_list(F.struct(F.col(alpha).alias("a"), *carried)).over(w.rowsBetween(-radius, radius))
         px = px.withColumn("__reach", frame)
         best = F.array_max(F.transform("__reach", lambda s: s["a"]))
@@ -65,7 +70,7 @@ def seams(px: DataFrame, opaque: Column, value: str, slack: float) -> DataFrame:
     not opaque and whose value lies, within ``slack``, on the straight line between the flanks'."""
     px = px.withColumn("__o", opaque)
     found = []
-    for w in (ROW, COLUMN, DOWN, UP):
+    for w in (row(), column(), down(), up()):
         for size in (1, 2, 3):
             for at in range(size):
                 before, after = at + 1, size - at

@@ -11,24 +11,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("img_id", "y").orderBy("x")
-COLUMN = Window.partitionBy("img_id", "x").orderBy("y")
+
+def row():
+    """Windows are made on use: they need a session."""
+    return Window.partitionBy("img_id", "y").orderBy("x")
+
+
+def column():
+    return Window.partitionBy("img_id", "x").orderBy("y")
 
 
 def left(c: str) -> Column:
-    return F.lag(c).over(ROW)
+    return F.lag(c).over(row())
 
 
 def right(c: str) -> Column:
-    return F.lead(c).over(ROW)
+    return F.lead(c).over(row())
 
 
 def above(c: str) -> Column:
-    return F.lag(c).over(COLUMN)
+    return F.lag(c).over(column())
 
 
 def below(c: str) -> Column:
-    return F.lead(c).over(COLUMN)
+    return F.lead(c).over(column())
 
 
 def with_cross(px: DataFrame, c: str) -> DataFrame:
@@ -38,8 +44,8 @@ def with_cross(px: DataFrame, c: str) -> DataFrame:
 
 def with_block(px: DataFrame, c: str) -> DataFrame:
     """Adds ``block``: the values of the 3 by 3 block, rows from the top; fewer at the border."""
-    px = px.withColumn("__row", F.collect_list(c).over(ROW.rowsBetween(-1, 1)))
-    return px.withColumn("block", F.flatten(F.collect_list("__row").over(COLUMN.rowsBetween(-1, 1)))).drop("__row")
+    px = px.withColumn("__row", F.collect_list(c).over(row().rowsBetween(-1, 1)))
+    return px.withColumn("block", F.flatten(F.collect_list("__row").over(column().rowsBetween(-1, 1)))).drop("__row")
 
 
 def palette(px: DataFrame, colour: list[str]) -> DataFrame:
@@ -81,15 +87,15 @@ def mode_filter(px: DataFrame, passes: int = 1) -> DataFrame:
 
 
 def box_blur(px: DataFrame, value: str, radius: int) -> DataFrame:
-    across = F.avg(value).over(ROW.rowsBetween(-radius, radius))
+    across = F.avg(value).over(row().rowsBetween(-radius, radius))
     px = px.withColumn("__b", across)
-    return px.withColumn("blur", F.avg("__b").over(COLUMN.rowsBetween(-radius, radius))).drop("__b")
+    return px.withColumn("blur", F.avg("__b").over(column().rowsBetween(-radius, radius))).drop("__b")
 
 
 def dilate(px: DataFrame, value: str, radius: int, erode: bool = False) -> DataFrame:
     f = F.min if erode else F.max
-    px = px.withColumn("__m", f(value).over(ROW.rowsBetween(-radius, radius)))
-    return px.withColumn("out", f("__m").over(COLUMN.rowsBetween(-radius, radius))).drop("__m")
+    px = px.withColumn("__m", f(value).over(row().rowsBetween(-radius, radius)))
+    return px.withColumn("out", f("__m").over(column().rowsBetween(-radius, radius))).drop("__m")
 
 
 def edge_mask(px: DataFrame, value: str, limit: float) -> DataFrame:
@@ -139,10 +145,10 @@ def ssim(a: DataFrame, b: DataFrame, radius: int) -> DataFrame:
     both = a.select("img_id", "x", "y", F.col("v").cast("double").alias("a")).join(b.select("img_id", "x", "y", F.col("v").cast("double").alias("b")), ["img_id", "x", "y"])
     both = both.withColumns({"aa": F.col("a") * F.col("a"), "bb": F.col("b") * F.col("b"), "ab": F.col("a") * F.col("b")})
     names = ["a", "b", "aa", "bb", "ab"]
-    both = both.withColumns({f"s{c}": F.sum(c).over(ROW.rowsBetween(-radius, radius)) for c in names} | {"nx": F.count("a").over(ROW.rowsBetween(-radius, radius))})
+    both = both.withColumns({f"s{c}": F.sum(c).over(row().rowsBetween(-radius, radius)) for c in names} | {"nx": F.count("a").over(row().rowsBetween(-radius, radius))})
     both = both.withColumns(
-        {f"m{c}": F.sum(f"s{c}").over(COLUMN.rowsBetween(-radius, radius)) / (2 * radius + 1) ** 2 for c in names}
-        | {"n": F.sum("nx").over(COLUMN.rowsBetween(-radius, radius))}
+        {f"m{c}": F.sum(f"s{c}").over(column().rowsBetween(-radius, radius)) / (2 * radius + 1) ** 2 for c in names}
+        | {"n": F.sum("nx").over(column().rowsBetween(-radius, radius))}
     )
     ma, mb = F.col("ma"), F.col("mb")
     va, vb, cov = F.col("maa") - ma * ma, F.col("mbb") - mb * mb, F.col("mab") - ma * mb
@@ -161,7 +167,7 @@ def components(px: DataFrame, eight: bool, checkpoint, most_rounds: int = 200) -
     for _ in range(most_rounds):
         same = lambda c, w, d: F.when(F.lag("label", d).over(w) == F.col("label"), F.lag(c, d).over(w))
         step = now
-        for w in (ROW, COLUMN):
+        for w in (row(), column()):
             step = step.withColumn("comp", F.least("comp", same("comp", w, 1), same("comp", w, -1)))
         if eight:
             # both diagonals are lines of constant x - y and x + y

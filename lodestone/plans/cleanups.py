@@ -101,7 +101,7 @@ r AS (SELECT img_id, count(*) AS thick FROM i GROUP BY img_id, y, g), h AS (SELE
 c AS (SELECT *, sum(n) OVER (PARTITION BY img_id ORDER BY thick) AS c, sum(n) OVER (PARTITION BY img_id) AS a FROM h) SELECT img_id, min(thick) FILTER (WHERE c >= 0.75 * a) AS thickness FROM c GROUP BY 1""")
 def ink_thickness(spark, sf):
     """The smallest run length up to which three quarters of the ink lie."""
-    i = labels(spark, sf).where("label >= 2").withColumn("g", F.col("x") - F.row_number().over(K.ROW))
+    i = labels(spark, sf).where("label >= 2").withColumn("g", F.col("x") - F.row_number().over(K.row()))
     h = i.groupBy("img_id", "y", "g").agg(F.count("*").alias("thick")).groupBy("img_id", "thick").agg(F.sum("thick").alias("n"))
     w = Window.partitionBy("img_id")
     c = h.withColumns({"c": F.sum("n").over(w.orderBy("thick")), "a": F.sum("n").over(w)})
