@@ -36,11 +36,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: list[str] = []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         schema = df.schema
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
@@ -49,6 +51,11 @@ class Scratch:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
+    def keep_only(self, *names: str) -> None:
+        for name in [n for n in self.names if n not in names]:
+            self.drop(name)
+            self.names.remove(name)
+
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, th): just the two columns that the operators read, so that further columns

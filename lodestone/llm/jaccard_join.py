@@ -360,6 +360,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "per-class",
     )
+    scratch.keep_only("signatures", "per-class")
     out = sigs.select("doc_id", "th", "c").join(per_class, "c", "left")
     leads = F.col("c").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th")))
     return out.select(
