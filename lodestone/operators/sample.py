@@ -25,10 +25,11 @@ def allocate(strata: DataFrame, total: int, floor: int) -> DataFrame:
     return rows.withColumn("take", F.col("base") + F.col("part") + extra).select("stratum", "size", "take")
 
 
-def top_by_hash(rows: DataFrame, stratum: list[str], key: Column, take: Column) -> DataFrame:
-    """Per stratum the first rows in the order of sha1 of their key."""
+def top_by_hash(rows: DataFrame, stratum: list[str], key: Column, take: Column, most: int) -> DataFrame:
+    """Per stratum the first rows in the order of sha1 of their key. No stratum takes more than
+    ``most``; as a constant it lets tasks drop rows before the shuffle, however large a stratum is."""
     place = F.row_number().over(Window.partitionBy(*stratum).orderBy(F.sha1(key)))
-    return rows.withColumn("place", place).where(F.col("place") <= take)
+    return rows.withColumn("place", place).where((F.col("place") <= most) & (F.col("place") <= take))
 
 
 def round_robin(rows: DataFrame, group: str, order: str) -> DataFrame:

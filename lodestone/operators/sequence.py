@@ -6,13 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def interval_islands(rows: DataFrame, group: list[str], start: str, end: str, slack: float = 0) -> DataFrame:
-    """Merged intervals: a new island starts after a gap of more than ``slack``."""
-    w = Window.partitionBy(*group).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = (reach.isNull() | (F.col(start) > reach + slack)).cast("int")
+def _merged(rows: DataFrame, keys: list[str], slack: float) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("from_", "to_")
+    reach = F.max("to_").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = (reach.isNull() | (F.col("from_") > reach + slack)).cast("int")
     rows = rows.withColumn("__new", new).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*group, "island").agg(F.min(start).alias("from_"), F.max(end).alias("to_"), F.count("*").alias("members"))
+    return rows.groupBy(*keys, "island").agg(F.min("from_").alias("from_"), F.max("to_").alias("to_"), F.sum("members").alias("members"))
+
+
+def interval_islands(rows: DataFrame, group: list[str], start: str, end: str, slack: float = 0, chunk: float | None = None) -> DataFrame:
+    """Merged intervals: a new island starts after a gap of more than ``slack``. With ``chunk``
+    intervals are merged first among those that start in one stretch of that length, so that a group
+    with very many rows is shared out, and only its islands meet in the end."""
+    rows = rows.select(*group, F.col(start).alias("from_"), F.col(end).alias("to_"), F.lit(1).cast("long").alias("members"))
+    if chunk:
+        rows = _merged(rows.withColumn("__chunk", F.floor(F.col("from_") / chunk)), [*group, "__chunk"], slack).drop("__chunk", "island")
+    return _merged(rows, group, slack)
 
 
 def gap_clusters(rows: DataFrame, group: list[str], value: str, gap: float) -> DataFrame:

@@ -95,7 +95,7 @@ def stratified_topk_sha1(spark, sf):
     rows = _strata(spark, sf).select("doc_id", "stratum")
     takes = P.allocate(rows.groupBy("stratum").agg(F.count("*").alias("size")), 300, 2)
     joined = rows.join(takes.select("stratum", "take"), "stratum")
-    return P.top_by_hash(joined, ["stratum"], F.col("doc_id").cast("string"), F.col("take")).select("doc_id", "stratum")
+    return P.top_by_hash(joined, ["stratum"], F.col("doc_id").cast("string"), F.col("take"), 300).select("doc_id", "stratum")
 
 
 @query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS turn FROM part""")
@@ -177,7 +177,7 @@ SELECT user_id, CAST(island AS BIGINT) AS island, min(s) AS from_, max(t) AS to_
 def interval_islands(spark, sf):
     s = F.unix_seconds(F.col("ts").cast("timestamp"))
     e = table(spark, sf, "events").select("user_id", s.alias("s"), (s + F.floor(60 * F.col("value"))).alias("t"))
-    return Q.interval_islands(e, ["user_id"], "s", "t", 1800)
+    return Q.interval_islands(e, ["user_id"], "s", "t", 1800, chunk=6 * 3600)
 
 
 @query("""WITH c AS (SELECT c_nationkey AS g, c_acctbal AS v, CASE WHEN c_acctbal - lag(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) > 400 THEN 1 ELSE 0 END AS new, c_custkey FROM customer),
