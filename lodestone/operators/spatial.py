@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -77,20 +77,22 @@ def linked_ids(pairs: DataFrame, nodes: DataFrame, checkpoint, most_rounds: int
     raise RuntimeError("clusters did not settle")
 
 
-def mutual_best(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def mutual_best(pairs: DataFrame, checkpoint, most_rounds: int = 1000) -> DataFrame:
     """Greedy one-to-one matching of (id, oid, gap) by ascending gap, ties by ids. In a round pairs
-    that are the best of both their sides are taken; that yields the greedy result."""
-    order = ("gap", "id", "oid")
-    left, out = pairs, None
-    for _ in range(rounds):
-        a = F.row_number().over(Window.partitionBy("id").orderBy(*order))
-        b = F.row_number().over(Window.partitionBy("oid").orderBy(*order))
-        took = left.withColumns({"a": a, "b": b}).where("a = 1 and b = 1").select(*order)
-        out = took if out is None else out.unionByName(took)
-        left = left.join(took.select("id"), "id", "left_anti").join(took.select("oid"), "oid", "left_anti")
-        if left.isEmpty():
+    that are the best of both their sides are taken, which yields the greedy result; the least pair
+    of all always is, so each round ends some. ``checkpoint`` cuts the lineage of a round."""
+    order = F.struct("gap", "id", "oid")
+    left, out = checkpoint(pairs.select("id", "oid", "gap")), None
+    for _ in range(most_rounds):
+        a = left.groupBy("id").agg(F.min(order).alias("a"))
+        b = left.groupBy("oid").agg(F.min(order).alias("b"))
+        marked = left.join(a, "id").join(b, "oid")
+        took = checkpoint(marked.where((F.col("a.oid") == F.col("oid")) & (F.col("b.id") == F.col("id"))).select("id", "oid", "gap"))
+        if took.isEmpty():
             break
-    return out
+        out = took if out is None else out.unionByName(took)
+        left = checkpoint(left.join(took.select("id"), "id", "left_anti").join(took.select("oid"), "oid", "left_anti").select("id", "oid", "gap"))
+    return out if out is not None else left
 
 
 def crossings(segments: DataFrame, size: float) -> DataFrame:

@@ -127,7 +127,7 @@ def _caption_pairs(spark, sf):
 @query()
 def match_captions(spark, sf):
     """Greedy one-to-one matching within a gap; its order has no plain SQL form, tests hold it to a loop."""
-    return D.mutual_best(_caption_pairs(spark, sf))
+    return D.mutual_best(_caption_pairs(spark, sf), lambda df: written(df, "captions"))
 
 
 CHAIN = """k AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i,

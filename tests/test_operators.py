@@ -14,6 +14,7 @@ from lodestone.operators import rank as R
 from lodestone.operators import sample as P
 from lodestone.operators import spatial as D
 from lodestone.operators import stats as S
+from lodestone.sources.scratch import written
 from lodestone.streaming import boards as B
 
 SCORE = "tool string, case_id string, metric string, better string, needs_truth boolean, gt_refused boolean, value double"
@@ -152,7 +153,7 @@ def test_colours(spark):
 def test_matching_is_greedy(spark):
     rng = np.random.default_rng(0)
     pairs = [(int(a), int(b), float(rng.integers(0, 20))) for a in range(12) for b in range(12) if rng.random() < 0.5]
-    out = {(r["id"], r["oid"]) for r in D.mutual_best(spark.createDataFrame(pairs, "id long, oid long, gap double")).collect()}
+    out = {(r["id"], r["oid"]) for r in D.mutual_best(spark.createDataFrame(pairs, "id long, oid long, gap double"), lambda df: written(df, "test")).collect()}
     left, right, expected = set(), set(), set()
     for a, b, _ in sorted(pairs, key=lambda p: (p[2], p[0], p[1])):
         if a not in left and b not in right:
