@@ -147,7 +147,7 @@ def fetch_bytes(unit: W.Unit):
 
 
 #: Bytes of passages that are sorted at once; the passages of one fingerprint stay together.
-LOCAL_TEXT = 4 << 20
+LOCAL_TEXT = 1 << 20
 
 
 def settle_bytes(unit: W.Unit, n: int):

@@ -82,3 +82,30 @@ def test_suffix_array_by_two_stages():
         assert cut == sorted(cut)
         for a, b, k in zip(cut[:-1], cut[1:], common_prefixes(text, sa, 20)[1:], strict=True):
             assert a[:k] == b[:k] and (k == 20 or a[k] != b[k])
+
+
+def test_passages_are_sorted_in_parts(spark, monkeypatch):
+    from lodestone.llm import suffix_dedup as S
+
+    rows = brute.corpus(6, n=30)
+    unit = W.BYTES
+    texts = {d if d is not None else W.NULL_ID: (t or "").encode() for d, t in rows}
+    x = {"doc": [], "th": [], "start": [], "n": [], "fp": [], "raw": []}
+    for d, b in sorted(texts.items()):
+        data = np.frombuffer(b, np.uint8)
+        fp, _, start, n = W.runs_of(W.BYTE_TOKENS[data], np.array([0, len(data)]), unit)
+        for f, s, k in zip(fp, start, n, strict=True):
+            for name, v in (("doc", d), ("th", 0), ("start", s), ("n", k), ("fp", f)):
+                x[name].append(v)
+            x["raw"].append(b[s : s + k + unit.window - 1])
+    types = {"doc": np.int64, "th": np.int64, "start": np.uint32, "n": np.uint8, "fp": np.uint32}
+    blob = W.pack(raw=np.frombuffer(b"".join(x["raw"]), np.uint8), **{k: (np.array(x[k], np.uint64) if k == "fp" else np.array(x[k])).astype(t) for k, t in types.items()})
+
+    def settled(size):
+        monkeypatch.setattr(S, "LOCAL_TEXT", size)
+        out = S.settle_bytes(unit, 4)(W.pa.table({"blob": [blob]}))
+        found = W.in_doc_order(out.column("blob").to_pylist())
+        at = W.expand(found["start"], found["n"])
+        return sorted(zip(np.repeat(found["doc"], found["n"]).tolist(), at.tolist(), strict=True))
+
+    assert settled(1 << 20) == settled(300) and settled(300)
