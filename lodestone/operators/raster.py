@@ -160,20 +160,19 @@ def ssim(a: DataFrame, b: DataFrame, radius: int) -> DataFrame:
 def components(px: DataFrame, eight: bool, checkpoint, most_rounds: int = 200) -> DataFrame:
     """Connected regions of equal label: each pixel gets the least pixel number of its region.
 
-    A round takes the least number among the pixel and its neighbours of the same label, by windows;
-    rounds go on until nothing changes. ``checkpoint`` cuts the lineage of a round."""
+    A round gives each run of one label along a row, a column and, for ``eight``, both diagonals the
+    least number in it, so rounds follow the turns of a region, not its length; they go on until
+    nothing changes. ``checkpoint`` cuts the lineage of a round."""
+    lines = ["y", "x"] + (["x - y", "x + y"] if eight else [])
     now = px.withColumn("comp", (F.col("y") * 65_536 + F.col("x")).cast("long"))
     total = None
     for _ in range(most_rounds):
-        same = lambda c, w, d: F.when(F.lag("label", d).over(w) == F.col("label"), F.lag(c, d).over(w))
         step = now
-        for w in (row(), column()):
-            step = step.withColumn("comp", F.least("comp", same("comp", w, 1), same("comp", w, -1)))
-        if eight:
-            # both diagonals are lines of constant x - y and x + y
-            for key in ("x - y", "x + y"):
-                w = Window.partitionBy("img_id", F.expr(key)).orderBy("x")
-                step = step.withColumn("comp", F.least("comp", same("comp", w, 1), same("comp", w, -1)))
+        for line in lines:
+            w = Window.partitionBy("img_id", F.expr(line)).orderBy("y" if line == "x" else "x")
+            new = F.coalesce((F.lag("label").over(w) != F.col("label")).cast("int"), F.lit(0))
+            step = step.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w))
+            step = step.withColumn("comp", F.min("comp").over(Window.partitionBy("img_id", F.expr(line), "__run"))).drop("__new", "__run")
         now = checkpoint(step)
         now_total = now.agg(F.sum("comp")).first()[0]
         if now_total == total:
