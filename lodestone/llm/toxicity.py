@@ -3,12 +3,14 @@
 A word enters as its own vector, if the training sample has it in several documents, beside the mean
 of vectors of its runs of three bytes. Two recurrent passes over a window of words, one each way, are
 pooled by attention into one logit; all overlapping windows of a text are scored, and the largest
-logit counts. Training runs in numpy on the driver over a bounded sample of labelled documents;
-scoring runs in Arrow batches, many windows side by side.
+logit counts. Training runs in numpy on the driver over all windows of a bounded sample of labelled
+documents; scoring runs in Arrow batches, many windows side by side. The epoch is chosen, and logits
+become probabilities, by whole documents that are kept back and scored on executors.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,14 +32,11 @@ F32 = np.float32
 @dataclass(frozen=True)
 class Training:
     """Bounds and rates of training. ``sample`` is the most labelled documents of each label that are
-    brought to the driver for training, ``clean`` the most of label 0 besides, for calibration alone;
-    ``sample_bytes`` is the most bytes of any of them that are read, ``train_bytes`` the most that
-    are trained on. Scoring always covers whole texts."""
+    brought to the driver for training, ``clean`` the most of label 0 besides, for calibration alone.
+    Training, calibration and scoring cover whole texts."""
 
     sample: int = 600
     clean: int = 1200
-    sample_bytes: int = 20_000
-    train_bytes: int = 6_000
     epochs: int = 8
     batch: int = 32
     rate: float = 0.01
@@ -107,6 +106,12 @@ class Network:
             }
         self.p = {k: v.astype(F32) for k, v in self.p.items()}
 
+    def copy(self) -> Network:
+        """The same words, with weights that further training leaves alone."""
+        out = copy.copy(self)
+        out.p = {k: v.copy() for k, v in self.p.items()}
+        return out
+
     def known(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.zeros(len(hashes), np.int64)
@@ -157,12 +162,15 @@ class Network:
         x = np.concatenate([x, np.zeros((1, x.shape[1]), F32)])
         return {w: x @ self.p[f"{w}x"] + self.p[f"{w}c"] for w in ("f", "b")}
 
-    def gradients(self, batch: dict, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss of documents whose largest window logit, smoothly taken, should tell the label."""
+    def gradients(self, batch: dict, y: np.ndarray, step: int = 1024) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss of documents whose largest window logit, smoothly taken, should tell the label. Of
+        more than ``step`` windows the logits come first, then the gradients of so many at once."""
         p, h = self.p, HIDDEN
         x = self.vectors(batch["row"], batch["grams"], batch["size"])
         px, keep = self.projected(x), {}
-        logit = self.forward(px, batch["token"], batch["mask"], keep)
+        cuts = [slice(i, i + step) for i in range(0, len(batch["doc"]), step)]
+        token_of, mask_of = batch["token"], batch["mask"]
+        logit = np.concatenate([self.forward(px, token_of[:, c], mask_of[:, c], keep if len(cuts) == 1 else None) for c in cuts])
         starts = np.flatnonzero(W.edges_of(batch["doc"]))
         top = np.maximum.reduceat(logit, starts)
         e = np.exp(logit - top[batch["doc"]])
@@ -170,40 +178,46 @@ class Network:
         doc_logit = top + np.log(total)
         prob = sigmoid(doc_logit)
         loss = float(np.mean(np.logaddexp(0, doc_logit) - y * doc_logit))
-        d_logit = ((prob - y) / len(y)).astype(F32)[batch["doc"]] * (e / total[batch["doc"]])
+        d_logits = ((prob - y) / len(y)).astype(F32)[batch["doc"]] * (e / total[batch["doc"]])
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["out"], g["bias"] = d_logit @ keep["pooled"], d_logit.sum(keepdims=True)
-        a, hh = keep["a"], keep["h"]
-        d_pooled = d_logit[:, None] * p["out"]
-        d_h = a[:, :, None] * d_pooled
-        d_a = (hh * d_pooled).sum(axis=2)
-        d_s = a * (d_a - (a * d_a).sum(axis=0))
-        flat = keep["pooled_in"].reshape(-1, POOL)
-        g["look"] = d_s.reshape(-1) @ flat
-        d_in = d_s[:, :, None] * p["look"] * (1 - keep["pooled_in"] ** 2)
-        g["pool"] = hh.reshape(-1, 2 * h).T @ d_in.reshape(-1, POOL)
-        d_h = d_h + d_in @ p["pool"].T
+        d_px = {way: np.zeros((len(x) + 1, 3 * h), F32) for way in ("f", "b")}
+        for c in cuts:
+            d_logit, token, mask = d_logits[c], token_of[:, c], mask_of[:, c]
+            if len(cuts) > 1:
+                keep = {}
+                self.forward(px, token, mask, keep)
+            g["out"] += d_logit @ keep["pooled"]
+            g["bias"] += d_logit.sum(keepdims=True)
+            a, hh = keep["a"], keep["h"]
+            d_pooled = d_logit[:, None] * p["out"]
+            d_h = a[:, :, None] * d_pooled
+            d_a = (hh * d_pooled).sum(axis=2)
+            d_s = a * (d_a - (a * d_a).sum(axis=0))
+            flat = keep["pooled_in"].reshape(-1, POOL)
+            g["look"] += d_s.reshape(-1) @ flat
+            d_in = d_s[:, :, None] * p["look"] * (1 - keep["pooled_in"] ** 2)
+            g["pool"] += hh.reshape(-1, 2 * h).T @ d_in.reshape(-1, POOL)
+            d_h = d_h + d_in @ p["pool"].T
+            for k, way in enumerate(("f", "b")):
+                back = np.zeros(hh.shape[1:2] + (h,), F32)
+                u = p[f"{way}h"]
+                for t, state, z, r, new, from_state in reversed(keep["tapes"][way]):
+                    m = mask[t, :, None]
+                    d_after = back + d_h[t, :, k * h : (k + 1) * h]
+                    open_ = m * (1 - z)
+                    d_new = d_after * open_ * (1 - new**2)
+                    d_z = -d_after * m * (new - state) * z * (1 - z)
+                    d_r = d_new * from_state[:, 2 * h :] * r * (1 - r)
+                    d_gate = np.concatenate([d_z, d_r, d_new], axis=1)
+                    d_state = np.concatenate([d_z, d_r, d_new * r], axis=1)
+                    g[f"{way}h"] += state.T @ d_state
+                    np.add.at(d_px[way], token[t], d_gate)
+                    back = d_after * (1 - open_) + d_state @ u.T
         d_x = np.zeros_like(x)
-        token, mask = batch["token"], batch["mask"]
-        for k, way in enumerate(("f", "b")):
-            back = np.zeros(hh.shape[1:2] + (h,), F32)
-            d_px = np.zeros((len(x) + 1, 3 * h), F32)
-            u = p[f"{way}h"]
-            for t, state, z, r, new, from_state in reversed(keep["tapes"][way]):
-                m = mask[t, :, None]
-                d_after = back + d_h[t, :, k * h : (k + 1) * h]
-                open_ = m * (1 - z)
-                d_new = d_after * open_ * (1 - new**2)
-                d_z = -d_after * m * (new - state) * z * (1 - z)
-                d_r = d_new * from_state[:, 2 * h :] * r * (1 - r)
-                d_gate = np.concatenate([d_z, d_r, d_new], axis=1)
-                d_state = np.concatenate([d_z, d_r, d_new * r], axis=1)
-                g[f"{way}h"] += state.T @ d_state
-                np.add.at(d_px, token[t], d_gate)
-                back = d_after * (1 - open_) + d_state @ u.T
-            g[f"{way}c"] = d_px.sum(axis=0)
-            g[f"{way}x"] = x.T @ d_px[:-1]
-            d_x += d_px[:-1] @ p[f"{way}x"].T
+        for way in ("f", "b"):
+            g[f"{way}c"] = d_px[way].sum(axis=0)
+            g[f"{way}x"] = x.T @ d_px[way][:-1]
+            d_x += d_px[way][:-1] @ p[f"{way}x"].T
         np.add.at(g["word"], batch["row"], d_x[:, :WORD_DIM])
         share = d_x[:, WORD_DIM:] / batch["size"][:, None].astype(F32)
         np.add.at(g["gram"], batch["grams"], np.repeat(share, batch["size"], axis=0))
@@ -232,35 +246,30 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join(texts) + b" ", np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def train(texts: list[bytes], y: np.ndarray, prior: float, how: Training) -> tuple[Network, float, float]:
-    """The network, and the slope and place that turn its logit into a probability under ``prior``,
-    the share of label 1 among all labelled documents that may be learned from."""
+def train(texts: list[bytes], y: np.ndarray, how: Training) -> list[Network]:
+    """The network as it is after each epoch over all windows of the texts."""
     rng = np.random.default_rng(how.seed)
-    cut = [t[: how.train_bytes] for t in texts]
-    # kept back to choose the epoch and for calibration; of label 0 all beyond the training sample
-    last = (rng.random(len(cut)) < 0.15) | ((y == 0) & (np.cumsum(y == 0) > how.sample))
-    use = np.flatnonzero(~last)
+    use = np.arange(len(texts))
     seen: dict[int, list[int]] = {}
-    for text, label in ((cut[i], y[i]) for i in use):
+    for text, label in zip(texts, y, strict=True):
         for w in np.unique(words_of(np.frombuffer(text, np.uint8))[0]).tolist():
             c = seen.setdefault(w, [0, 0])
             c[int(label)] += 1
     common = sorted(w for w, c in seen.items() if sum(c) >= how.least_docs)
     net = Network(np.array(common, dtype=np.uint64), how.seed)
     # the first unit of a word's vector starts at its log odds of the labels, smoothed
-    n1, n0 = max(y[use].sum(), 1), max((1 - y[use]).sum(), 1)
+    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
     odds = [np.log((seen[w][1] + 1) / (n1 + 2)) - np.log((seen[w][0] + 1) / (n0 + 2)) for w in common]
     if odds:
         net.p["word"][1:, 0] = np.clip(odds, -2, 2).astype(F32) * F32(0.5)
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
-    best, kept = np.inf, {k: v.copy() for k, v in net.p.items()}
+    step, after = 0, []
     for _ in range(how.epochs if len(use) else 0):
         rng.shuffle(use)
         for i in range(0, len(use), how.batch):
             pick = use[i : i + how.batch]
-            data, offsets = joined([cut[j] for j in pick])
+            data, offsets = joined([texts[j] for j in pick])
             loss, g = net.gradients(net.window_batch(data, offsets), y[pick])
             step += 1
             size = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
@@ -270,14 +279,13 @@ def train(texts: list[bytes], y: np.ndarray, prior: float, how: Training) -> tup
                 mean[k] = 0.9 * mean[k] + 0.1 * grad
                 square[k] = 0.99 * square[k] + 0.01 * grad**2
                 v -= (how.rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)).astype(F32)
-        held = np.flatnonzero(last) if last.any() else use
-        logit = logits_of(net, [cut[j] for j in held])
-        loss = float(np.mean(np.logaddexp(0, logit) - y[held] * logit))
-        if loss < best:
-            best, kept = loss, {k: v.copy() for k, v in net.p.items()}
-    net.p = kept
-    held = np.flatnonzero(last) if y[last].sum() >= 5 else np.arange(len(cut))
-    logit, y = logits_of(net, [texts[j] for j in held]), y[held]
+        after.append(net.copy())
+    return after or [net]
+
+
+def calibrated(logit: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
+    """The slope and place that turn the logits of whole documents into probabilities under
+    ``prior``, the share of label 1 among all labelled documents that may be learned from."""
     # as many of each label as there are: weights bring the prior back
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
@@ -298,11 +306,34 @@ def train(texts: list[bytes], y: np.ndarray, prior: float, how: Training) -> tup
         at = at - move
         if np.abs(move).max() < 1e-7:
             break
-    return net, float(at[0]), float(at[1])
+    return float(at[0]), float(at[1])
+
+
+def column_logits(net: Network, column: pa.Array) -> np.ndarray:
+    """The logit of each text of a column without nulls, over all its windows."""
+    out = np.zeros(len(column))
+    data, offsets = W.text_bytes(column)
+    part = (offsets[1:] - offsets[0]).astype(np.int64) >> 21
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(column)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b > a:
+            texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
+            out[a:b] = net.document_logits(*joined(texts))
+    return out
+
+
+def epoch_logits(docs: DataFrame, nets: list[Network]) -> tuple[np.ndarray, np.ndarray]:
+    """(logits of each document by each network, labels) of ``docs`` (doc_id, text, y), scored on
+    executors."""
+    shared = docs.sparkSession.sparkContext.broadcast(nets)
 
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array(list(np.stack([column_logits(net, column) for net in shared.value], axis=1)), pa.list_(pa.float64()))
 
-def logits_of(net: Network, texts: list[bytes]) -> np.ndarray:
-    return np.concatenate([net.document_logits(*joined(texts[i : i + 256])) for i in range(0, len(texts), 256)]).astype(float)
+    rows = docs.select("doc_id", "y", F.arrow_udf(run, "array<double>")("text").alias("logits")).collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["logits"]))
+    return np.array([r["logits"] for r in rows]).reshape(len(rows), len(nets)), np.array([r["y"] for r in rows])
 
 
 class ToxicityModel:
@@ -317,17 +348,26 @@ class ToxicityModel:
         total = sum(count.values())
         if not total:
             return self  # nothing to learn from: every score is one half
-        chosen = None
+        # kept back to choose the epoch and for calibration; of label 0 all beyond the training sample
+        rng, chosen = np.random.default_rng(self.how.seed), []
         for label, most in ((0.0, self.how.sample + self.how.clean), (1.0, self.how.sample)):
-            part = labelled.where(F.col("y") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-            chosen = part if chosen is None else chosen.unionByName(part)
-        text = F.substring(F.encode("text", "UTF-8"), 1, self.how.sample_bytes)
+            part = labelled.where(F.col("y") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+            last = (rng.random(len(part)) < 0.15) | (np.arange(len(part)) >= self.how.sample)
+            chosen += [(r["doc_id"], label, bool(k)) for r, k in zip(part, last, strict=True)]
+        side = docs.sparkSession.createDataFrame(chosen, "doc_id long, y double, last boolean")
         # a bounded number of ids, so this side may be broadcast
-        rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", text.alias("raw"), "y").collect()
+        picked = docs.select("doc_id", "text").join(F.broadcast(side), "doc_id")
+        rows = picked.where(~F.col("last")).select("doc_id", F.encode("text", "UTF-8").alias("raw"), "y").collect()
         rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["raw"])))
-        if rows:
-            y = np.array([r["y"] for r in rows])
-            self.fitted = train([bytes(r["raw"]) for r in rows], y, count.get(1.0, 0) / total, self.how)
+        nets = train([bytes(r["raw"]) for r in rows], np.array([r["y"] for r in rows], dtype=float), self.how)
+        logits, y = epoch_logits(picked.where("last"), nets)
+        every = (logits, y) if y.sum() >= 5 else epoch_logits(picked, nets)
+        if not len(every[1]):
+            return self
+        if not len(y):
+            logits, y = every
+        best = int(np.argmin(np.mean(np.logaddexp(0, logits) - y[:, None] * logits, axis=0)))
+        self.fitted = nets[best], *calibrated(every[0][:, best], every[1], count.get(1.0, 0) / total)
         return self
 
     def score(self, docs: DataFrame, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -338,17 +378,8 @@ class ToxicityModel:
         shared = docs.sparkSession.sparkContext.broadcast(net)
 
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            net = shared.value
             for column in columns:
-                out = np.zeros(len(column))
-                data, offsets = W.text_bytes(column)
-                part = (offsets[1:] - offsets[0]).astype(np.int64) >> 21
-                edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(column)]
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    if b > a:
-                        texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
-                        out[a:b] = sigmoid(slope * net.document_logits(*joined(texts)).astype(float) + place)
-                yield pa.array(out)
+                yield pa.array(sigmoid(slope * column_logits(shared.value, column) + place))
 
         score = F.arrow_udf(run, "double")
         return docs.withColumn(name, score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))

@@ -59,3 +59,31 @@ def test_odd_tables(spark):
     assert T.toxicity_scores(docs, labels).count() == 5
     assert {r["score"] for r in T.toxicity_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert T.toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def test_gradients_in_parts():
+    data, offsets = T.joined([b"one two three four " * 90, b"", b"alpha beta " * 60])
+    net = T.Network(np.unique(T.words_of(data)[0])[:4], 1)
+    batch, y = net.window_batch(data, offsets), np.array([1.0, 0, 0])
+    assert len(batch["doc"]) > 4
+    loss, whole = net.gradients(batch, y)
+    again, parts = net.gradients(batch, y, step=2)
+    assert abs(loss - again) < 1e-6
+    assert all(np.allclose(whole[k], parts[k], atol=1e-5) for k in whole)
+
+
+def test_ends_of_long_texts_are_learned(spark):
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(60)]
+
+    def text(toxic):
+        end = ["vile", "nasty", "slur"] * 8 if toxic else ["mild", "kind", "calm"] * 8
+        return " ".join([*rng.choice(words, 3200), *end])  # the end is beyond 20,000 bytes
+
+    rows = [(i, text(i % 2), i % 2) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, None, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    assert min(len(t) for _, t, _ in rows) > 20_000
+    out = T.toxicity_scores(docs, labels, how=T.Training(batch=8)).collect()
+    test = [r for r in out if r["held_out"]]
+    assert len(test) > 10 and all(r["predicted"] == r["doc_id"] % 2 for r in test)
