@@ -68,10 +68,10 @@ class FingerprintIndex:
 
 
 def verified(found: DataFrame, texts: DataFrame, unit: W.Unit, n: int) -> DataFrame:
-    """Settled windows of open runs: the windows of both sides are compared word for word, as
-    hashes of 96 bits beside the equal fingerprint."""
+    """Settled windows of open runs: the windows of both sides are compared whole, as hashes of 96
+    bits."""
     opened = found.where(F.col("kind") == W.OPEN)
-    windows = W.together(texts, opened, n, W.fetch_words(unit), W.OUT_SQL)
+    windows = W.together(texts, opened, n, W.fetch_words(unit, n), W.OUT_SQL)
     return windows.groupBy("bucket").applyInArrow(W.settle_words(n), W.OUT_SQL)
 
 

@@ -3,7 +3,9 @@
 The passages that may repeat meet by the fingerprints of ``windows``. In each bucket their bytes
 make one local text, whose suffixes are sorted in two stages: only those smaller than their
 successors are sorted directly, the others are induced from them by scans over the buckets of first
-bytes. Adjacent common prefixes of the window's length or more then show the repeated strings.
+bytes. Adjacent common prefixes of the window's length or more then show the repeated strings. The
+passages of a frequent fingerprint are sorted in parts in different buckets; the first documents of
+each part's strings then meet by hashes of the strings.
 """
 
 from __future__ import annotations
@@ -109,17 +111,27 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def repeated_starts(text: np.ndarray, doc: np.ndarray, usable: np.ndarray, window: int) -> np.ndarray:
-    """Places whose next ``window`` bytes also start in a document with a smaller id. ``doc``: the
-    id at each byte; ``usable``: where such a string starts within a passage."""
+def string_places(text: np.ndarray, doc: np.ndarray, usable: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(usable places, whether each one's next ``window`` bytes also start in a document with a
+    smaller id, number of its string). ``doc``: the id at each byte; ``usable``: where such a string
+    starts within a passage."""
     sa = suffix_array(text, window)
     lcp = common_prefixes(text, sa, window)
     new = lcp < window
     new[:1] = True
     group = np.cumsum(new) - 1
     least = np.minimum.reduceat(np.where(usable[sa], doc[sa], np.iinfo(np.int64).max), np.flatnonzero(new))
-    found = usable[sa] & (doc[sa] > least[group])
-    return sa[found]
+    keep = usable[sa]
+    at, group = sa[keep], group[keep]
+    return at, doc[at] > least[group], group
+
+
+def string_hashes(text: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of the ``window`` bytes from each place."""
+    h1, h2 = np.full(len(at), W.BASE2), np.full(len(at), W.BASE)
+    for word in prefix_words(text, window):
+        h1, h2 = W.mix(h1 * W.BASE + word[at]), W.mix(h2 * W.BASE2 + W.mix(word[at]))
+    return h1, h2.astype(np.uint32)
 
 
 def fetch_bytes(unit: W.Unit):
@@ -135,33 +147,40 @@ def fetch_bytes(unit: W.Unit):
             parts.append(data[W.expand(x["start"][rows], size[rows])])
         data, ends = np.concatenate(parts), np.cumsum(size)
         out = []
-        order = np.argsort(x["to"], kind="stable")
-        edges = np.flatnonzero(np.diff(x["to"][order])) + 1
+        dealt = x["part"] > 0
+        order = np.lexsort((dealt, x["to"]))
+        edges = np.flatnonzero(W.edges_of(x["to"][order], dealt[order]))[1:]
         for rows in np.split(order, edges):
             raw = data[W.expand(ends[rows] - size[rows], size[rows])]
-            blob = W.pack(raw=raw, **{k: x[k][rows] for k in ("doc", "th", "start", "n", "fp")})
+            names = ("doc", "th", "start", "n", "fp", *(["part"] if dealt[rows[0]] else []))
+            blob = W.pack(raw=raw, **{k: x[k][rows] for k in names})
             out.append((int(x["to"][rows[0]]), W.OPEN, blob))
         return pa.Table.from_batches([W.as_batch(out)])
 
     return f
 
 
-#: Bytes of passages that are sorted at once; the passages of one fingerprint stay together.
+#: Bytes of passages that are sorted at once; the passages of one fingerprint, or of one part of it,
+#: stay together.
 LOCAL_TEXT = 1 << 20
 
 
 def settle_bytes(unit: W.Unit, n: int):
+    """Strings that a document with a smaller id has, by bucket of the document; of dealt
+    fingerprints also the first document of each string of a part, by bucket of the string's hash."""
+
     def f(tab: pa.Table) -> pa.Table:
         blobs = [W.unpack(b) for b in tab.column("blob").to_pylist()]
         raw = np.concatenate([b["raw"] for b in blobs])
         x = {k: np.concatenate([b[k] for b in blobs]) for k in ("doc", "th", "start", "n", "fp")}
+        dealt = np.concatenate([b.get("part", np.zeros(len(b["n"]), np.uint32)) for b in blobs])
         size = x["n"].astype(np.int64) + unit.window - 1
         begin = np.cumsum(size) - size
-        order = np.argsort(x["fp"], kind="stable")
+        order = np.lexsort((dealt, x["fp"]))
         part = np.cumsum(size[order]) // LOCAL_TEXT
-        lead = np.flatnonzero(W.edges_of(x["fp"][order]))
+        lead = np.flatnonzero(W.edges_of(x["fp"][order], dealt[order]))
         part = part[lead][np.searchsorted(lead, np.arange(len(order)), side="right") - 1]
-        docs, ths, starts = [], [], []
+        docs, ths, starts, first = [], [], [], []
         for rows in np.split(order, np.flatnonzero(np.diff(part)) + 1):
             length = size[rows] + 1
             text = np.full(int(length.sum()), END, np.uint8)
@@ -169,17 +188,48 @@ def settle_bytes(unit: W.Unit, n: int):
             text[W.expand(at, size[rows])] = raw[W.expand(begin[rows], size[rows])]
             owner = np.repeat(np.arange(len(rows)), length)
             offset = np.arange(len(text)) - at[owner]
-            found = repeated_starts(text, x["doc"][rows][owner], offset < x["n"][rows][owner], unit.window)
-            docs.append(x["doc"][rows][owner[found]])
+            doc = x["doc"][rows][owner]
+            place, later, group = string_places(text, doc, offset < x["n"][rows][owner], unit.window)
+            found = place[later]
+            docs.append(doc[found])
             ths.append(x["th"][rows][owner[found]])
             starts.append(x["start"][rows][owner[found]] + offset[found])
+            go = ~later & (dealt[rows][owner[place]] > 0)
+            # nothing comes before a null id, so one of them stands for all
+            go[go] = (doc[place[go]] != W.NULL_ID) | W.edges_of(group[go])
+            if go.any():
+                found = place[go]
+                h1, h2 = string_hashes(text, found, unit.window)
+                start = (x["start"][rows][owner[found]] + offset[found]).astype(np.uint32)
+                first.append({"doc": doc[found], "th": x["th"][rows][owner[found]], "start": start, "h1": h1, "h2": h2})
         out = W.joined(np.concatenate(docs), np.concatenate(ths), np.concatenate(starts), n)
+        if first:
+            y = {k: np.concatenate([p[k] for p in first]) for k in first[0]}
+            y = {k: v[np.lexsort((y["start"], y["th"], y["doc"]))] for k, v in y.items()}
+            out += W.by_bucket((y["h1"] >> np.uint64(32)).astype(np.int64) % n, W.OPEN, **y)
+        return pa.Table.from_batches([W.as_batch(out)])
+
+    return f
+
+
+def settle_strings(n: int):
+    """Of the strings of all parts of a fingerprint those that a document with a smaller id has."""
+
+    def f(tab: pa.Table) -> pa.Table:
+        out, blobs = W.by_kind(tab)
+        if blobs:
+            x = W.stacked(blobs)
+            order = np.lexsort((x["doc"], x["h2"], x["h1"]))
+            x = {k: v[order] for k, v in x.items()}
+            new = W.edges_of(x["h1"], x["h2"])
+            later = x["doc"] > x["doc"][np.flatnonzero(new)[np.cumsum(new) - 1]]
+            out += W.joined(*(x[k][later] for k in ("doc", "th", "start")), n)
         return pa.Table.from_batches([W.as_batch(out)])
 
     return f
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, part: int = W.Unit.part) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (bytes).
 
     A byte of the UTF-8 text goes if a string of ``window`` bytes that covers it also starts in a
@@ -187,14 +237,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have no bytes. A null id is smaller than all others. Rows with one id
     remove nothing from each other. An empty table gives an empty result. Further columns are not
-    read. What is kept of a text need not be valid UTF-8: a span may end inside a character.
+    read. What is kept of a text need not be valid UTF-8: a span may end inside a character. At most
+    ``part`` open passages of one fingerprint are sorted together; this does not change the result.
     """
     spark = docs.sparkSession
-    unit = W.Unit(window=window, gram=min(24, window), words=False, within=False)
+    unit = W.Unit(window=window, gram=min(24, window), words=False, within=False, part=part)
     rows, n = keyed(docs, id_col, text_col), 2 * partitions(spark)
     found = Scratch(spark, "suffix-dedup").write(W.match(W.cut(rows, unit, n), unit, n, keep_runs=False), "found")
     passages = W.together(rows, found.where(F.col("kind") == W.OPEN), n, fetch_bytes(unit), W.OUT_SQL)
     checked = passages.groupBy("bucket").applyInArrow(settle_bytes(unit, n), W.OUT_SQL)
+    checked = checked.groupBy("bucket").applyInArrow(settle_strings(n), W.OUT_SQL)
     spans = found.where(F.col("kind") == W.SETTLED).unionByName(checked)
     out = W.together(rows, spans, n, W.apply(unit), W.APPLIED)
     return out.select(

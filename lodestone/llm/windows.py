@@ -9,12 +9,14 @@ equal anchors, so all that can match meets under the anchor's fingerprint:
    batch repeated runs are settled at once, which is the map-side combine of a hot passage.
 2. ``match``: per bucket of fingerprints, runs whose whole content has an earlier place are settled.
    Runs that share a fingerprint with other contents are open: only part of their windows may match.
-3. ``fetch`` and ``settle``: for open runs alone the windows themselves are brought together.
+3. ``fetch`` and ``settle``: for open runs alone the windows themselves are brought together, words
+   by the hash of the window, bytes by parts of a fingerprint's passages, whose strings then meet.
 4. ``apply``: settled windows meet their text.
 
-Runs travel as packed blobs, one for each batch and bucket, so Spark shuffles few large rows. A
-bucket's size follows the number of shuffle partitions, never the number of rows of one key: an
-anchor brings one run for each batch and content at most.
+Runs travel as packed blobs, one for each batch and bucket, so Spark shuffles few large rows. An
+anchor brings one run for each batch and content at most; where many documents share a passage in
+different contexts its edges have as many contents, whose runs (some 33 bytes each, without the
+windows) still meet in one bucket of ``match``.
 """
 
 from __future__ import annotations
@@ -100,6 +102,8 @@ class Unit:
     #: True: a window is repeated if an earlier place has it, in the same document too. False: if a
     #: document with a smaller id has it.
     within: bool
+    #: Open passages of one fingerprint that are brought together at once; more are dealt in parts.
+    part: int = 4096
 
     def cut(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
         if not self.words:
@@ -296,6 +300,17 @@ def edges_of(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def parts_of(key: np.ndarray, most: int) -> np.ndarray:
+    """0 where a key has at most so many rows; otherwise the number, from 1, of the row's part."""
+    order = np.argsort(key, kind="stable")
+    lead = np.flatnonzero(edges_of(key[order]))
+    count = np.diff(np.append(lead, len(order)))
+    rank = np.arange(len(order)) - np.repeat(lead, count)
+    part = np.zeros(len(key), np.uint32)
+    part[order] = np.where(np.repeat(count, count) > most, rank // most + 1, 0)
+    return part
+
+
 def match(runs: DataFrame, unit: Unit, n: int, keep_runs: bool) -> DataFrame:
     """Settled and open runs by bucket of the document; with ``keep_runs`` also each bucket's new
     runs, sorted: a part of the index."""
@@ -343,7 +358,12 @@ def match(runs: DataFrame, unit: Unit, n: int, keep_runs: bool) -> DataFrame:
                 if open_.any():
                     take = np.flatnonzero(open_)
                     take = take[np.lexsort((x["start"][take], x["th"][take], x["doc"][take]))]
-                    more = {"fp": x["fp"][take], "fresh": fresh_x[take].astype(np.uint8), "to": np.full(len(take), bucket, np.int32)}
+                    if unit.within:
+                        more = {"fresh": fresh_x[take].astype(np.uint8)}
+                    else:
+                        part = parts_of(x["fp"][take], unit.part)
+                        to = (bucket + np.maximum(part.astype(np.int64) - 1, 0)) % n
+                        more = {"fp": x["fp"][take], "part": part, "to": to.astype(np.int32)}
                     out += by_bucket(x["th"][take] % n, OPEN, **{k: x[k][take] for k in cols}, **more)
             if keep_runs:
                 keep = np.flatnonzero(fresh & ~repeat)
@@ -391,8 +411,9 @@ def expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(start.astype(np.int64), n)
 
 
-def fetch_words(unit: Unit):
-    """Hashes of 96 bits of the windows of open runs, by bucket of the fingerprint."""
+def fetch_words(unit: Unit, n: int):
+    """Hashes of 96 bits of the windows of open runs, by bucket of the hash. Of the places of one
+    window only the first goes on; the others are settled here."""
 
     def f(docs: pa.Table, blobs: pa.Table) -> pa.Table:
         x = in_doc_order(blobs.column("blob").to_pylist()) if blobs.num_rows else None
@@ -405,35 +426,47 @@ def fetch_words(unit: Unit):
                 h1.append(Spans(tokens, BASE).hash(at, at + unit.window))
                 h2.append(Spans(mix(tokens), BASE2).hash(at, at + unit.window).astype(np.uint32))
             rows = np.repeat(np.arange(len(x["n"])), x["n"])
-            out = by_bucket(
-                x["to"][rows],
-                OPEN,
-                doc=x["doc"][rows],
-                th=x["th"][rows],
-                start=expand(x["start"], x["n"]).astype(np.uint32),
-                fresh=x["fresh"][rows],
-                h1=np.concatenate(h1),
-                h2=np.concatenate(h2),
-            )
+            places = {k: x[k][rows] for k in ("doc", "th", "fresh")}
+            places |= {"start": expand(x["start"], x["n"]).astype(np.uint32), "h1": np.concatenate(h1), "h2": np.concatenate(h2)}
+            places, later = after_first(places)
+            out = joined(*(places[k][later] for k in ("doc", "th", "start")), n)
+            # a place that comes as history and as new goes on as both, but once each
+            go = ~later & edges_of(*(places[k] for k in ("h1", "h2", "fresh", "doc", "th", "start")))
+            go = np.flatnonzero(go)[np.lexsort([places[k][go] for k in ("start", "th", "doc")])]
+            places = {k: v[go] for k, v in places.items()}
+            out += by_bucket((places["h1"] >> U64(32)).astype(np.int64) % n, OPEN, **places)
         return pa.Table.from_batches([as_batch(out)])
 
     return f
 
 
+def after_first(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Places in the order of their windows, and which of them are new and not the first place."""
+    order = np.lexsort((x["start"], x["th"], x["doc"], x["fresh"], x["h2"], x["h1"]))
+    x = {k: v[order] for k, v in x.items()}
+    new = edges_of(x["h1"], x["h2"])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    same = np.ones(len(lead), dtype=bool)
+    for k in ("doc", "th", "start"):  # a place may come as new and, with a later batch, as history
+        same &= x[k] == x[k][lead]
+    return x, ~same & x["fresh"].astype(bool)
+
+
+def by_kind(tab: pa.Table) -> tuple[list[tuple[int, int, bytes]], list[bytes]]:
+    """(settled rows as they are, blobs of the open ones)."""
+    rows = list(zip(*(tab.column(k).to_pylist() for k in ("bucket", "kind", "blob")), strict=True))
+    return [r for r in rows if r[1] == SETTLED], [r[2] for r in rows if r[1] == OPEN]
+
+
 def settle_words(n: int):
     """All but the first place of each window."""
 
     def f(tab: pa.Table) -> pa.Table:
-        x = stacked(tab.column("blob").to_pylist())
-        order = np.lexsort((x["start"], x["th"], x["doc"], x["fresh"], x["h2"], x["h1"]))
-        x = {k: v[order] for k, v in x.items()}
-        new = edges_of(x["h1"], x["h2"])
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        same = np.ones(len(lead), dtype=bool)
-        for k in ("doc", "th", "start"):  # a place may come as new and, with a later batch, as history
-            same &= x[k] == x[k][lead]
-        later = ~same & x["fresh"].astype(bool)
-        return pa.Table.from_batches([as_batch(joined(*(x[k][later] for k in ("doc", "th", "start")), n))])
+        out, blobs = by_kind(tab)
+        if blobs:
+            x, later = after_first(stacked(blobs))
+            out += joined(*(x[k][later] for k in ("doc", "th", "start")), n)
+        return pa.Table.from_batches([as_batch(out)])
 
     return f
 

@@ -109,3 +109,30 @@ def test_passages_are_sorted_in_parts(spark, monkeypatch):
         return sorted(zip(np.repeat(found["doc"], found["n"]).tolist(), at.tolist(), strict=True))
 
     assert settled(1 << 20) == settled(300) and settled(300)
+
+
+@pytest.mark.parametrize("part", [1, 3])
+def test_frequent_fingerprints_are_sorted_in_parts(spark, part):
+    rows = brute.corpus(7)
+    assert got(suffix_dedup(frame(spark, rows), part=part), "n_bytes", "n_removed", "n_spans") == brute.op9(rows)
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_hot_passage_in_many_contexts_is_dealt(spark, words):
+    from lodestone.llm import suffix_dedup as S
+
+    # one passage just as long as a window with its anchor, between words that no other document has
+    hot = " ".join(f"hot{i}" for i in range(22))
+    rows = [(i, " ".join(f"{'ab'[k // 30]}{i}x{k}" if k != 30 else hot for k in range(60))) for i in range(400)]
+    out = substring_dedup(frame(spark, rows)) if words else suffix_dedup(frame(spark, rows))
+    assert got(out, *(("n_words", "n_removed") if words else ("n_bytes", "n_removed", "n_spans"))) == (brute.op1 if words else brute.op9)(rows)
+    unit, n = (W.WORDS if words else W.Unit(window=50, gram=24, words=False, within=False, part=20)), 16
+    docs = keyed(frame(spark, rows))
+    found = W.match(W.cut(docs, unit, n), unit, n, keep_runs=False)
+    fetch = W.fetch_words(unit, n) if words else S.fetch_bytes(unit)
+    blobs = W.together(docs, found.where(f"kind = {W.OPEN}"), n, fetch, W.OUT_SQL).where(f"kind = {W.OPEN}").collect()
+    size = np.zeros(n)
+    for r in blobs:
+        x = W.unpack(bytes(r["blob"]))
+        size[r["bucket"]] += x["count"].sum() if words else len(x["n"])
+    assert size.sum() > 400 and size.max() < size.sum() / 4
