@@ -104,10 +104,21 @@ o AS (SELECT a.id, b.id AS oid, sign((a.x1 - a.x0) * (b.y0 - a.y0) - (a.y1 - a.y
  sign((b.x1 - b.x0) * (a.y0 - b.y0) - (b.y1 - b.y0) * (a.x0 - b.x0)) * sign((b.x1 - b.x0) * (a.y1 - b.y0) - (b.y1 - b.y0) * (a.x1 - b.x0)) AS s2 FROM s a JOIN s b ON a.id < b.id)
 SELECT id, oid FROM o WHERE s1 < 0 AND s2 < 0""")
 def edge_crossings(spark, sf):
+    """Crossings among the segments that start at every fifth vector, as the SQL has it; ``edge_crossings_whole`` has all segments."""
+    return D.crossings(_segments(spark, sf).where("id % 5 = 0"), 0.1)
+
+
+@query()
+def edge_crossings_whole(spark, sf):
+    """Crossings among the segments of all consecutive vectors; a quadratic self-join in SQL, so a test holds it to a loop."""
+    return D.crossings(_segments(spark, sf), 0.1)
+
+
+def _segments(spark, sf):
+    """From each vector to the next, in the plane of their first two parts."""
     p = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     b = p.select((F.col("id") - 1).alias("id"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    s = p.where("id % 5 = 0").join(b, "id").select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
-    return D.crossings(s, 0.1)
+    return p.join(b, "id").select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
 
 
 @query("""WITH RECURSIVE q AS (SELECT s_suppkey AS id, c_custkey AS oid, round(abs(s_acctbal - c_acctbal), 2) AS gap FROM supplier JOIN customer ON s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) <= 300)
