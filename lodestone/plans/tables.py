@@ -141,8 +141,15 @@ def screen(spark, sf):
 
 @query("""SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) % 7 = 0""")
 def json_flatten(spark, sf):
+    """Events whose k is a multiple of seven, as the SQL has it; ``json_flatten_whole`` has all events."""
+    return json_flatten_whole(spark, sf).where("k % 7 = 0")
+
+
+@query("""SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id FROM events""")
+def json_flatten_whole(spark, sf):
+    """Every event with its k, null where props has none."""
     k = F.from_json("props", "k bigint")["k"]
-    return table(spark, sf, "events").select("user_id", k.alias("k"), "event_id").where("k % 7 = 0")
+    return table(spark, sf, "events").select("user_id", k.alias("k"), "event_id")
 
 
 @query("""SELECT event_type, count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)) AS kinds, mode_k, mode_n FROM events JOIN

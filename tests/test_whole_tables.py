@@ -32,3 +32,11 @@ def test_edge_crossings_whole_equals_a_loop(spark):
     found = [(r["id"], r["oid"]) for r in QUERIES["edge_crossings_whole"](spark, SF).collect()]
     assert set(found) == expected and len(found) == len(expected)
     assert {i % 5 for i, _ in found} == set(range(5))
+
+
+def test_json_flatten_whole_has_every_event(spark, tmp_path):
+    assert QUERIES["json_flatten_whole"](spark, SF).count() == rows(spark, "events").count()
+    few = [(1, 10, '{"k": 7}'), (2, 11, '{"k": 8}'), (3, 12, '{"x": 1}'), (4, 13, None)]
+    spark.createDataFrame(few, "event_id long, user_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = {(r["user_id"], r["k"], r["event_id"]) for r in QUERIES["json_flatten_whole"](spark, str(tmp_path)).collect()}
+    assert found == {(10, 7, 1), (11, 8, 2), (12, None, 3), (13, None, 4)}
