@@ -17,18 +17,35 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of a source for each bucket of whole texts; a bucket is one group in a Python task.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets(docs: DataFrame) -> int:
+    """How many buckets texts are dealt into: two for each shuffle partition, and more where the
+    planner's size of the table says that these would hold too much."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # a source without statistics names a size beyond all tables
+    return max(2 * partitions(docs.sparkSession), size // BUCKET_BYTES if size < 1 << 60 else 0)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests on one
-    machine) a temporary one is made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("lodestone.scratch", None)
+    """The folder that driver and executors share. Where the session names none, a temporary one is
+    made and set on a local master; on a cluster that would be lost with its machine, so it is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lodestone.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("lodestone.scratch", base)
     return base.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 class Scratch:
     """Tables written under the shared folder to cut lineage: each survives lost executors and is
     read again by the next step. ``drop`` removes those that no later step reads."""
@@ -46,10 +63,7 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
-        path = f"{self.root}/{name}".rstrip("/")
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        remove(self.spark, f"{self.root}/{name}".rstrip("/"))
 
     def keep_only(self, *names: str) -> None:
         for name in [n for n in self.names if n not in names]:

@@ -17,7 +17,7 @@ def tokenizer_path(name: str) -> str:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
-    out = substring_dedup(table(spark, sf_dir, "documents"), window=20, batches=2)
+    out = substring_dedup(table(spark, sf_dir, "documents"), window=20, batches=4, max_runs=2)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -1,11 +1,14 @@
 """Suffix-array dedup of bytes.
 
-The passages that may repeat meet by the fingerprints of ``windows``. In each bucket their bytes
-make one local text, whose suffixes are sorted in two stages: only those smaller than their
-successors are sorted directly, the others are induced from them by scans over the buckets of first
-bytes. Adjacent common prefixes of the window's length or more then show the repeated strings. The
-passages of a frequent fingerprint are sorted in parts in different buckets; the first documents of
-each part's strings then meet by hashes of the strings.
+The passages that may repeat meet by the fingerprints of ``windows``: the maximal stretches that two
+documents seem to share, both sides of each, and the edges of such stretches, where documents share
+a fingerprint but not all around it. In each bucket their bytes make local texts, whose suffixes are
+sorted in two stages: only those smaller than their successors are sorted directly, the others are
+induced from them by scans over the buckets of first bytes. Adjacent common prefixes of the window's
+length or more then show the repeated strings; nothing is removed but what they show, or what has
+the whole content of a passage that they have shown. The passages of a frequent fingerprint are
+sorted in parts in different buckets; the first documents of each part's strings then meet by hashes
+of the strings.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import Scratch, keyed, partitions
+from .common import Scratch, buckets, keyed
 
 #: Ends each passage in a local text. UTF-8 never has this byte.
 END = 0xFF
@@ -134,35 +137,9 @@ def string_hashes(text: np.ndarray, at: np.ndarray, window: int) -> tuple[np.nda
     return h1, h2.astype(np.uint32)
 
 
-def fetch_bytes(unit: W.Unit):
-    """The bytes of open runs, by bucket of the fingerprint."""
-
-    def f(docs: pa.Table, blobs: pa.Table) -> pa.Table:
-        x = W.in_doc_order(blobs.column("blob").to_pylist()) if blobs.num_rows else None
-        if not x:
-            return pa.Table.from_batches([W.as_batch([])])
-        size = x["n"].astype(np.int64) + unit.window - 1
-        parts = []
-        for data, rows in W.pieces(docs, x):
-            parts.append(data[W.expand(x["start"][rows], size[rows])])
-        data, ends = np.concatenate(parts), np.cumsum(size)
-        out = []
-        dealt = x["part"] > 0
-        order = np.lexsort((dealt, x["to"]))
-        edges = np.flatnonzero(W.edges_of(x["to"][order], dealt[order]))[1:]
-        for rows in np.split(order, edges):
-            raw = data[W.expand(ends[rows] - size[rows], size[rows])]
-            names = ("doc", "th", "start", "n", "fp", *(["part"] if dealt[rows[0]] else []))
-            blob = W.pack(raw=raw, **{k: x[k][rows] for k in names})
-            out.append((int(x["to"][rows[0]]), W.OPEN, blob))
-        return pa.Table.from_batches([W.as_batch(out)])
-
-    return f
-
-
-#: Bytes of passages that are sorted at once; the passages of one fingerprint, or of one part of it,
-#: stay together.
-LOCAL_TEXT = 1 << 20
+#: Bytes of passages that are sorted at once. The sides of a stretch, and the passages of one
+#: fingerprint or of one part of it, stay together; both are bounded.
+LOCAL_TEXT = 1 << 19
 
 
 def settle_bytes(unit: W.Unit, n: int):
@@ -171,10 +148,9 @@ def settle_bytes(unit: W.Unit, n: int):
 
     def f(tab: pa.Table) -> pa.Table:
         blobs = [W.unpack(b) for b in tab.column("blob").to_pylist()]
-        raw = np.concatenate([b["raw"] for b in blobs])
-        x = {k: np.concatenate([b[k] for b in blobs]) for k in ("doc", "th", "start", "n", "fp")}
-        dealt = np.concatenate([b.get("part", np.zeros(len(b["n"]), np.uint32)) for b in blobs])
-        size = x["n"].astype(np.int64) + unit.window - 1
+        raw = np.concatenate([b.pop("raw") for b in blobs])
+        x = {k: np.concatenate([b[k] for b in blobs]) for k in ("doc", "th", "start", "n", "fp", "part")}
+        dealt, size = x["part"], x["n"].astype(np.int64) + unit.window - 1
         begin = np.cumsum(size) - size
         order = np.lexsort((dealt, x["fp"]))
         part = np.cumsum(size[order]) // LOCAL_TEXT
@@ -216,7 +192,7 @@ def settle_strings(n: int):
     """Of the strings of all parts of a fingerprint those that a document with a smaller id has."""
 
     def f(tab: pa.Table) -> pa.Table:
-        out, blobs = W.by_kind(tab)
+        out, blobs = W.by_kind(tab, W.SETTLED)
         if blobs:
             x = W.stacked(blobs)
             order = np.lexsort((x["doc"], x["h2"], x["h1"]))
@@ -242,9 +218,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     unit = W.Unit(window=window, gram=min(24, window), words=False, within=False, part=part)
-    rows, n = keyed(docs, id_col, text_col), 2 * partitions(spark)
-    found = Scratch(spark, "suffix-dedup").write(W.match(W.cut(rows, unit, n), unit, n, keep_runs=False), "found")
-    passages = W.together(rows, found.where(F.col("kind") == W.OPEN), n, fetch_bytes(unit), W.OUT_SQL)
+    rows = keyed(docs, id_col, text_col)
+    n = buckets(docs)
+    found = Scratch(spark, "suffix-dedup").write(W.match(W.cut(rows, unit, n), unit, n), "found")
+    opened = found.where(F.col("kind") == W.OPEN).unionByName(W.stretches(found.where(F.col("kind") == W.PAIR), n))
+    passages = W.together(rows, opened, n, W.fetch_tokens(unit), W.OUT_SQL)
     checked = passages.groupBy("bucket").applyInArrow(settle_bytes(unit, n), W.OUT_SQL)
     checked = checked.groupBy("bucket").applyInArrow(settle_strings(n), W.OUT_SQL)
     spans = found.where(F.col("kind") == W.SETTLED).unionByName(checked)

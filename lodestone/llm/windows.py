@@ -5,16 +5,17 @@ k-gram in it with the least hash, the rightmost if several have it. Neighbouring
 share their anchor, so a text falls apart into runs of windows with one anchor. Equal windows have
 equal anchors, so all that can match meets under the anchor's fingerprint:
 
-1. ``cut``: each document becomes runs (fingerprint, hash of the run's content, place). Within a
-   batch repeated runs are settled at once, which is the map-side combine of a hot passage.
-2. ``match``: per bucket of fingerprints, runs whose whole content has an earlier place are settled.
-   Runs that share a fingerprint with other contents are open: only part of their windows may match.
-3. ``fetch`` and ``settle``: for open runs alone the windows themselves are brought together, words
-   by the hash of the window, bytes by parts of a fingerprint's passages, whose strings then meet.
+1. ``cut``: each document becomes runs (fingerprint, hash of the run's content, place). What repeats
+   within a block of texts is settled there, which is the map-side combine of a hot passage.
+2. ``match``: per bucket of fingerprints, a run whose whole content has an earlier place is paired
+   with one. Runs that share a fingerprint with other contents are open: only part of their windows
+   may match.
+3. ``stretches``: pairs that follow each other in both documents become one; the texts of both sides
+   are then brought together and held against each other by the operator.
 4. ``apply``: settled windows meet their text.
 
-Runs travel as packed blobs, one for each batch and bucket, so Spark shuffles few large rows. An
-anchor brings one run for each batch and content at most; where many documents share a passage in
+Runs travel as packed blobs, one for each block and bucket, so Spark shuffles few large rows. An
+anchor brings one run for each block and content at most; where many documents share a passage in
 different contexts its edges have as many contents, whose runs (some 33 bytes each, without the
 windows) still meet in one bucket of ``match``.
 """
@@ -37,6 +38,10 @@ NULL_ID = np.iinfo(np.int64).min
 BASE, BASE2, MIX = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xBF58476D1CE4E5B9)
 #: Tokens that are cut at once: the arrays stay in the processor's cache.
 BLOCK = 1 << 18
+#: Windows whose runs are settled and handed on at once: bounds what a task holds, whatever the batch.
+EMIT = 1 << 21
+#: Windows of a stretch that is fetched as one piece.
+LONGEST = 1 << 14
 PLACE = U64((1 << 24) - 1)
 
 
@@ -218,7 +223,7 @@ RUN = ("fp", "content", "start", "n", "doc", "th")
 OUT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 OUT_SQL = "bucket int, kind int, blob binary"
 #: Kinds of blobs.
-RUNS, SETTLED, OPEN, HISTORY = 0, 1, 2, 3
+RUNS, SETTLED, OPEN, HISTORY, PAIR = 0, 1, 2, 3, 4
 
 
 def with_docs(doc: np.ndarray, th: np.ndarray, **more: np.ndarray) -> bytes:
@@ -258,39 +263,108 @@ def as_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], schema=OUT)
 
 
+def blocks_of(batch: pa.RecordBatch, unit: Unit) -> Iterator[list[np.ndarray]]:
+    """Joined blocks of ``cut_docs`` of about ``EMIT`` windows."""
+    held, size = [], 0
+    for block in cut_docs(batch, unit):
+        held.append(block)
+        size += int(block[4].sum())
+        if size >= EMIT:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def equal_pairs(batch: pa.RecordBatch, unit: Unit, row: np.ndarray, start: np.ndarray, n: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether the tokens of the runs ``after`` are those of ``before``, token by token. Runs that
+    follow each other in both texts are compared as one."""
+    x = {"doc": row[after], "start": start[after], "n": n[after], "pdoc": row[before], "pstart": start[before]}
+    order, lead, size = follow(x | {"th": x["doc"], "pth": x["pdoc"]})
+    data, offsets = text_bytes(batch.column(2))
+    texts: dict[int, tuple] = {}
+
+    def tokens(i: int, a: int, k: int) -> bytes:
+        if i not in texts:
+            text = data[offsets[i] : offsets[i + 1]]
+            texts[i] = (text, *(word_places(text) if unit.words else (None, None)))
+        return token_bytes(*texts[i], a, k + unit.window - 1)
+
+    same = [
+        tokens(int(x["doc"][i]), int(x["start"][i]), int(k)) == tokens(int(x["pdoc"][i]), int(x["pstart"][i]), int(k))
+        for i, k in zip(order[lead], size, strict=True)
+    ]
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = np.repeat(same, np.diff(np.append(lead, len(order))))
+    return out
+
+
+def token_bytes(text: np.ndarray, start: np.ndarray | None, end: np.ndarray | None, a: int, k: int) -> bytes:
+    """``k`` tokens from the ``a``-th, words with one space between."""
+    if start is None:
+        return text[a : a + k].tobytes()
+    at = start[a]
+    return join_words(text[at : end[a + k - 1]], start[a : a + k] - at, end[a : a + k] - at)
+
+
+def follow(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, leads in it, windows) of pairs of runs, where those that follow each other without a
+    gap in both documents are one stretch."""
+    shift = x["start"].astype(np.int64) - x["pstart"].astype(np.int64)
+    order = np.lexsort((x["n"], x["start"], shift, x["pth"], x["pdoc"], x["th"], x["doc"]))
+    start = x["start"][order].astype(np.int64)
+    end = start + x["n"][order]
+    new = edges_of(*(x[k][order] for k in ("doc", "th", "pdoc", "pth")), shift[order])
+    new[1:] |= start[1:] > end[:-1]
+    lead = np.flatnonzero(new)
+    return order, lead, (np.maximum.reduceat(end, lead) - start[lead]) if len(lead) else end
+
+
 def cut(docs: DataFrame, unit: Unit, n: int) -> DataFrame:
-    """Runs by bucket of the fingerprint; runs settled within a batch go by bucket of the document,
-    so a hot passage does not fill the bucket of its anchors."""
+    """Runs by bucket of the fingerprint; runs settled within a block go by bucket of the document,
+    so a hot passage does not fill the bucket of its anchors. Where windows may repeat within a
+    document, a run is settled if its tokens are those of an earlier one of the block; else, if two
+    documents of the block with smaller ids have its content, which stand for it from there on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = list(cut_docs(batch, unit))
-            if not blocks:
-                continue
-            row, fp, content, start, windows = (np.concatenate(x) for x in zip(*blocks, strict=True))
-            doc, th = ids_of(batch.column(0))[row], batch.column(1).to_numpy()[row]
-            columns = {"doc": doc, "th": th, "start": start.astype(np.uint32), "n": windows.astype(np.uint8)}
-            key = fp * BASE ^ content
-            order = np.argsort(key, kind="stable")
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = key[order][1:] != key[order][:-1]
-            first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-            later = np.zeros(len(order), dtype=bool)
-            later[order] = (order != first) if unit.within else doc[order] > doc[first]
-            out = by_bucket(
-                (fp[~later] >> U64(32)).astype(np.int64) % n,
-                RUNS,
-                **{k: v[~later] for k, v in columns.items()},
-                fp=fp[~later].astype(np.uint32),
-                content=content[~later],
-            )
-            if later.any():
-                out += by_bucket(th[later] % n, SETTLED, **{k: v[later] for k, v in columns.items()})
-            yield as_batch(out)
+            for row, fp, content, start, windows in blocks_of(batch, unit):
+                doc, th = ids_of(batch.column(0))[row], batch.column(1).to_numpy()[row]
+                columns = {"doc": doc, "th": th, "start": start.astype(np.uint32), "n": windows.astype(np.uint32)}
+                key = fp * BASE ^ content
+                order = np.argsort(key, kind="stable")
+                new = edges_of(key[order])
+                group = np.cumsum(new) - 1
+                later = np.zeros(len(order), dtype=bool)
+                if unit.within:
+                    after = np.flatnonzero(~new)
+                    if len(after):
+                        good = equal_pairs(batch, unit, row, start, windows, order[after], order[after - 1])
+                        later[order[after[good]]] = True
+                else:
+                    second = second_docs(doc[order], group, np.flatnonzero(new))
+                    later[order] = doc[order] > second[group]
+                out = by_bucket(
+                    (fp[~later] >> U64(32)).astype(np.int64) % n,
+                    RUNS,
+                    **{k: v[~later] for k, v in columns.items()},
+                    fp=fp[~later].astype(np.uint32),
+                    content=content[~later],
+                )
+                if later.any():
+                    out += by_bucket(th[later] % n, SETTLED, **{k: v[later] for k, v in columns.items()})
+                yield as_batch(out)
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, OUT_SQL)
 
 
+def second_docs(doc: np.ndarray, group: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """For each group the least id above the least one; the largest number if there is none. Ids
+    stand in order within a group."""
+    none = np.iinfo(np.int64).max
+    return np.minimum.reduceat(np.where(doc > doc[leads][group], doc, none), leads) if len(doc) else doc
+
+
 def edges_of(*keys: np.ndarray) -> np.ndarray:
     """Where any of the keys differs from the row before."""
     new = np.zeros(len(keys[0]), dtype=bool)
@@ -311,67 +385,129 @@ def parts_of(key: np.ndarray, most: int) -> np.ndarray:
     return part
 
 
-def match(runs: DataFrame, unit: Unit, n: int, keep_runs: bool) -> DataFrame:
-    """Settled and open runs by bucket of the document; with ``keep_runs`` also each bucket's new
-    runs, sorted: a part of the index."""
+def match(runs: DataFrame, unit: Unit, n: int, history: DataFrame | None = None, keep_runs: bool = False) -> DataFrame:
+    """Settled runs, pairs of runs and open runs, by bucket of the document; with ``keep_runs`` also
+    each bucket's new runs in the order of their fingerprints: a run of the index. ``history`` has
+    the same form, and is merge-joined: both sides are in order, so only what they share is touched."""
 
-    def run(tab: pa.Table) -> pa.Table:
+    def run(tab: pa.Table, past: pa.Table | None = None) -> pa.Table:
+        if not tab.num_rows:
+            return pa.Table.from_batches([as_batch([])])
         kinds, blobs = tab.column("kind").to_pylist(), tab.column("blob").to_pylist()
         bucket = tab.column("bucket")[0].as_py()
         out = []
         done = stacked([b for k, b in zip(kinds, blobs, strict=True) if k == SETTLED])
         if done:
             out += by_bucket(done["th"] % n, SETTLED, **done)
-        old = stacked([b for k, b in zip(kinds, blobs, strict=True) if k == HISTORY])
         new = stacked([b for k, b in zip(kinds, blobs, strict=True) if k == RUNS])
-        if new:
-            size = len(new["fp"])
-            rows = {k: np.concatenate([old[k], new[k]]) if old else new[k] for k in RUN}
-            fresh = np.arange(len(rows["fp"])) >= len(rows["fp"]) - size
-            order = np.argsort(rows["fp"], kind="stable")
-            fp = rows["fp"][order]
-            start = edges_of(fp)
-            shared = np.diff(np.append(np.flatnonzero(start), len(fp)))[np.cumsum(start) - 1] > 1
-            pick = order[shared]
-            order = pick[np.lexsort([rows[k][pick] for k in ("start", "th", "doc")] + [fresh[pick], rows["content"][pick], rows["fp"][pick]])]
-            x, fresh_x = {k: v[order] for k, v in rows.items()}, fresh[order]
-            repeat = np.zeros(len(rows["fp"]), dtype=bool)
-            if len(order):
-                fps, contents = edges_of(x["fp"]), edges_of(x["fp"], x["content"])
-                lead = np.flatnonzero(contents)[np.cumsum(contents) - 1]
-                group = np.cumsum(fps) - 1
-                several = np.bincount(group, contents)[group] > 1
-                same_doc = (x["doc"] == x["doc"][lead]) & (x["th"] == x["th"][lead])
+        if not new:
+            return pa.Table.from_batches([as_batch(out)])
+        new = {k: v[np.argsort(new["fp"], kind="stable")] for k, v in new.items()}
+        size = len(new["fp"])
+        twice = edges_of(new["fp"])
+        twice = np.repeat(np.diff(np.append(np.flatnonzero(twice), size)) > 1, np.diff(np.append(np.flatnonzero(twice), size)))
+        old = []
+        for blob in past.column("blob").to_pylist() if past is not None else ():
+            x = open_docs(blob)
+            # both stand in the order of fingerprints: where each new one would go, from both sides
+            at, to = (np.searchsorted(x["fp"], new["fp"], side=side) for side in ("left", "right"))
+            twice |= to > at
+            hit = edges_of(new["fp"]) & (to > at)
+            take = expand(at[hit], to[hit] - at[hit])
+            old.append({k: x[k][take] for k in RUN})
+        rows = {k: np.concatenate([*(o[k] for o in old), new[k][twice]]) for k in RUN}
+        fresh = np.arange(len(rows["fp"])) >= len(rows["fp"]) - int(twice.sum())
+        order = np.lexsort([rows[k] for k in ("start", "th", "doc")] + [fresh, rows["content"], rows["fp"]])
+        x, fresh_x = {k: v[order] for k, v in rows.items()}, fresh[order]
+        repeat = np.zeros(size, dtype=bool)
+        if len(order):
+            fps, contents = edges_of(x["fp"]), edges_of(x["fp"], x["content"])
+            leads = np.flatnonzero(contents)
+            lead = leads[np.cumsum(contents) - 1]
+            group = np.cumsum(fps) - 1
+            several = np.bincount(group, contents)[group] > 1
+
+            def same_place(a: np.ndarray) -> np.ndarray:
+                return (x["doc"] == x["doc"][a]) & (x["th"] == x["th"][a]) & (x["start"] == x["start"][a])
+
+            if unit.within:
+                own = np.flatnonzero(twice)[order[fresh_x] - (len(order) - int(twice.sum()))]
+                repeat[own] = (np.arange(len(order)) != lead)[fresh_x]
+                paired = fresh_x & ~(same_place(lead) & (fresh_x == fresh_x[lead]))
+                # the place before it in the order; a place that history has too is paired with the first
+                partner = np.maximum(np.arange(len(order)) - 1, 0)
+                partner = np.where(same_place(partner), lead, partner)
+                open_ = several & (np.arange(len(order)) == lead)
+            else:
+                later = x["doc"] > x["doc"][lead]
+                second = second_docs(x["doc"], np.cumsum(contents) - 1, leads)[np.cumsum(contents) - 1]
+                paired, partner = later & (x["doc"] == second), lead
+                member = later & ~paired
+                if member.any():
+                    out += by_bucket(x["th"][member] % n, SETTLED, **{k: x[k][member] for k in PLACE_OF})
+                low = np.minimum.reduceat(x["doc"], np.flatnonzero(fps))[group]
+                high = np.maximum.reduceat(x["doc"], np.flatnonzero(fps))[group]
+                open_ = several & ~later & (low < high)
+            if paired.any():
+                ends = {k: x[k][paired] for k in PLACE_OF} | {f"p{k}": x[k][partner[paired]] for k in ("doc", "th", "start")}
+                out += paired_blobs(ends, n)
+            if open_.any():
+                take = np.flatnonzero(open_)
+                take = take[np.lexsort((x["start"][take], x["th"][take], x["doc"][take]))]
                 if unit.within:
-                    later = ~(same_doc & (x["start"] == x["start"][lead]) & (fresh_x == fresh_x[lead]))
-                    repeat[order] = np.arange(len(order)) != lead
-                    open_ = several & ~repeat[order]
+                    more = {"fresh": fresh_x[take].astype(np.uint8)}
                 else:
-                    later = x["doc"] > x["doc"][lead]
-                    low = np.minimum.reduceat(x["doc"], np.flatnonzero(fps))[group]
-                    high = np.maximum.reduceat(x["doc"], np.flatnonzero(fps))[group]
-                    open_ = several & ~later & (low < high)
-                later &= fresh_x
-                cols = ("doc", "th", "start", "n")
-                if later.any():
-                    out += by_bucket(x["th"][later] % n, SETTLED, **{k: x[k][later] for k in cols})
-                if open_.any():
-                    take = np.flatnonzero(open_)
-                    take = take[np.lexsort((x["start"][take], x["th"][take], x["doc"][take]))]
-                    if unit.within:
-                        more = {"fresh": fresh_x[take].astype(np.uint8)}
-                    else:
-                        part = parts_of(x["fp"][take], unit.part)
-                        to = (bucket + np.maximum(part.astype(np.int64) - 1, 0)) % n
-                        more = {"fp": x["fp"][take], "part": part, "to": to.astype(np.int32)}
-                    out += by_bucket(x["th"][take] % n, OPEN, **{k: x[k][take] for k in cols}, **more)
-            if keep_runs:
-                keep = np.flatnonzero(fresh & ~repeat)
-                keep = keep[np.lexsort((rows["content"][keep], rows["fp"][keep]))]
-                out.append((bucket, HISTORY, with_docs(**{k: rows[k][keep] for k in RUN})))
+                    part = parts_of(x["fp"][take], unit.part)
+                    to = (bucket + np.maximum(part.astype(np.int64) - 1, 0)) % n
+                    more = {"fp": x["fp"][take].astype(U64), "part": part, "to": to.astype(np.int32), "side": np.zeros(len(take), np.uint8)}
+                out += by_bucket(x["th"][take] % n, OPEN, **{k: x[k][take] for k in PLACE_OF}, **more)
+        if keep_runs:
+            out.append((bucket, HISTORY, with_docs(**{k: new[k][~repeat] for k in RUN})))
+        return pa.Table.from_batches([as_batch(out)])
+
+    if history is None:
+        return runs.groupBy("bucket").applyInArrow(lambda tab: run(tab), OUT_SQL)
+    return runs.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(lambda tab, past: run(tab, past), OUT_SQL)
+
+
+#: Where a run lies.
+PLACE_OF = ("doc", "th", "start", "n")
+
+
+def paired_blobs(x: dict[str, np.ndarray], n: int) -> list[tuple[int, int, bytes]]:
+    """Pairs (doc, th, start, n, pdoc, pth, pstart) as stretches, by bucket of the later document."""
+    order, lead, size = follow(x)
+    at = order[lead]
+    x = {k: v[at] for k, v in x.items()} | {"n": size.astype(np.uint32)}
+    return by_bucket(x["th"] % n, PAIR, **x)
+
+
+def stretches(pairs: DataFrame, n: int) -> DataFrame:
+    """Both sides of each stretch, by bucket of the side's document, under the stretch's number
+    ``fp``; long ones in pieces. Side 1 is the earlier place."""
+
+    def f(tab: pa.Table) -> pa.Table:
+        x = stacked(tab.column("blob").to_pylist())
+        order, lead, size = follow(x)
+        x = {k: v[order[lead]] for k, v in x.items()}
+        count = -(-size // LONGEST)
+        piece = np.repeat(np.arange(len(count)), count)
+        shift = expand(np.zeros(len(count), np.int64), count) * LONGEST
+        length = np.minimum(size[piece] - shift, LONGEST).astype(np.uint32)
+        x = {k: v[piece] for k, v in x.items()}
+        start, pstart = (x[k].astype(np.int64) + shift for k in ("start", "pstart"))
+        number = mix(mix(mix(x["doc"].view(U64) * BASE ^ x["th"].view(U64)) * BASE2 ^ x["pdoc"].view(U64)) * BASE ^ start.view(U64) * BASE2 ^ pstart.view(U64))
+        to = (number >> U64(33)).astype(np.int64) % n
+        out = []
+        for side, doc, th, at in ((0, x["doc"], x["th"], start), (1, x["pdoc"], x["pth"], pstart)):
+            rows = np.lexsort((at, th, doc))
+            y = {"doc": doc, "th": th, "start": at.astype(np.uint32), "n": length, "fp": number, "part": np.zeros(len(at), np.uint32)}
+            y |= {"to": to.astype(np.int32), "side": np.full(len(at), side, np.uint8)}
+            y = {k: v[rows] for k, v in y.items()}
+            out += by_bucket(y["th"] % n, OPEN, **y)
         return pa.Table.from_batches([as_batch(out)])
 
-    return runs.groupBy("bucket").applyInArrow(run, OUT_SQL)
+    return pairs.groupBy("bucket").applyInArrow(f, OUT_SQL)
 
 
 def pieces(docs: pa.Table, spans: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, slice]]:
@@ -411,9 +547,9 @@ def expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(start.astype(np.int64), n)
 
 
-def fetch_words(unit: Unit, n: int):
+def fetch_windows(unit: Unit, n: int):
     """Hashes of 96 bits of the windows of open runs, by bucket of the hash. Of the places of one
-    window only the first goes on; the others are settled here."""
+    window only the first goes on; the others are paired here with the place before them."""
 
     def f(docs: pa.Table, blobs: pa.Table) -> pa.Table:
         x = in_doc_order(blobs.column("blob").to_pylist()) if blobs.num_rows else None
@@ -428,8 +564,8 @@ def fetch_words(unit: Unit, n: int):
             rows = np.repeat(np.arange(len(x["n"])), x["n"])
             places = {k: x[k][rows] for k in ("doc", "th", "fresh")}
             places |= {"start": expand(x["start"], x["n"]).astype(np.uint32), "h1": np.concatenate(h1), "h2": np.concatenate(h2)}
-            places, later = after_first(places)
-            out = joined(*(places[k][later] for k in ("doc", "th", "start")), n)
+            places, later, pairs = after_first(places)
+            out = paired_blobs(pairs, n)
             # a place that comes as history and as new goes on as both, but once each
             go = ~later & edges_of(*(places[k] for k in ("h1", "h2", "fresh", "doc", "th", "start")))
             go = np.flatnonzero(go)[np.lexsort([places[k][go] for k in ("start", "th", "doc")])]
@@ -440,47 +576,117 @@ def fetch_words(unit: Unit, n: int):
     return f
 
 
-def after_first(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Places in the order of their windows, and which of them are new and not the first place."""
+def after_first(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, dict[str, np.ndarray]]:
+    """Places in the order of their windows, which of them are new and not the first place, and
+    those paired with the place before."""
     order = np.lexsort((x["start"], x["th"], x["doc"], x["fresh"], x["h2"], x["h1"]))
     x = {k: v[order] for k, v in x.items()}
     new = edges_of(x["h1"], x["h2"])
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    same = np.ones(len(lead), dtype=bool)
-    for k in ("doc", "th", "start"):  # a place may come as new and, with a later batch, as history
-        same &= x[k] == x[k][lead]
-    return x, ~same & x["fresh"].astype(bool)
 
+    def same_place(a: np.ndarray) -> np.ndarray:
+        return (x["doc"] == x["doc"][a]) & (x["th"] == x["th"][a]) & (x["start"] == x["start"][a])
+
+    # a place may come as new and, with a later batch, as history
+    later = ~same_place(lead) & x["fresh"].astype(bool)
+    partner = np.maximum(np.arange(len(lead)) - 1, 0)
+    partner = np.where(same_place(partner), lead, partner)[later]
+    pairs = {k: x[k][later] for k in ("doc", "th", "start")} | {f"p{k}": x[k][partner] for k in ("doc", "th", "start")}
+    return x, later, pairs | {"n": np.ones(len(partner), np.uint32)}
 
-def by_kind(tab: pa.Table) -> tuple[list[tuple[int, int, bytes]], list[bytes]]:
-    """(settled rows as they are, blobs of the open ones)."""
+
+def by_kind(tab: pa.Table, kind: int) -> tuple[list[tuple[int, int, bytes]], list[bytes]]:
+    """(rows of the kind as they are, blobs of the open ones)."""
     rows = list(zip(*(tab.column(k).to_pylist() for k in ("bucket", "kind", "blob")), strict=True))
-    return [r for r in rows if r[1] == SETTLED], [r[2] for r in rows if r[1] == OPEN]
+    return [r for r in rows if r[1] == kind], [r[2] for r in rows if r[1] == OPEN]
 
 
-def settle_words(n: int):
-    """All but the first place of each window."""
+def pair_windows(n: int):
+    """Pairs of all but the first place of each window."""
 
     def f(tab: pa.Table) -> pa.Table:
-        out, blobs = by_kind(tab)
+        out, blobs = by_kind(tab, PAIR)
         if blobs:
-            x, later = after_first(stacked(blobs))
-            out += joined(*(x[k][later] for k in ("doc", "th", "start")), n)
+            _, _, pairs = after_first(stacked(blobs))
+            out += paired_blobs(pairs, n)
+        return pa.Table.from_batches([as_batch(out)])
+
+    return f
+
+
+def fetch_tokens(unit: Unit):
+    """The tokens of open runs and of stretches, by the bucket they name."""
+
+    def f(docs: pa.Table, blobs: pa.Table) -> pa.Table:
+        x = in_doc_order(blobs.column("blob").to_pylist()) if blobs.num_rows else None
+        if not x:
+            return pa.Table.from_batches([as_batch([])])
+        count = x["n"].astype(np.int64) + unit.window - 1
+        parts, size = [], np.zeros(len(count), np.int64)
+        for data, rows in pieces(docs, x):
+            if unit.words:
+                start, end = word_places(data)
+                own = [token_bytes(data, start, end, int(a), int(k)) for a, k in zip(x["start"][rows], count[rows], strict=True)]
+                size[rows] = [len(w) for w in own]
+                parts.append(np.frombuffer(b"".join(own), np.uint8))
+            else:
+                size[rows] = count[rows]
+                parts.append(data[expand(x["start"][rows], count[rows])])
+        data, ends = np.concatenate(parts), np.cumsum(size)
+        out = []
+        dealt = x["part"] > 0
+        order = np.lexsort((dealt, x["to"]))
+        edges = np.flatnonzero(edges_of(x["to"][order], dealt[order]))[1:]
+        for rows in np.split(order, edges):
+            raw = data[expand(ends[rows] - size[rows], size[rows])]
+            blob = pack(raw=raw, size=size[rows].astype(np.uint32), **{k: x[k][rows] for k in ("doc", "th", "start", "n", "fp", "part", "side")})
+            out.append((int(x["to"][rows[0]]), OPEN, blob))
         return pa.Table.from_batches([as_batch(out)])
 
     return f
 
 
+def equal_stretches(n: int):
+    """Stretches whose two sides have the same tokens, as settled windows by bucket of the document."""
+
+    def f(tab: pa.Table) -> pa.Table:
+        blobs = [unpack(b) for b in tab.column("blob").to_pylist()]
+        x = {k: np.concatenate([b[k] for b in blobs]) for k in ("doc", "th", "start", "n", "fp", "side", "size")}
+        raw = [b["raw"] for b in blobs]
+        first = np.concatenate([np.cumsum(b["size"].astype(np.int64)) - b["size"] for b in blobs])
+        blob = np.repeat(np.arange(len(blobs)), [len(b["n"]) for b in blobs])
+
+        def tokens(i: int) -> np.ndarray:
+            return raw[blob[i]][first[i] : first[i] + int(x["size"][i])]
+
+        order = np.lexsort((x["side"], x["fp"]))
+        keep: list[int] = []
+        later: dict[int, list[int]] = {}
+        for i in order.tolist():
+            number = int(x["fp"][i])
+            if not x["side"][i]:
+                later.setdefault(number, []).append(i)
+            else:
+                keep += [j for j in later.pop(number, ()) if np.array_equal(tokens(i), tokens(j))]
+        if not keep:
+            return pa.Table.from_batches([as_batch([])])
+        at = np.array(keep)
+        at = at[np.lexsort((x["start"][at], x["th"][at], x["doc"][at]))]
+        return pa.Table.from_batches([as_batch(by_bucket(x["th"][at] % n, SETTLED, **{k: x[k][at] for k in PLACE_OF}))])
+
+    return f
+
+
 def joined(doc: np.ndarray, th: np.ndarray, start: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
     """Window starts as runs, by bucket of the document."""
     if not len(doc):
         return []
     order = np.lexsort((start, th, doc))
     doc, th, start = doc[order], th[order], start[order].astype(np.int64)
-    new = edges_of(doc, th) | np.append(True, np.diff(start) > 1) | (np.arange(len(doc)) % 200 == 0)
+    new = edges_of(doc, th) | np.append(True, np.diff(start) > 1)
     at = np.flatnonzero(new)
     last = start[np.append(at[1:], len(start)) - 1]
-    keep = {"doc": doc[at], "th": th[at], "start": start[at].astype(np.uint32), "n": (last - start[at] + 1).astype(np.uint8)}
+    keep = {"doc": doc[at], "th": th[at], "start": start[at].astype(np.uint32), "n": (last - start[at] + 1).astype(np.uint32)}
     return by_bucket(keep["th"] % n, SETTLED, **keep)
 
 
