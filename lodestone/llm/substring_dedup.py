@@ -68,12 +68,12 @@ class FingerprintIndex:
         """Merge-joins a batch (as ``keyed`` gives it) with the runs and adds its own. Returns what
         is settled, paired or open, by bucket of the document."""
         found = scratch.write(W.match(W.cut(docs, self.unit, self.n), self.unit, self.n, self.history(), keep_runs=True), name)
-        self._write(found.where(F.col("kind") == W.HISTORY), self.runs, self.table is None)
+        self._write(W.of_kind(found, W.HISTORY), self.runs, self.table is None)
         self.texts.append(docs)
         self.runs += 1
         if self.runs > self.max_runs:
             self.compact()
-        return found.where(F.col("kind") != W.HISTORY)
+        return found
 
     def compact(self) -> None:
         """All runs become one. The old ones go only when the new one is complete."""
@@ -87,9 +87,9 @@ class FingerprintIndex:
 def verified(found: DataFrame, texts: DataFrame, unit: W.Unit, n: int) -> DataFrame:
     """Settled windows of what is open or paired. The windows of open runs meet by hash; each place
     but the first is then paired with the one before it, and the words of all pairs are compared."""
-    windows = W.together(texts, found.where(F.col("kind") == W.OPEN), n, W.fetch_windows(unit, n), W.OUT_SQL)
+    windows = W.together(texts, W.of_kind(found, W.OPEN), n, W.fetch_windows(unit, n), W.OUT_SQL)
     more = windows.groupBy("bucket").applyInArrow(W.pair_windows(n), W.OUT_SQL)
-    pairs = found.where(F.col("kind") == W.PAIR).unionByName(more)
+    pairs = W.of_kind(found, W.PAIR).unionByName(more)
     words = W.together(texts, W.stretches(pairs, n), n, W.fetch_tokens(unit), W.OUT_SQL)
     return words.groupBy("bucket").applyInArrow(W.equal_stretches(n), W.OUT_SQL)
 
@@ -140,6 +140,6 @@ def substring_dedup(
     n, texts = index.n, reduce(DataFrame.unionByName, index.texts, rows)
     scratch = Scratch(spark, "substring-dedup")
     found = reduce(DataFrame.unionByName, [index.add(b, scratch, f"batch{i}") for i, b in enumerate(batches_of(rows, batches))])
-    spans = found.where(F.col("kind") == W.SETTLED).unionByName(verified(found, texts, unit, n))
+    spans = W.of_kind(found, W.SETTLED).unionByName(verified(found, texts, unit, n))
     out = W.together(rows, spans, n, W.apply(unit), W.APPLIED)
     return out.select("doc_id", F.col("size").alias("n_words"), F.col("removed").alias("n_removed"), "kept")

@@ -221,11 +221,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = keyed(docs, id_col, text_col)
     n = buckets(docs)
     found = Scratch(spark, "suffix-dedup").write(W.match(W.cut(rows, unit, n), unit, n), "found")
-    opened = found.where(F.col("kind") == W.OPEN).unionByName(W.stretches(found.where(F.col("kind") == W.PAIR), n))
+    opened = W.of_kind(found, W.OPEN).unionByName(W.stretches(W.of_kind(found, W.PAIR), n))
     passages = W.together(rows, opened, n, W.fetch_tokens(unit), W.OUT_SQL)
     checked = passages.groupBy("bucket").applyInArrow(settle_bytes(unit, n), W.OUT_SQL)
     checked = checked.groupBy("bucket").applyInArrow(settle_strings(n), W.OUT_SQL)
-    spans = found.where(F.col("kind") == W.SETTLED).unionByName(checked)
+    spans = W.of_kind(found, W.SETTLED).unionByName(checked)
     out = W.together(rows, spans, n, W.apply(unit), W.APPLIED)
     return out.select(
         "doc_id", F.col("size").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), "kept"

@@ -258,6 +258,25 @@ def by_bucket(bucket: np.ndarray, kind: int, **columns: np.ndarray) -> list[tupl
     ]
 
 
+#: What ``match`` gives: a row for each bucket that it has something for, with a blob of each kind.
+MATCHED = {SETTLED: "settled", OPEN: "opened", PAIR: "paired", HISTORY: "history"}
+MATCHED_SQL = "bucket int, " + ", ".join(f"{name} binary" for name in MATCHED.values())
+
+
+def as_matched(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    by: dict[int, dict[int, bytes]] = {}
+    for bucket, kind, blob in rows:
+        by.setdefault(bucket, {})[kind] = blob
+    columns = {name: pa.array([x.get(kind) for x in by.values()], pa.binary()) for kind, name in MATCHED.items()}
+    return pa.table({"bucket": pa.array(by, pa.int32())} | columns)
+
+
+def of_kind(matched: DataFrame, kind: int) -> DataFrame:
+    """The blobs of one kind, as rows of their own."""
+    blob = F.col(MATCHED[kind])
+    return matched.where(blob.isNotNull()).select("bucket", F.lit(kind).alias("kind"), blob.alias("blob"))
+
+
 def as_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     b, k, x = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], schema=OUT)
@@ -392,16 +411,14 @@ def match(runs: DataFrame, unit: Unit, n: int, history: DataFrame | None = None,
 
     def run(tab: pa.Table, past: pa.Table | None = None) -> pa.Table:
         if not tab.num_rows:
-            return pa.Table.from_batches([as_batch([])])
+            return as_matched([])
         kinds, blobs = tab.column("kind").to_pylist(), tab.column("blob").to_pylist()
         bucket = tab.column("bucket")[0].as_py()
         out = []
-        done = stacked([b for k, b in zip(kinds, blobs, strict=True) if k == SETTLED])
-        if done:
-            out += by_bucket(done["th"] % n, SETTLED, **done)
+        settled = [x for x in [stacked([b for k, b in zip(kinds, blobs, strict=True) if k == SETTLED])] if x]
         new = stacked([b for k, b in zip(kinds, blobs, strict=True) if k == RUNS])
         if not new:
-            return pa.Table.from_batches([as_batch(out)])
+            return as_matched(settled_blobs(settled, n))
         new = {k: v[np.argsort(new["fp"], kind="stable")] for k, v in new.items()}
         size = len(new["fp"])
         twice = edges_of(new["fp"])
@@ -443,8 +460,7 @@ def match(runs: DataFrame, unit: Unit, n: int, history: DataFrame | None = None,
                 second = second_docs(x["doc"], np.cumsum(contents) - 1, leads)[np.cumsum(contents) - 1]
                 paired, partner = later & (x["doc"] == second), lead
                 member = later & ~paired
-                if member.any():
-                    out += by_bucket(x["th"][member] % n, SETTLED, **{k: x[k][member] for k in PLACE_OF})
+                settled.append({k: x[k][member] for k in PLACE_OF})
                 low = np.minimum.reduceat(x["doc"], np.flatnonzero(fps))[group]
                 high = np.maximum.reduceat(x["doc"], np.flatnonzero(fps))[group]
                 open_ = several & ~later & (low < high)
@@ -463,11 +479,16 @@ def match(runs: DataFrame, unit: Unit, n: int, history: DataFrame | None = None,
                 out += by_bucket(x["th"][take] % n, OPEN, **{k: x[k][take] for k in PLACE_OF}, **more)
         if keep_runs:
             out.append((bucket, HISTORY, with_docs(**{k: new[k][~repeat] for k in RUN})))
-        return pa.Table.from_batches([as_batch(out)])
+        return as_matched(out + settled_blobs(settled, n))
 
     if history is None:
-        return runs.groupBy("bucket").applyInArrow(lambda tab: run(tab), OUT_SQL)
-    return runs.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(lambda tab, past: run(tab, past), OUT_SQL)
+        return runs.groupBy("bucket").applyInArrow(lambda tab: run(tab), MATCHED_SQL)
+    return runs.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(lambda tab, past: run(tab, past), MATCHED_SQL)
+
+
+def settled_blobs(parts: list[dict[str, np.ndarray]], n: int) -> list[tuple[int, int, bytes]]:
+    x = {k: np.concatenate([p[k] for p in parts]) for k in PLACE_OF} if parts else None
+    return by_bucket(x["th"] % n, SETTLED, **x) if x and len(x["th"]) else []
 
 
 #: Where a run lies.
