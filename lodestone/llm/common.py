@@ -29,6 +29,13 @@ def buckets(docs: DataFrame) -> int:
     return max(2 * partitions(docs.sparkSession), size // BUCKET_BYTES if size < 1 << 60 else 0)
 
 
+def heavy(counts: DataFrame, n: int) -> DataFrame:
+    """Rows of ``counts`` that stand for more than their share: c over 1000, and over one in 8 n of
+    the sum of all c. Fewer than 8 n, whatever the input, so they are marked for a broadcast."""
+    bound = counts.agg(F.expr(f"greatest(1000, sum(c) / {8 * n})").alias("bound"))
+    return F.broadcast(counts.where(F.col("c") > 1000).join(F.broadcast(bound), F.col("c") > F.col("bound")).drop("bound"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where the session names none, a temporary one is
     made and set on a local master; on a cluster that would be lost with its machine, so it is refused."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, heavy, partitions
 
 #: Fixed values of the key: what is stripped, and the letters that are lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -45,11 +45,7 @@ def dropped_positions(lines: DataFrame, n: int) -> DataFrame:
     combined minimum, are broadcast; the others are range-partitioned and streamed.
     """
     per_key = lines.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("doc_id").alias("first_doc"))
-    share = F.expr(f"greatest(1000, sum(c) / {8 * n})")
-    bound = per_key.agg(share.alias("bound"))
-    hot = F.broadcast(
-        per_key.where(F.col("c") > 1000).join(F.broadcast(bound), F.col("c") > F.col("bound")).select("h1", "h2", "first_doc")
-    )
+    hot = heavy(per_key, n).select("h1", "h2", "first_doc")
     from_hot = lines.join(hot, ["h1", "h2"]).where(F.col("doc_id") > F.col("first_doc"))
     order = Window.partitionBy("h1", "h2").orderBy("doc_id", "th", "pos")
     streamed = (
@@ -65,30 +61,29 @@ def dropped_positions(lines: DataFrame, n: int) -> DataFrame:
 def keep_bitmaps(dropped: DataFrame) -> DataFrame:
     """(doc_id, th, n_dropped, bitmap) for each document that loses lines. The bitmap is
     run-length coded: array of (start, length) of runs of dropped lines; all other lines stay."""
-    w = Window.partitionBy("doc_id", "th").orderBy("pos")
-    runs = (
-        dropped.distinct()
-        .withColumn("run", F.col("pos") - F.row_number().over(w))
-        .groupBy("doc_id", "th", "run")
-        .agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("length"))
-    )
-    return runs.groupBy("doc_id", "th").agg(
-        F.sum("length").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("start", "length"))).alias("bitmap")
-    )
+    at = F.col("at")
+    first = F.filter(at, lambda x, i: (i == 0) | (F.get(at, i - 1) != x - 1))
+    last = F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) != x + 1))
+    runs = F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length")))
+    # the positions of one document's lines, so no more than its text has
+    places = dropped.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    return places.select("doc_id", "th", F.size("at").alias("n_dropped"), runs.alias("bitmap"))
 
 
 def apply_bitmap(lines: Column, bitmap: Column) -> Column:
-    """The kept lines: for each gap between runs a slice of the line array."""
-    start = F.aggregate(
-        bitmap,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("parts")),
-        lambda acc, run: F.struct(
-            (run["start"] + run["length"]).alias("at"),
-            F.concat(acc["parts"], F.array(F.slice(lines, acc["at"] + 1, run["start"] - acc["at"]))).alias("parts"),
-        ),
-        lambda acc: F.flatten(F.concat(acc["parts"], F.array(F.slice(lines, acc["at"] + 1, F.size(lines))))),
-    )
-    return F.when(bitmap.isNull(), lines).otherwise(start)
+    """The kept lines: the gaps before each run of dropped ones, and what follows the last."""
+
+    def end(run: Column) -> Column:
+        return F.coalesce(run["start"] + run["length"], F.lit(0))
+
+    def kept(own: Column) -> Column:
+        gaps = F.transform(
+            bitmap, lambda run, i: F.slice(own, end(F.get(bitmap, i - 1)) + 1, run["start"] - end(F.get(bitmap, i - 1)))
+        )
+        return F.concat(F.flatten(gaps), F.slice(own, end(F.element_at(bitmap, -1)) + 1, F.size(own)))
+
+    # an array of one, so that the lines are bound once and not split again for each run
+    return F.when(bitmap.isNull(), lines).otherwise(F.transform(F.array(lines), kept)[0])
 
 
 def line_dedup(
