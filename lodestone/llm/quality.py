@@ -1,13 +1,14 @@
 """Quality classifier: random Fourier features of document statistics, ridge, isotonic calibration.
 
 The statistics are computed over whole texts. Each partition sums its share of the normal equations;
-the sums are added in groups before the driver solves one small system. Scores become probabilities
+the sums are added in rounds of few at a time before the driver solves one small system. Scores become probabilities
 through a step function that never falls.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from operator import eq
 
 import numpy as np
@@ -25,6 +26,8 @@ CLASSES[[ord(c) for c in ".,;:?'\"-()"]] = 4
 CLASSES[[ord(c) for c in "!|#$%&*@^~=+_<>/\\[]{}`"]] = 5
 CLASSES[128:] = 6
 STATS = 22
+#: Sums of partitions that are added at once, and that the driver may get: each is half a megabyte.
+FAN = 16
 
 
 def statistics(text: str) -> list[float]:
@@ -137,12 +140,19 @@ class QualityModel:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([a.tobytes()], pa.binary())], names=["n", "a"])
 
-        def add(frame: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x) for x in frame["a"])
-            return pd.DataFrame({"n": [int(frame["n"].sum())], "a": [total.tobytes()]})
-
-        parts = rows.mapInArrow(sums, "n long, a binary").withColumn("part", F.spark_partition_id() % 16)
-        found = parts.groupBy("part").applyInPandas(add, "n long, a binary").collect()
+        def add(tab: pa.Table) -> pa.Table:
+            total = reduce(np.add, (np.frombuffer(x.as_py()) for x in tab.column("a")))
+            part = tab.column("part")[0].as_py() // FAN
+            return pa.table({"part": pa.array([part]), "n": pa.array([sum(tab.column("n").to_pylist())]), "a": pa.array([total.tobytes()])})
+
+        parts = rows.mapInArrow(sums, "n long, a binary").select(F.spark_partition_id().cast("long").alias("part"), "n", "a")
+        scratch, k = Scratch(stats.sparkSession, "quality-sums"), 0
+        parts = scratch.write(parts, "0")
+        while parts.count() > FAN:
+            k += 1
+            by = F.floor(F.col("part") / FAN).alias("by")
+            parts = scratch.write(parts.groupBy(by).applyInArrow(add, "part long, n long, a binary"), str(k))
+        found = parts.collect()
         n = sum(r["n"] for r in found)
         self.weights, self.steps = np.zeros(size), (np.array([0.0]), np.array([0.5]))
         if not n:
