@@ -58,7 +58,7 @@ def counter(model_path: str, batch_bytes: int, split_chars: int):
                 for part in split_safely(text, split_chars):
                     held.append(part)
                     rows.append(row)
-                    size += len(part)
+                    size += len(part) if part.isascii() else len(part.encode())
                     if size >= batch_bytes:
                         flush()
                         size = 0
