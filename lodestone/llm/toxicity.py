@@ -347,7 +347,7 @@ class ToxicityModel:
         count = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
         total = sum(count.values())
         if not total:
-            return self  # nothing to learn from: every score is one half
+            return self  # nothing to learn from: every score is 0
         # kept back to choose the epoch and for calibration; of label 0 all beyond the training sample
         rng, chosen = np.random.default_rng(self.how.seed), []
         for label, most in ((0.0, self.how.sample + self.how.clean), (1.0, self.how.sample)):
@@ -373,7 +373,7 @@ class ToxicityModel:
     def score(self, docs: DataFrame, text_col: str = "text", name: str = "score") -> DataFrame:
         """``docs`` with a column of scores; of its columns the text is read."""
         if self.fitted is None:
-            return docs.withColumn(name, F.lit(0.5))
+            return docs.withColumn(name, F.lit(0.0))
         net, slope, place = self.fitted
         shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -396,8 +396,8 @@ def toxicity_scores(
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Learned from labelled documents that are not held out. Null and empty texts have one empty
-    window and so a score; repeated rows and null ids stay; with no labels every score is one half;
-    an empty table gives an empty result. Further columns are not read.
+    window and so a score; repeated rows and null ids stay; with no labels nothing is known to be
+    toxic and every score is 0; an empty table gives an empty result. Further columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
