@@ -10,7 +10,7 @@ without such a pair are streamed at all; that loses nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
+from .common import Scratch
 
 #: Fixed value: bytes of words. All bytes over 127 belong to words, so UTF-8 can be cut as bytes.
 IN_WORD = np.ones(256, dtype=bool)
@@ -266,79 +267,149 @@ class Benchmark:
         return np.cumsum(depth[:-1]) > 0, np.array(docs, dtype=np.int64), np.array(found, dtype=np.int64)
 
 
-#: An automaton of so many words takes about 1 GB in a task; larger benchmarks are streamed in
-#: several automata one after the other, each item whole in one of them.
-SHARD_WORDS = 2_000_000
+#: Bytes of items in one automaton, which takes about 150 times as much in each task. A larger benchmark
+#: is dealt into several; documents are streamed through them one after the other.
+SHARD_BYTES = 4 << 20
 
 
-def load_benchmark(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", limit_bytes: int = 512 << 20) -> list[Benchmark]:
-    """The automata of a benchmark table. A benchmark is a bounded thing; one over ``limit_bytes``
-    is refused before it is read to the driver. Items without an id are held under the id "null"."""
+def shards_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
+    """The items (item, text) in shards that one automaton can hold; an item is whole in one. Items
+    without an id are held under the id "null"."""
     rows = items.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > limit_bytes:
-        raise ValueError(f"the benchmark has {size} bytes; the bound is {limit_bytes}")
-    shards, held, total = [], [], 0
-    for row in sorted((r["item"], r["text"]) for r in rows.collect()):
-        held.append(row)
-        total += len(row[1]) // 4 + 1
-        if total > SHARD_WORDS:
-            shards.append(Benchmark(held, window))
-            held, total = [], 0
-    return [*shards, Benchmark(held, window)]
-
-
-FOUND = "struct<n_words:long,n_hit:long,item_ids:array<string>,kept:string>"
-
-
-def contamination(items: DataFrame, window: int = 13, with_kept: bool = False):
-    """A function of a text column that yields the struct FOUND; kept is null without ``with_kept``."""
-    shared = items.sparkSession.sparkContext.broadcast(load_benchmark(items, window))
-
-    def one(data: np.ndarray, offsets: np.ndarray) -> pa.StructArray:
-        # texts are joined with a blank between, so that no word crosses two of them
-        sizes = np.diff(offsets).astype(np.int64)
-        n = len(sizes)
-        begin = np.arange(n) + (offsets[:-1] - offsets[0])
-        joined = np.full(int(sizes.sum()) + n, 32, np.uint8)
-        joined[W.expand(begin, sizes)] = data[offsets[0] : offsets[-1]]
-        hashes, start, end = words_of(joined)
-        doc = np.searchsorted(begin, start, side="right") - 1
-        hit = np.zeros(len(hashes), dtype=bool)
-        found: list[set[str]] = [set() for _ in range(n)]
-        for benchmark in shared.value:
-            more, at, item = benchmark.hits(hashes, doc)
-            hit |= more
-            for d, i in zip(at.tolist(), item.tolist(), strict=True):
-                found[d].add(benchmark.ids[i])
-        kept: list[str | None] = [None] * n
-        if with_kept:
-            gone = np.zeros(len(joined) + 1, np.int8)
-            np.add.at(gone, start[hit], 1)
-            np.subtract.at(gone, end[hit], 1)
-            keep = np.cumsum(gone[:-1]) == 0
-            kept = [joined[b : b + s][keep[b : b + s]].tobytes().decode() for b, s in zip(begin, sizes, strict=True)]
-        columns = [
-            pa.array(np.bincount(doc, minlength=n)),
-            pa.array(np.bincount(doc[hit], minlength=n)),
-            pa.array([sorted(x) for x in found], pa.list_(pa.string())),
-            pa.array(kept, pa.string()),
-        ]
-        return pa.StructArray.from_arrays(columns, names=["n_words", "n_hit", "item_ids", "kept"])
+    n = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // SHARD_BYTES)
+    return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def automaton_of(shard: DataFrame, window: int) -> Benchmark:
+    """Only one shard's items are on the driver at a time."""
+    return Benchmark(sorted((r["item"], r["text"]) for r in shard.collect()), window)
+
+
+SPANS = "array<struct<a:int,b:int>>"
+FOUND = f"struct<n_words:long,spans:{SPANS},item_ids:array<string>>"
+SPAN_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def joined_texts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts joined with a blank between, so that no word crosses two of them, where each begins)."""
+    sizes = np.diff(offsets).astype(np.int64)
+    begin = np.arange(len(sizes)) + (offsets[:-1] - offsets[0])
+    joined = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
+    joined[W.expand(begin, sizes)] = data[offsets[0] : offsets[-1]]
+    return joined, begin
+
+
+def spans_of(benchmark: Benchmark, data: np.ndarray, offsets: np.ndarray) -> pa.StructArray:
+    joined, begin = joined_texts(data, offsets)
+    n = len(begin)
+    hashes, start, _ = words_of(joined)
+    doc = np.searchsorted(begin, start, side="right") - 1
+    hit, at, item = benchmark.hits(hashes, doc)
+    found: list[set[str]] = [set() for _ in range(n)]
+    for d, i in zip(at.tolist(), item.tolist(), strict=True):
+        found[d].add(benchmark.ids[i])
+    words = np.bincount(doc, minlength=n)
+    first = np.cumsum(words) - words
+    # maximal runs of hit words, which end with their document
+    new, last = hit.copy(), hit.copy()
+    new[1:] &= ~(hit[:-1] & (doc[1:] == doc[:-1]))
+    last[:-1] &= ~(hit[1:] & (doc[1:] == doc[:-1]))
+    a, b = np.flatnonzero(new), np.flatnonzero(last) + 1
+    owner = doc[a]
+    runs = pa.StructArray.from_arrays(
+        [pa.array((a - first[owner]).astype(np.int32)), pa.array((b - first[owner]).astype(np.int32))], names=["a", "b"]
+    )
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), runs)
+    return pa.StructArray.from_arrays(
+        [pa.array(words), lists, pa.array([sorted(x) for x in found], pa.list_(pa.string()))], names=["n_words", "spans", "item_ids"]
+    )
+
+
+def parts_of_column(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of a column whose texts are streamed at once."""
+    _, offsets = W.text_bytes(column)
+    part = (offsets[1:] - offsets[0]).astype(np.int64) // (4 * BATCH_WORDS)
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(column)]
+    yield from ((int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+
+def spans_in(items: DataFrame, window: int):
+    """A function of a text column that yields the struct FOUND for one shard of the items."""
+    shared = items.sparkSession.sparkContext.broadcast(automaton_of(items, window))
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             data, offsets = W.text_bytes(column)
-            part = (offsets[1:] - offsets[0]).astype(np.int64) // (4 * BATCH_WORDS)
-            edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(column)]
-            parts = [one(data, offsets[a : b + 1]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.concat_arrays(parts)
+            yield pa.concat_arrays([spans_of(shared.value, data, offsets[a : b + 1]) for a, b in parts_of_column(column)])
 
     return F.arrow_udf(run, FOUND)
 
 
+def without_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without the words in their spans (first word, word after the last)."""
+    out = []
+    for text, gone in zip(texts, spans, strict=True):
+        data = np.frombuffer(text.as_py().encode(), np.uint8)
+        _, start, end = words_of(data)
+        depth = np.zeros(len(data) + 1, np.int32)
+        for run in gone.as_py():
+            np.add.at(depth, start[run["a"] : run["b"]], 1)
+            np.subtract.at(depth, end[run["a"] : run["b"]], 1)
+        out.append(data[np.cumsum(depth[:-1]) == 0].tobytes().decode())
+    return pa.array(out, pa.string())
+
+
+def n_hit_of(spans):
+    """Words in the union of spans in order."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
+    more = F.aggregate(
+        spans,
+        start,
+        lambda acc, x: F.struct(
+            (acc["n"] + F.greatest(x["b"] - F.greatest(x["a"], acc["to"]), F.lit(0))).alias("n"), F.greatest(acc["to"], x["b"]).alias("to")
+        ),
+    )
+    return more["n"].cast("long")
+
+
+def with_contamination(docs: DataFrame, items: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+    """``docs`` with a struct column (n_words, n_hit, spans, item_ids). A benchmark of one shard is
+    looked up as the rows pass; with more, each shard's finds are written to the shared folder and
+    then joined by document."""
+    shards = shards_of(items)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+    def struct(n_words, spans, item_ids):
+        return F.struct(n_words.alias("n_words"), n_hit_of(spans).alias("n_hit"), spans.alias("spans"), item_ids.alias("item_ids")).alias(name)
+
+    if len(shards) == 1:
+        found = docs.withColumn(name, spans_in(shards[0], window)(text))
+        x = F.col(name)
+        return found.withColumn(name, struct(x["n_words"], x["spans"], x["item_ids"]))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "decontaminate")
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit("second"), text).alias("h2")).alias("key")
+    rows = scratch.write(docs.select(F.struct(*docs.columns).alias("row"), key, text.alias("text")), "rows")
+    parts = []
+    for k, shard in enumerate(shards):
+        one = rows.select("key", spans_in(shard, window)(F.col("text")).alias("x")).where(F.size("x.spans") > 0)
+        parts.append(scratch.write(one.select("key", "x.spans", "x.item_ids"), f"shard{k}"))
+    # copies of a row have the same finds in each shard
+    found = reduce(DataFrame.unionByName, parts).distinct().groupBy("key").agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+    )
+    both = rows.join(found, rows["key"].eqNullSafe(found["key"]), "left")
+    spans, ids = F.coalesce(found["spans"], F.array().cast(SPANS)), F.coalesce(found["item_ids"], F.array().cast("array<string>"))
+    return both.select("row.*", struct(F.arrow_udf(word_counts, "long")(rows["text"]), spans, ids))
+
+
+def word_counts(texts: pa.Array) -> pa.Array:
+    return pa.array([len(words_of(np.frombuffer(t.as_py().encode(), np.uint8))[1]) for t in texts], pa.int64())
+
+
 def is_contaminated(found, min_share: int = 20):
     return (found["n_hit"] > 0) & (min_share * found["n_hit"] >= found["n_words"])
 
@@ -359,19 +430,18 @@ def decontaminate(
     of a shorter one; a document word inside an occurrence of a window is hit. A document is
     contaminated if it has hits, and at least one word in ``min_share`` is hit. Null and empty texts
     have no words; repeated rows and null ids stay; empty tables give an empty result, or no hits.
-    Repeated items are found together; further columns are not read.
+    Repeated items are found together; a null item id counts as "null"; further columns are not read.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = contamination(items, window, with_kept)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), found(text).alias("x"))
-    return rows.select(
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = with_contamination(rows, items, "x", window=window)
+    return found.select(
         "doc_id",
         "x.n_words",
         "x.n_hit",
         F.size("x.item_ids").cast("long").alias("n_items"),
         "x.item_ids",
         is_contaminated(F.col("x"), min_share).alias("contaminated"),
-        *(["x.kept"] if with_kept else []),
+        *([F.arrow_udf(without_spans, "string")("text", "x.spans").alias("kept")] if with_kept else []),
     )
 
 

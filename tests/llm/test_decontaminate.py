@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from lodestone.llm.decontaminate import decontaminate, load_benchmark
+from lodestone.llm import decontaminate as D
+from lodestone.llm.decontaminate import decontaminate
 
 from . import brute
 
@@ -41,5 +42,22 @@ def test_kept_text_empty_tables_and_bound(spark):
     assert [r["kept"] for r in decontaminate(docs, items, with_kept=True).collect()] == ["x    y"] * 2
     assert decontaminate(docs.limit(0), items).count() == 0
     assert [r["n_hit"] for r in decontaminate(docs, items.limit(0)).collect()] == [0, 0]
-    with pytest.raises(ValueError, match="bound"):
-        load_benchmark(items, 13, limit_bytes=2)
+
+
+@pytest.mark.parametrize("seed,size", [(0, 300), (1, 40)])
+def test_shards_give_the_same(spark, seed, size, monkeypatch):
+    rows, items = case(seed)
+    rows = [*rows, (500, rows[3][1]), (500, rows[3][1])]
+    docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, x int")
+    tests = spark.createDataFrame([*items, (None, "lonely item without an id")], "item_id long, text string")
+    whole = sorted(decontaminate(docs, tests, with_kept=True).collect(), key=str)
+    monkeypatch.setattr(D, "SHARD_BYTES", size)
+    assert len(D.shards_of(tests)) > 2
+    parts = sorted(decontaminate(docs, tests, with_kept=True).collect(), key=str)
+    assert parts == whole and any(r["n_hit"] for r in parts)
+
+
+def test_null_item_ids(spark):
+    docs = spark.createDataFrame([(1, "a lonely item Without an id b")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "lonely item without an id"), (None, None)], "item_id long, text string")
+    assert [(r["n_hit"], r["item_ids"]) for r in decontaminate(docs, items).collect()] == [(5, ["null"])]
