@@ -15,13 +15,17 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import heavy, partitions
+
 #: Samples of a stored image's row; a payload is padded to whole images of 24 rows.
 WIDTH = 24
 BLOCK = 576
 PAD = 255
+#: Digests that a task remembers at once; one that comes again later is stored again, with equal bytes.
+MEMO = 100_000
 #: Elements whose text is not read, and those that refer to media.
 SILENT = ("script", "style", "template", "noscript")
 MEDIA = ("img", "audio", "video", "source", "embed")
@@ -88,19 +92,19 @@ def sequence_of(html: str | None) -> list[dict]:
     return [{"pos": i, **item} for i, item in enumerate(reader.items)]
 
 
-def interleaved(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page, items) with items: array of (pos, kind, text, ref, caption); one row per row."""
+def interleaved(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(page, items, further columns ``carry``) with items: array of (pos, kind, text, ref, caption);
+    one row per row. The columns carried must not be named page or items."""
     kind = pa.list_(
         pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            items = [sequence_of(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, kind)], names=["page", "items"])
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([sequence_of(x.as_py()) for x in column], kind)
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, f"page long, items array<{ITEM}>")
+    items = F.arrow_udf(run, f"array<{ITEM}>")
+    return pages.select(F.col(id_col).cast("long").alias("page"), items(F.col(html_col).cast("string")).alias("items"), *carry)
 
 
 def padded(raw: bytes) -> bytes:
@@ -140,8 +144,8 @@ def features(payload: bytes) -> str:
 
 
 def stored(docs: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """(digest, image) of the payloads of ``docs``. A task stores equal payloads once; what several
-    tasks store under one digest is the same."""
+    """(digest, image) of the payloads of ``docs``. A task stores equal payloads once, as far as its
+    memo goes; what is stored more than once under one digest is the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
@@ -152,6 +156,8 @@ def stored(docs: DataFrame, payload_col: str = "payload") -> DataFrame:
                     payload = padded(x.as_py() or b"")
                     digest = sha256(payload)
                     if digest.digest() not in known:
+                        if len(known) >= MEMO:
+                            known.clear()
                         known.add(digest.digest())
                         digests.append(digest.hexdigest())
                         images.append(to_image(payload))
@@ -182,16 +188,45 @@ def measured(media: DataFrame) -> DataFrame:
     return media.select("digest", "image").mapInArrow(run, MEASURED).dropDuplicates(["digest"])
 
 
-def resolved(sequences: DataFrame, media: DataFrame) -> DataFrame:
-    """One row per item of ``sequences`` with its position, kind, text, reference and caption, and
-    the columns of ``media`` (one row per digest) where the reference is ``sha256:`` and a digest.
-    References that nothing resolves stay, with nulls."""
-    items = sequences.select("page", F.explode("items").alias("x")).select("page", "x.*")
+def items_of(sequences: DataFrame, *carry: str) -> DataFrame:
+    """One row per item of ``sequences``: page, the columns carried, n_items, pos, kind, text, ref, caption."""
+    return sequences.select("page", *carry, F.size("items").alias("n_items"), F.explode("items").alias("x")).select(
+        "page", *carry, "n_items", "x.*"
+    )
+
+
+def resolved(items: DataFrame, media: DataFrame) -> DataFrame:
+    """``items`` with the columns of ``media`` (one row per digest) where the reference is ``sha256:``
+    and a digest. References that nothing resolves stay, with nulls.
+
+    Text and other references take no part in the join. A digest that very many items refer to
+    would fill one task; such digests are few, so their rows of ``media`` are broadcast."""
+    n = partitions(items.sparkSession)
     digest = F.when(F.col("ref").startswith("sha256:"), F.substring("ref", 8, 64))
-    return items.withColumn("digest", digest).join(media, "digest", "left")
+    items = items.withColumn("digest", digest)
+    refs, rest = items.where("digest is not null"), items.where("digest is null")
+    hot = heavy(refs.groupBy("digest").agg(F.count("*").alias("c")), n).select("digest")
+    few = F.broadcast(media.join(hot, "digest"))
+    out = refs.join(few, "digest").unionByName(refs.join(few.select("digest"), "digest", "left_anti").join(media, "digest", "left"))
+    return out.unionByName(rest, allowMissingColumns=True)
 
 
 def realigned(items: DataFrame) -> DataFrame:
     """Resolved items back as one ordered array for each page."""
     columns = [c for c in items.columns if c not in ("page", "pos")]
     return items.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("items"))
+
+
+def page_of(text) -> Column:
+    """A document as a page: its text in a paragraph, then a figure that refers to its payload."""
+    escaped = text
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(name))
+    raw = text.cast("binary")
+    n = F.octet_length(raw)
+    blocks = F.greatest(F.lit(1), F.ceil(n / BLOCK)) * BLOCK - n
+    digest = F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("FF"), blocks.cast("int")))), 256)
+    return F.concat(
+        F.lit("<article><p>"), escaped, F.lit('</p><figure><img src="sha256:'), digest, F.lit('" alt="payload"><figcaption>'),
+        n.cast("string"), F.lit(" bytes</figcaption></figure></article>"),
+    )

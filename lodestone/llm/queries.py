@@ -54,29 +54,31 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document is the payload of a page that refers to it once."""
+    """Each document is a page of its text and a figure; the figure's payload is the text's bytes."""
     from . import media as M
     from .common import Scratch
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
-    images = Scratch(spark, "media").write(M.stored(docs), "images")
-    n_bytes = F.octet_length("payload").cast("long")
-    blocks = F.greatest(F.lit(1), F.ceil(n_bytes / M.BLOCK)) * M.BLOCK - n_bytes
-    digest = F.sha2(F.concat("payload", F.unhex(F.repeat(F.lit("FF"), blocks.cast("int")))), 256)
-    html = F.concat(
-        F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), n_bytes.cast("string"), F.lit("</figcaption></figure>")
-    )
-    items = M.resolved(M.interleaved(docs.select("doc_id", html.alias("html")), "doc_id"), M.measured(images))
-    return items.select(
-        F.col("page").alias("doc_id"),
-        F.col("caption").cast("long").alias("n_bytes"),
-        "payload_bytes",
-        "payload_sha256",
-        "tail_crc32",
-        "media_bytes",
-        "media_sha256",
-        "feature",
-        "pos",
+    text = F.coalesce("text", F.lit(""))
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "media")
+    images = scratch.write(M.stored(docs.select(text.cast("binary").alias("payload"))), "images")
+    pages = docs.select("doc_id", M.page_of(text).alias("html"), F.octet_length(text).cast("long").alias("n_bytes"))
+    refs = M.items_of(M.interleaved(pages, "doc_id", carry=("n_bytes",)), "n_bytes").where("kind = 'media'").drop("text")
+    items = M.resolved(scratch.write(refs, "references"), M.measured(images))
+    columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return items.select(F.col("page").alias("doc_id"), "n_bytes", *columns, "pos", "n_items", "caption")
+
+
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interleaved sequence of each web page: how many items it has, and what its text is."""
+    from . import media as M
+
+    items = F.col("items")
+    texts = F.transform(F.filter(items, lambda x: x["kind"] == "text"), lambda x: x["text"])
+    return M.interleaved(table(spark, sf_dir, "pages")).select(
+        F.col("page").alias("page_id"),
+        F.size(items).alias("n_items"),
+        F.size(texts).alias("n_texts"),
+        F.sha2(F.array_join(texts, "\n"), 256).alias("text_sha256"),
     )
 
 
@@ -110,6 +112,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "page_sequences": page_sequences,
 }
 
 OP5_SQL = r"""
