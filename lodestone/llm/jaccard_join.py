@@ -230,26 +230,53 @@ def candidate_edges(groups: DataFrame, how: Join) -> DataFrame:
     return groups.groupBy("bucket").applyInArrow(run, "u long, v long")
 
 
+class Postings:
+    """Which of some sets hold each shingle. Built over parts of bounded size."""
+
+    def __init__(self, sets: list[np.ndarray], most: int = 1 << 22):
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        part = np.cumsum(sizes) // most
+        self.parts = []
+        for rows in np.split(np.arange(len(sets)), np.flatnonzero(np.diff(part)) + 1):
+            values = np.concatenate([sets[j] for j in rows])
+            order = np.argsort(values, kind="stable")
+            self.parts.append((values[order], np.repeat(np.arange(len(rows), dtype=np.int32), sizes[rows])[order], len(rows)))
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        """How many shingles each set has in common with ``own``."""
+        out = []
+        for values, owner, n in self.parts:
+            low, high = (np.searchsorted(values, own, side=side) for side in ("left", "right"))
+            out.append(np.bincount(owner[W.expand(low, high - low)], minlength=n))
+        return np.concatenate(out)
+
+
 def verify(sets: list[np.ndarray], sig: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray | None, how: Join):
     """Links of the pairs of ``left`` with ``right``, or of all pairs of ``left``: (texts, documents)
-    linked to each, and a forest of links."""
+    linked to each, and a forest of links. A set's common shingles with all others are counted at
+    once, from the lists of its own."""
     texts, rows = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
     label, edges = np.arange(len(sets)), []
+    others = left if right is None else right
+    if len(left) < 1 + (right is None) or not len(others):
+        return texts, rows, edges
+    size = np.array([len(x) for x in sets])
+    postings = Postings([sets[j] for j in others])
     for k, i in enumerate(left):
-        rest = left[k + 1 :] if right is None else right
-        for j in rest[survivors(sig[i], sig[rest], how)]:
-            a, b = sets[i], sets[j]
-            if min(len(a), len(b)) < how.threshold * max(len(a), len(b)):
-                continue
-            both = np.count_nonzero(np.isin(a, b, assume_unique=True, kind="sort"))
-            if both >= how.threshold * (len(a) + len(b) - both) - 1e-9:
-                texts[i] += 1
-                texts[j] += 1
-                rows[i] += weight[j]
-                rows[j] += weight[i]
-                if label[i] != label[j]:
-                    edges.append((int(i), int(j)))
-                    label[label == label[j]] = label[i]
+        rest = np.arange(k + 1 if right is None else 0, len(others))
+        rest = rest[survivors(sig[i], sig[others[rest]], how)]
+        if not len(rest):
+            continue
+        both, to = postings.common(sets[i])[rest], others[rest]
+        to = to[both >= how.threshold * (size[i] + size[to] - both) - 1e-9]
+        texts[i] += len(to)
+        texts[to] += 1
+        rows[i] += weight[to].sum()
+        rows[to] += weight[i]
+        for j in to[label[to] != label[i]]:
+            if label[j] != label[i]:
+                edges.append((int(i), int(j)))
+                label[label == label[j]] = label[i]
     return texts, rows, edges
 
 
