@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import bpe_round_trip
 from lodestone.llm.common import Scratch, table
-from lodestone.llm.decontaminate import contamination, is_contaminated
+from lodestone.llm.decontaminate import is_contaminated, with_contamination
 from lodestone.llm.jaccard_join import jaccard_join
 from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.quality import held_out, label_table
@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = label_table(table(spark, sf_dir, "labels"), "toxic").where(~held_out(F.col("doc_id")))
     text = F.coalesce("text", F.lit(""))
     model = ToxicityModel().fit(docs.select("doc_id", text.alias("text")), labelled)
-    scored = model.score(docs, name="__toxicity") if model.fitted else docs.withColumn("__toxicity", F.lit(0.0))
+    scored = model.score(docs, name="__toxicity")
     return scored.where(F.col("__toxicity") < 0.5).select(docs.columns)
 
 
@@ -52,8 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated stay whole."""
-    found = contamination(table(spark, sf_dir, "benchmark"))
-    marked = docs.withColumn("__found", found(F.coalesce("text", F.lit(""))))
+    marked = with_contamination(docs, table(spark, sf_dir, "benchmark"), "__found")
     return marked.where(~is_contaminated(F.col("__found"))).select(docs.columns)
 
 
