@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import windows as W
 from .common import Scratch, buckets, keyed
 
+BYTE_STEPS = np.left_shift(np.uint64(1), 8 * np.arange(8, dtype=np.uint64))
 #: Ends each passage in a local text. UTF-8 never has this byte.
 END = 0xFF
 
@@ -45,19 +46,36 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     n = len(text)
     differs = np.append(text[:-1] != text[1:], True)
     ends = np.flatnonzero(differs)
-    end = ends[np.searchsorted(ends, np.arange(n))]
+    end = np.repeat(ends, np.diff(ends, prepend=-1))
     nxt = np.append(text[1:], END)
     return (text[end] < nxt[end]) | (end == n - 1)
 
 
+def sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The places ``at`` in the order of the ``depth`` bytes from each. Eight bytes become their rank
+    among all of the text, as many ranks as fit become one number, and so on until one is left."""
+    padded = np.concatenate([text, np.full(depth, END, np.uint8)])
+    word = prefix_words(padded, min(depth, 8))[0]
+    rank = np.unique(word, return_inverse=True)[1].astype(np.uint64)
+    bits = np.uint64(max(1, int(len(padded)).bit_length()))
+    # the last eight bytes may overlap those before them, which does not change the order
+    left = [*range(0, depth - 8, 8), max(depth - 8, 0)]
+    key, room = np.zeros(len(at), np.uint64), 64 // int(bits)
+    while True:
+        for offset in left[: room - 1]:
+            key = key << bits | rank[at + offset]
+        left = left[room - 1 :]
+        order = np.argsort(key)
+        if not left:
+            return at[order]
+        key[order] = np.cumsum(W.edges_of(key[order]), dtype=np.uint64)
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` bytes, by two stages."""
     n = len(text)
     small = smaller_than_next(text)
-    direct = np.flatnonzero(small)
-    words = prefix_words(text, depth)
-    order = np.lexsort([w[direct] for w in words[::-1]])
-    direct = direct[order]
+    direct = sorted_directly(text, np.flatnonzero(small), depth)
     counts = np.bincount(text, minlength=256)
     large = np.bincount(text[~small], minlength=256)
     first = np.concatenate([[0], np.cumsum(counts)])[:-1]
@@ -101,15 +119,15 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
     words = prefix_words(text, depth)
     for i, word in enumerate(words):
         width = min(8, depth - 8 * i)
-        a, b = word[sa[going]], word[sa[going - 1]]
-        differ = a ^ b
+        if 4 * len(going) > len(sa):
+            word = word[sa]
+            differ = word[going] ^ word[going - 1]
+        else:
+            differ = word[sa[going]] ^ word[sa[going - 1]]
         equal = differ == 0
         out[going[equal]] += width
-        odd = going[~equal]
-        bits = np.frexp((differ[~equal] >> np.uint64(0)).astype(np.float64))[1]
-        # a conversion may round up to the next power of two; that costs a bit at a byte's edge only
-        bits = np.where(np.left_shift(np.uint64(1), np.minimum(bits - 1, 63).astype(np.uint64)) > differ[~equal], bits - 1, bits)
-        out[odd] += width - (bits + 7) // 8
+        # how many low bytes the difference takes
+        out[going[~equal]] += width - np.searchsorted(BYTE_STEPS, differ[~equal], side="right")
         going = going[equal]
     return out
 
