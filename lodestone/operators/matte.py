@@ -94,3 +94,29 @@ def healed(px: DataFrame, limit: float, passes: int) -> DataFrame:
         px = px.withColumn("label", F.when(F.coalesce(same, F.lit(False)), F.col("label")).otherwise(F.coalesce(best, F.col("label"))))
         px = px.drop(*[f"{n}_{c}" for n in "lrud" for c in ("label", "v")])
     return px
+
+
+def routed(routes: DataFrame, checkpoint, most_rounds: int = 64) -> DataFrame:
+    """(id, to_) with every route followed to its end. Members of a cycle route nowhere, and routes
+    into a cycle end at the member they reach. ``checkpoint`` cuts the lineage of a round.
+
+    First each node's jumps of doubling length tell which nodes come back to themselves: after as
+    many doublings as it takes to pass all nodes, what is still reached lies on a cycle."""
+    n = max(1, routes.count())
+    jump = checkpoint(routes.select("id", "to_"))
+    step = 1
+    while step < n:
+        ahead = jump.select(F.col("id").alias("to_"), F.col("to_").alias("further"))
+        jump = checkpoint(jump.join(ahead, "to_").select("id", F.col("further").alias("to_")).where("to_ is not null"))
+        step *= 2
+    on_cycle = jump.select(F.col("to_").alias("id")).distinct()
+    # every member of a cycle is reached from some member of it by a jump of any length
+    ends = routes.join(on_cycle, "id", "left_anti").select("id", "to_")
+    now = checkpoint(ends.unionByName(on_cycle.withColumn("to_", F.lit(None).cast("long"))))
+    for _ in range(most_rounds):
+        ahead = now.where("to_ is not null").select(F.col("id").alias("to_"), F.col("to_").alias("further"))
+        nxt = checkpoint(now.join(ahead, "to_", "left").select("id", F.coalesce("further", "to_").alias("to_"), F.col("further").isNotNull().alias("moved")))
+        if nxt.where("moved").isEmpty():
+            return nxt.select("id", "to_")
+        now = nxt.select("id", "to_")
+    raise RuntimeError("routes did not settle")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Studentised range at 0.05 divided by the square root of two, for 2 to 21 tools.
 NEMENYI_05 = (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164, 3.219, 3.268, 3.313, 3.354, 3.391, 3.426, 3.458, 3.489, 3.517, 3.544, 3.569)
+#: The same at level 0.10.
+NEMENYI_10 = (1.645, 2.052, 2.291, 2.459, 2.589, 2.693, 2.780, 2.855, 2.920, 2.978, 3.030, 3.077, 3.120, 3.159, 3.196, 3.230, 3.261, 3.291, 3.319, 3.346)
 
 
 def average_ranks(cells: DataFrame, block: list[str], value: Column, order: Column) -> DataFrame:
@@ -85,8 +88,8 @@ def friedman(case_means: DataFrame) -> DataFrame:
     return rows.select("k", "n", "chi2", f.alias("f"))
 
 
-def critical_difference(k: Column, n: Column) -> Column:
-    q = F.try_element_at(F.array(*[F.lit(x) for x in NEMENYI_05]), (k - 1).cast("int"))
+def critical_difference(k: Column, n: Column, values: tuple[float, ...] | None = None) -> Column:
+    q = F.try_element_at(F.array(*[F.lit(x) for x in values or NEMENYI_05]), (k - 1).cast("int"))
     return F.when((k >= 2) & (k <= 21), q * F.sqrt(k * (k + 1) / (6.0 * n)))
 
 
@@ -164,3 +167,24 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
         if abs(d * c - 1) < 1e-15:
             break
     return front * h
+
+
+def with_tails(tests: DataFrame) -> DataFrame:
+    """Adds p_chi2 and p_f to rows of ``friedman``, of which there is one; null without ranks."""
+
+    def tails(chi2: float | None, f: float | None, k: int, n: int | None) -> tuple | None:
+        if chi2 is None or f is None or not n or k < 2:
+            return None
+        return chi2_tail(chi2, k - 1.0), f_tail(f, k - 1.0, (k - 1.0) * (n - 1.0))
+
+    return tests.withColumn("t", F.udf(tails, "p_chi2 double, p_f double")("chi2", "f", "k", "n")).select("*", "t.*").drop("t")
+
+
+def ln_gamma(c: Column) -> Column:
+    """Natural logarithm of the gamma function."""
+
+    @F.pandas_udf("double")
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(math.lgamma, na_action="ignore")
+
+    return f(c)
