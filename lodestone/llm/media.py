@@ -101,7 +101,9 @@ def interleaved(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            yield pa.array([sequence_of(x.as_py()) for x in column], kind)
+            # a few pages at a time: their texts as Python objects take more room than as Arrow
+            parts = [pa.array([sequence_of(x.as_py()) for x in column.slice(a, 256)], kind) for a in range(0, len(column), 256)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     items = F.arrow_udf(run, f"array<{ITEM}>")
     return pages.select(F.col(id_col).cast("long").alias("page"), items(F.col(html_col).cast("string")).alias("items"), *carry)
