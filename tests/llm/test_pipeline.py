@@ -27,7 +27,7 @@ def test_toxicity_keeps_clean_documents(spark):
     kept = out.select("doc_id").withColumn("kept", F.lit(1))
     rows = labels.join(kept, "doc_id", "left").toPandas()
     assert rows[rows.toxic == 0].kept.notna().mean() > 0.97
-    assert rows[rows.toxic == 1].kept.notna().mean() < 0.5
+    assert rows[rows.toxic == 1].kept.notna().mean() < 0.25
 
 
 def test_line_stage_equals_brute_force(spark):
@@ -63,3 +63,35 @@ def test_run(spark):
     out = P.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 300 < out.count() < 1000
+
+
+def test_encoding_stage_equals_the_library(spark):
+    from hashlib import sha256
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from lodestone.llm.queries import tokenizer_path
+
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    rows = [(1, "Plain words, a number 42 and caf\u00e9"), (2, None), (3, ""), (4, "\u4e2d\u6587 mixed " * 50), (4, "again")]
+    want = []
+    for d, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        shown = library.decode(ids, skip_special_tokens=False)
+        want.append((d, len(ids), sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha256(shown.encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in P.encoding(spark, frame(spark, rows), SF).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    names = ["__toxicity", "score", "id", "th", "words", "found", "row", "key", "x", "c", "pos"]
+    fields = SCHEMA + "".join(f", {n} string" for n in names)
+    rows = [(1, "one text of more than five words", "en", "s", 32, *names), (2, None, None, None, None, *names)]
+    for docs in (spark.createDataFrame([], fields), spark.createDataFrame(rows, fields)):
+        n = docs.count()
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns, name
+            assert out.count() == n and out.where(" and ".join(f"`{c}` = '{c}'" for c in names)).count() == n, name
+        assert P.encoding(spark, docs, SF).count() == n

@@ -38,3 +38,39 @@ def test_odd_tables(spark):
     assert Q.quality_scores(docs, labels).count() == 5
     assert {r["score"] for r in Q.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert Q.quality_scores(docs.limit(0), labels).count() == 0
+
+
+def test_scores_equal_plain_ridge_and_pooling(spark, monkeypatch):
+    # sums meet in several rounds
+    monkeypatch.setattr(Q, "FAN", 2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300).repartition(7)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    found = {r["doc_id"]: r["score"] for r in Q.quality_scores(docs, labels).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    ids = sorted(texts)
+    x = np.array([Q.statistics(texts[d]) for d in ids])
+    labelled = Q.label_table(labels, "quality").where(~Q.held_out(Q.F.col("doc_id"))).collect()
+    y = {r["doc_id"]: r["y"] for r in labelled if r["doc_id"] in texts}
+    z = Q.Fourier(x.mean(axis=0), x.std(axis=0), 256, 4.0, 7)(x)
+    rows = [i for i, d in enumerate(ids) if d in y]
+    a, t = z[rows], np.array([y[ids[i]] for i in rows])
+    penalty = np.diag([1e-3 * len(rows)] * 256 + [1e-9 * len(rows)])
+    raw = z @ np.linalg.solve(a.T @ a + penalty, a.T @ t)
+    bins: dict[int, list[float]] = {}
+    for r, label in zip(raw[rows], t, strict=True):
+        bins.setdefault(round(min(2.0, max(-1.0, r)) / 1e-3), []).append(label)
+    # pooling by its definition: the level at a place is the least, over ends at or after it, of the
+    # greatest mean over starts at or before it
+    keys = sorted(bins)
+    total, n = np.array([sum(bins[k]) for k in keys]), np.array([len(bins[k]) for k in keys])
+    mean = lambda i, j: total[i : j + 1].sum() / n[i : j + 1].sum()
+    level = [min(max(mean(i, j) for i in range(k + 1)) for j in range(k, len(keys))) for k in range(len(keys))]
+    at, steps = [], []
+    for value in sorted(set(np.round(level, 12))):
+        own = [k for k in range(len(keys)) if round(level[k], 12) == value]
+        at.append(sum(keys[k] * 1e-3 * n[k] for k in own) / sum(n[k] for k in own))
+        steps.append(value)
+    want = dict(zip(ids, np.clip(np.interp(raw, at, steps), 0, 1), strict=True))
+    # a raw score just between two bins may fall to either side
+    close = [abs(found[d] - want[d]) < 1e-3 for d in ids]
+    assert np.mean(close) > 0.99

@@ -57,7 +57,8 @@ def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (2, "", 1), (None, "a b", 1), (3, "x " * 500, 1)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 0, 1), (None, 1, 1), (3, None, 1)], "doc_id long, quality int, toxic int")
     assert T.toxicity_scores(docs, labels).count() == 5
-    assert {r["score"] for r in T.toxicity_scores(docs, labels.limit(0)).collect()} == {0.5}
+    assert {r["score"] for r in T.toxicity_scores(docs, labels.limit(0)).collect()} == {0.0}
+    assert {r["predicted"] for r in T.toxicity_scores(docs, labels.limit(0)).collect()} == {0}
     assert T.toxicity_scores(docs.limit(0), labels).count() == 0
 
 
@@ -87,3 +88,49 @@ def test_ends_of_long_texts_are_learned(spark):
     out = T.toxicity_scores(docs, labels, how=T.Training(batch=8)).collect()
     test = [r for r in out if r["held_out"]]
     assert len(test) > 10 and all(r["predicted"] == r["doc_id"] % 2 for r in test)
+
+
+def plain_logit(net, text):
+    """The logit of a text, word by word and window by window."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    words = []
+    data = np.frombuffer(text, np.uint8)
+    hashes, start, end = T.words_of(data)
+    for h, a, b in zip(hashes, start, end, strict=True):
+        row = int(np.searchsorted(net.words, h)) + 1 if h in set(net.words.tolist()) else 0
+        grams, _ = T.gram_lists(T.LOWER[data], np.array([a]), np.array([b]))
+        words.append(np.concatenate([p["word"][row], p["gram"][grams].mean(axis=0)]))
+    logits = []
+    for first in range(0, max(1, len(words) - (T.WINDOW - T.STRIDE)), T.STRIDE):
+        own = words[first : first + T.WINDOW]
+        states = {}
+        for way in "fb":
+            state, states[way] = np.zeros(T.HIDDEN), [None] * len(own)
+            for t in range(len(own)) if way == "f" else reversed(range(len(own))):
+                x, u = own[t] @ p[f"{way}x"] + p[f"{way}c"], state @ p[f"{way}h"]
+                h = T.HIDDEN
+                z, r = T.sigmoid(x[:h] + u[:h]), T.sigmoid(x[h : 2 * h] + u[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(x[2 * h :] + r * u[2 * h :])
+                states[way][t] = state
+        both = [np.concatenate(s) for s in zip(states["f"], states["b"], strict=True)]
+        look = np.array([np.tanh(s @ p["pool"]) @ p["look"] for s in both])
+        share = np.exp(look - look.max()) / np.exp(look - look.max()).sum() if both else []
+        pooled = sum((w * s for w, s in zip(share, both, strict=True)), np.zeros(2 * T.HIDDEN))
+        logits.append(pooled @ p["out"] + p["bias"][0])
+    return max(logits)
+
+
+def test_scores_equal_a_loop_over_windows():
+    texts = [b"", b"one", b"alpha beta gamma " * 40, "Gr\u00fc\u00dfe und 9 W\u00f6rter ".encode() * 11, b"x " * 48]
+    net = T.Network(np.unique(T.words_of(np.frombuffer(b"alpha one und", np.uint8))[0]), 5)
+    assert np.allclose(net.document_logits(*T.joined(texts)), [plain_logit(net, t) for t in texts], atol=1e-4)
+
+
+def test_held_out_recall_in_all_languages(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = T.toxicity_scores(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    toxic = out[out.toxic == 1]
+    assert toxic.predicted.mean() >= 0.9
+    assert (toxic.groupby("lang").predicted.mean() >= 0.75).all()
+    assert out[out.toxic == 0].predicted.mean() <= 0.02
