@@ -20,13 +20,17 @@ from lodestone.llm.toxicity import ToxicityModel
 from lodestone.llm.windows import NULL_ID
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """Each row whole beside its id and text, so that no name of a stage's own meets one of the table."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under one half stay."""
     labelled = label_table(table(spark, sf_dir, "labels"), "toxic").where(~held_out(F.col("doc_id")))
-    text = F.coalesce("text", F.lit(""))
-    model = ToxicityModel().fit(docs.select("doc_id", text.alias("text")), labelled)
-    scored = model.score(docs, name="__toxicity")
-    return scored.where(F.col("__toxicity") < 0.5).select(docs.columns)
+    rows = rows_of(docs)
+    model = ToxicityModel().fit(rows.select("doc_id", "text"), labelled)
+    return model.score(rows, name="score").where(F.col("score") < 0.5).select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,19 +45,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The leading document of each class stays, once if its row is repeated; documents without
     words all stay."""
     found = jaccard_join(docs).where("leads")
-    stays = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.col("th").alias("__th")).distinct()
-    keyed = docs.withColumns(
-        {"__id": F.coalesce("doc_id", F.lit(NULL_ID)), "__th": F.xxhash64("doc_id", F.coalesce("text", F.lit("")))}
-    ).join(stays, ["__id", "__th"], "left_semi")
-    words = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    once = keyed.where(words).dropDuplicates(["__id", "__th"])
-    return once.unionByName(keyed.where(~words)).select(docs.columns)
+    stays = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "th").distinct()
+    keys = {"id": F.coalesce("doc_id", F.lit(NULL_ID)), "th": F.xxhash64("doc_id", "text"), "words": F.col("text").rlike("[^\\x20\\x09-\\x0D]")}
+    kept = rows_of(docs).withColumns(keys).join(stays, ["id", "th"], "left_semi")
+    once = kept.where("words").dropDuplicates(["id", "th"])
+    return once.unionByName(kept.where("not words")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated stay whole."""
-    marked = with_contamination(docs, table(spark, sf_dir, "benchmark"), "__found")
-    return marked.where(~is_contaminated(F.col("__found"))).select(docs.columns)
+    marked = with_contamination(rows_of(docs), table(spark, sf_dir, "benchmark"), "found")
+    return marked.where(~is_contaminated(F.col("found"))).select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
