@@ -53,15 +53,12 @@ def feathered(px: DataFrame, value: str, radius: int, passes: int = 3) -> DataFr
 def grown(px: DataFrame, alpha: str, carried: list[str], radius: int) -> DataFrame:
     """Largest alpha in reach, with what the pixel that has it carries; on a tie the pixel's own,
     else the first. Rows first, then columns."""
-    for w in (row(), column()):
-        frame = F.collect_list(F.struct(F.col(alpha).alias("a"), *carried)).over(w.rowsBetween(-radius, radius))
-        px = px.withColumn("__reach", frame)
-        best = F.array_max(F.transform("__reach", lambda s: s["a"]))
-        first = F.element_at(F.filter("__reach", lambda s: s["a"] == best), 1)
-        px = px.withColumns({"__best": best, "__first": first})
-        take = F.col("__best") > F.col(alpha)
-        px = px.withColumns({c: F.when(take, F.col(f"__first.{c}")).otherwise(F.col(c)) for c in carried} | {alpha: F.greatest(F.col(alpha), F.col("__best"))})
-        px = px.drop("__reach", "__best", "__first")
+    for w, at in ((row(), "x"), (column(), "y")):
+        frame = w.rowsBetween(-radius, radius)
+        px = px.withColumn("__best", F.max(F.struct(F.col(alpha).alias("a"), (-F.col(at)).alias("first"), *carried)).over(frame))
+        take = F.col("__best.a") > F.col(alpha)
+        px = px.withColumns({c: F.when(take, F.col(f"__best.{c}")).otherwise(F.col(c)) for c in carried} | {alpha: F.greatest(F.col(alpha), F.col("__best.a"))})
+        px = px.drop("__best")
     return px
 
 

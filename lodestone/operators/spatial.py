@@ -77,6 +77,14 @@ def linked_ids(pairs: DataFrame, nodes: DataFrame, checkpoint, most_rounds: int
     raise RuntimeError("clusters did not settle")
 
 
+def within_gap(left: DataFrame, right: DataFrame, group: str, a: str, b: str, gap: float) -> DataFrame:
+    """Pairs of a group whose values differ by no more than ``gap``. They meet in bands as wide as the
+    gap, a row's own and the two beside it, so no row meets all of its group."""
+    band = lambda c: F.floor(F.col(c) / gap).cast("long")
+    near = left.withColumn("band", F.explode(F.array(*[band(a) + k for k in (-1, 0, 1)])))
+    return near.join(right.withColumn("band", band(b)), [group, "band"]).where(F.abs(F.col(a) - F.col(b)) <= gap).drop("band")
+
+
 def mutual_best(pairs: DataFrame, checkpoint, most_rounds: int = 1000) -> DataFrame:
     """Greedy one-to-one matching of (id, oid, gap) by ascending gap, ties by ids. In a round pairs
     that are the best of both their sides are taken, which yields the greedy result; the least pair
@@ -89,10 +97,10 @@ def mutual_best(pairs: DataFrame, checkpoint, most_rounds: int = 1000) -> DataFr
         marked = left.join(a, "id").join(b, "oid")
         took = checkpoint(marked.where((F.col("a.oid") == F.col("oid")) & (F.col("b.id") == F.col("id"))).select("id", "oid", "gap"))
         if took.isEmpty():
-            break
+            return out if out is not None else left
         out = took if out is None else out.unionByName(took)
         left = checkpoint(left.join(took.select("id"), "id", "left_anti").join(took.select("oid"), "oid", "left_anti").select("id", "oid", "gap"))
-    return out if out is not None else left
+    raise RuntimeError(f"pairs are left after {most_rounds} rounds")
 
 
 def crossings(segments: DataFrame, size: float) -> DataFrame:

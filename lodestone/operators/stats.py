@@ -8,26 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ordered(value: Column) -> Column:
-    return F.sort_array(F.collect_list(value))
-
-
-def quantile_floor(value: Column, q: float) -> Column:
-    """The element at floor(q (n - 1)) of the ascending order, 0 for an empty group."""
-    s = ordered(value)
-    return F.when(F.count(value) == 0, F.lit(0.0)).otherwise(F.element_at(s, (F.floor(q * (F.count(value) - 1)) + 1).cast("int")))
-
-
-def p95(value: Column) -> Column:
-    """The element at min(n - 1, floor(0.95 n))."""
-    n = F.count(value)
-    return F.when(n > 0, F.element_at(ordered(value), F.least(n, F.floor(0.95 * n) + 1).cast("int")))
-
-
-def upper_median(value: Column) -> Column:
-    """The element at n div 2: not interpolated."""
-    n = F.count(value)
-    return F.when(n > 0, F.element_at(ordered(value), (F.floor(n / 2) + 1).cast("int")))
+def floored(q: float):
+    """The place floor(q (n - 1)), from 1: the rule for ``at_ranks`` that does not interpolate."""
+    return (q, lambda n: F.floor(F.round(q * (n - 1), 9)) + 1)
 
 
 #: Groups up to this size are selected from whole.

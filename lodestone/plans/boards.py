@@ -106,14 +106,12 @@ def paired_diff(spark, sf):
     c = cells(spark, sf).where("mean IS NOT NULL")
     a = c.where("tool = 'click'").select("case_id", F.col("mean").alias("va"))
     b = c.where("tool = 'view'").select("case_id", F.col("mean").alias("vb"))
-    d = F.col("va") - F.col("vb")
-    return a.join(b, "case_id").agg(
-        F.count("*").alias("n"),
-        F.round(F.avg(d), 6).alias("mean_diff"),
-        F.count_if(d < 0).alias("wins"),
-        F.count_if(d > 0).alias("losses"),
-        F.round(F.median(d), 6).alias("median_diff"),
-    )
+    d = F.col("d")
+    pairs = a.join(b, "case_id").select(F.lit("all").alias("g"), (F.col("va") - F.col("vb")).alias("d"))
+    low, high = S.interpolated(0.5)
+    middle = S.at_ranks(pairs, ["g"], "d", {"a": low, "b": high}).select(F.round(S.between("a", "b", 0.5), 6).alias("median_diff"))
+    sums = pairs.agg(F.count("*").alias("n"), F.round(F.avg(d), 6).alias("mean_diff"), F.count_if(d < 0).alias("wins"), F.count_if(d > 0).alias("losses"))
+    return sums.join(F.broadcast(middle), how="left")  # one row each
 
 
 @query(f"""WITH {CELLS}, p AS (SELECT a.case_id, b.mean - a.mean AS fx, a.users - b.users AS fy FROM cells a JOIN cells b ON a.case_id = b.case_id

@@ -10,7 +10,7 @@ from ..operators import matte as M
 from ..operators import raster as K
 from ..operators import sequence as Q
 from ..operators import spatial as D
-from ..operators.stats import quantile_floor
+from ..operators import stats as S
 from ..sources.roles import LABELS, PIXELS, labels, pixels, table
 from ..sources.scratch import written
 from .registry import query
@@ -55,9 +55,24 @@ def grow_matte(spark, sf):
     return M.grown(labels(spark, sf), "v", ["label"], 1).select("img_id", "x", "y", "v", "label")
 
 
-@query()
+def _seams_sql() -> str:
+    lines = {"r": "img_id, y ORDER BY x", "c": "img_id, x ORDER BY y", "d": "img_id, x - y ORDER BY x", "u": "img_id, x + y ORDER BY x"}
+    tests = []
+    for w in lines:
+        at = lambda k, w=w: f"{'lead' if k > 0 else 'lag'}(v, {abs(k)}) OVER {w}"
+        for size in (1, 2, 3):
+            for i in range(size):
+                a, b = at(-i - 1), at(size - i)
+                inside = [f"{at(k)} >= 100" for k in range(-i, size - i) if k]
+                tests.append(" AND ".join([*inside, f"{a} < 100", f"{b} < 100", f"abs(v - ({a} + ({b} - {a}) * ({i + 1}.0::DOUBLE / {size + 1}))) <= 48"]))
+    found = " OR ".join(f"coalesce({t}, false)" for t in tests)
+    windows = ", ".join(f"{w} AS (PARTITION BY {line})" for w, line in lines.items())
+    return f"WITH {PIXELS}, s AS (SELECT img_id, v >= 100 AND ({found}) AS seam FROM pixels WINDOW {windows}) SELECT img_id, count(*) FILTER (WHERE seam) AS seams FROM s GROUP BY 1"
+
+
+@query(_seams_sql())
 def close_seams(spark, sf):
-    """Thin opaque runs between removed flanks whose level is their blend; tests hold it to loops."""
+    """Thin opaque runs between removed flanks whose level is their blend."""
     s = M.seams(pixels(spark, sf), F.col("v") >= 100, "v", 48.0)
     return s.groupBy("img_id").agg(F.count_if("seam").alias("seams"))
 
@@ -155,9 +170,9 @@ def score_geometry(spark, sf):
     pts = edge.select("img_id", (F.col("img_id") * 1024 + F.col("y") * 8 + F.col("x")).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     others = pts.select((F.col("img_id") - 1).alias("img_id"), F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     d = D.nearest(pts, others, 2.0, ["img_id"], lambda df: written(df, "boundary"))
-    return d.groupBy("img_id").agg(
-        F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("chamfer"), F.round(quantile_floor(F.col("distance"), 0.95), 6).alias("p95"), F.round(F.max("distance"), 6).alias("hausdorff")
-    )
+    d = written(d, "distances")
+    p95 = S.at_ranks(d, ["img_id"], "distance", {"p95": S.floored(0.95)}).select("img_id", F.round("p95", 6).alias("p95"))
+    return d.groupBy("img_id").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("chamfer"), F.round(F.max("distance"), 6).alias("hausdorff")).join(p95, "img_id")
 
 
 @query(f"WITH {PIXELS} SELECT img_id, max(x) + 1 AS width, max(y) + 1 AS height, CAST(sum(v) AS BIGINT) AS total FROM pixels GROUP BY 1")

@@ -99,18 +99,16 @@ def radius_clusters(spark, sf):
     return c.groupBy("cluster").agg(F.count("*").alias("members"))
 
 
-@query(f"""WITH {PTS}, s AS (SELECT a.id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM p a JOIN p b ON b.id = a.id + 1 WHERE a.id % 5 = 0),
+CROSSINGS = f"""WITH {PTS}, s AS (SELECT a.id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM p a JOIN p b ON b.id = a.id + 1),
 o AS (SELECT a.id, b.id AS oid, sign((a.x1 - a.x0) * (b.y0 - a.y0) - (a.y1 - a.y0) * (b.x0 - a.x0)) * sign((a.x1 - a.x0) * (b.y1 - a.y0) - (a.y1 - a.y0) * (b.x1 - a.x0)) AS s1,
  sign((b.x1 - b.x0) * (a.y0 - b.y0) - (b.y1 - b.y0) * (a.x0 - b.x0)) * sign((b.x1 - b.x0) * (a.y1 - b.y0) - (b.y1 - b.y0) * (a.x1 - b.x0)) AS s2 FROM s a JOIN s b ON a.id < b.id)
-SELECT id, oid FROM o WHERE s1 < 0 AND s2 < 0""")
-def edge_crossings(spark, sf):
-    """Crossings among the segments that start at every fifth vector, as the SQL has it; ``edge_crossings_whole`` has all segments."""
-    return D.crossings(_segments(spark, sf).where("id % 5 = 0"), 0.1)
+SELECT id, oid FROM o WHERE s1 < 0 AND s2 < 0"""
 
 
-@query()
-def edge_crossings_whole(spark, sf):
-    """Crossings among the segments of all consecutive vectors; a quadratic self-join in SQL, so a test holds it to a loop."""
+@query(CROSSINGS, name="edge_crossings_whole")
+@query(CROSSINGS)
+def edge_crossings(spark, sf):
+    """Crossings among the segments of all consecutive vectors."""
     return D.crossings(_segments(spark, sf), 0.1)
 
 
@@ -132,12 +130,17 @@ def _caption_pairs(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("g"), F.col("s_acctbal").alias("a"))
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("oid"), F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("b"))
     gap = F.round(F.abs(F.col("a") - F.col("b")), 2)
-    return s.join(c, "g").where(F.abs(F.col("a") - F.col("b")) <= 300).select("id", "oid", gap.alias("gap"))
+    return D.within_gap(s, c, "g", "a", "b", 300).select("id", "oid", gap.alias("gap"))
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT s_suppkey AS id, c_custkey AS oid, round(abs(s_acctbal - c_acctbal), 2) AS gap FROM supplier JOIN customer ON s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) <= 300),
+o AS (SELECT id, oid, gap, row_number() OVER (ORDER BY gap, id, oid) AS place FROM q),
+g AS (SELECT CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS ids, CAST([] AS BIGINT[]) AS oids, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS oid, CAST(NULL AS DOUBLE) AS gap
+ UNION ALL SELECT m.place, list_append(m.ids, o.id), list_append(m.oids, o.oid), o.id, o.oid, o.gap
+ FROM (SELECT g.ids, g.oids, min(o.place) AS place FROM g JOIN o ON o.place > g.place AND NOT list_contains(g.ids, o.id) AND NOT list_contains(g.oids, o.oid) GROUP BY 1, 2) m JOIN o ON o.place = m.place)
+SELECT id, oid, gap FROM g WHERE id IS NOT NULL""")
 def match_captions(spark, sf):
-    """Greedy one-to-one matching within a gap; its order has no plain SQL form, tests hold it to a loop."""
+    """Greedy one-to-one matching within a gap, by ascending gap."""
     return D.mutual_best(_caption_pairs(spark, sf), lambda df: written(df, "captions"))
 
 

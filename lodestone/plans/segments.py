@@ -106,23 +106,15 @@ def build_manifest(spark, sf):
     return p.select("name", F.to_json(F.struct("name", "icons")).alias("manifest"))
 
 
-@query("""SELECT 'order' AS kind, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_totalprice AS VARCHAR) AS amount, NULL AS size, NULL AS segment FROM orders WHERE o_orderkey % 10 = 0
- UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), NULL, CAST(p_size AS BIGINT), NULL FROM part UNION ALL SELECT 'customer', c_name, CAST(c_custkey AS VARCHAR), NULL, c_mktsegment FROM customer""")
-def flatten_schema(spark, sf):
-    """Every tenth order, as the SQL has it, with all parts and customers; ``flatten_schema_whole`` has all orders."""
-    return _flattened(spark, sf, table(spark, sf, "orders").where("o_orderkey % 10 = 0"))
-
+FLAT_ROWS = """SELECT 'order' AS kind, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_totalprice AS VARCHAR) AS amount, NULL AS size, NULL AS segment FROM orders
+ UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), NULL, CAST(p_size AS BIGINT), NULL FROM part UNION ALL SELECT 'customer', c_name, CAST(c_custkey AS VARCHAR), NULL, c_mktsegment FROM customer"""
 
-@query("""SELECT 'order' AS kind, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_totalprice AS VARCHAR) AS amount, NULL AS size, NULL AS segment FROM orders
- UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), NULL, CAST(p_size AS BIGINT), NULL FROM part UNION ALL SELECT 'customer', c_name, CAST(c_custkey AS VARCHAR), NULL, c_mktsegment FROM customer""")
-def flatten_schema_whole(spark, sf):
-    """All orders, parts and customers under one schema."""
-    return _flattened(spark, sf, table(spark, sf, "orders"))
 
-
-def _flattened(spark, sf, orders):
+@query(FLAT_ROWS, name="flatten_schema_whole")
+@query(FLAT_ROWS)
+def flatten_schema(spark, sf):
     """Rows of three kinds under one schema: columns by name, missing ones null, mixed types as text."""
-    o = orders.select(F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").cast("string").alias("amount"))
+    o = table(spark, sf, "orders").select(F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").cast("string").alias("amount"))
     p = table(spark, sf, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.col("p_size").cast("long").alias("size"))
     c = table(spark, sf, "customer").select(F.lit("customer").alias("kind"), F.col("c_name").alias("id"), F.col("c_custkey").cast("string").alias("amount"), F.col("c_mktsegment").alias("segment"))
     return o.unionByName(p, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table and reads it back. The folder is spark.checkpoint.dir; where the session sets
-    none, as in tests on one machine, a temporary one."""
+    none a temporary one on a local master, and an error on a cluster, whose machines do not share it."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lodestone.scratch", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("lodestone.scratch", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
