@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
@@ -68,15 +69,21 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank_of[at], NONE)
 
-    def merge_rows(self, raw: list[bytes]) -> list[np.ndarray]:
-        """The ids of words of one byte length."""
+    def merge_rows(self, raw: list[bytes]) -> list[bytes]:
+        """The packed ids of words of one byte length."""
         n = len(raw[0])
         data = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), n)
         parts = self.inner[data]
         parts[:, -1] = self.last[data[:, -1]]
-        out: list[np.ndarray] = [parts[i] for i in range(len(raw))] if n == 1 else [None] * len(raw)
         if n == 1:
-            return out
+            return [row.tobytes() for row in parts.astype("<u4")]
+        out = [b""] * len(raw)
+
+        def finish(rows: np.ndarray) -> None:
+            packed = parts[rows].astype("<u4")
+            for k, row in enumerate(rows.tolist()):
+                out[index[row]] = packed[k, : size[row]].tobytes()
+
         ranks = self.ranks(parts[:, :-1], parts[:, 1:])
         index = np.arange(len(raw))
         size = np.full(len(raw), n)
@@ -86,8 +93,7 @@ class Vocabulary:
             best = ranks[rows, at]
             done = best == NONE
             if done.any():
-                for row in np.flatnonzero(done):
-                    out[index[row]] = parts[row, : size[row]].copy()
+                finish(np.flatnonzero(done))
                 live = ~done
                 index, size, at, best = index[live], size[live], at[live], best[live]
                 parts, ranks, rows = parts[live], ranks[live], np.arange(len(index))
@@ -111,16 +117,14 @@ class Vocabulary:
             if width > 1 and width > size.max() - 1:
                 ranks, parts = ranks[:, : size.max() - 1], parts[:, : size.max()]
             elif width == 1:
-                for row in range(len(index)):
-                    out[index[row]] = parts[row, : size[row]].copy()
+                finish(np.arange(len(index)))
                 break
             if ranks.shape[1] == 0:
-                for row in range(len(index)):
-                    out[index[row]] = parts[row, : size[row]].copy()
+                finish(np.arange(len(index)))
                 break
         return out
 
-    def merge_long(self, raw: bytes) -> np.ndarray:
+    def merge_long(self, raw: bytes) -> bytes:
         data = np.frombuffer(raw, dtype=np.uint8)
         parts = self.inner[data]
         parts[-1] = self.last[data[-1]]
@@ -144,14 +148,14 @@ class Vocabulary:
                     r = int(self.ranks(np.array([ids[x]]), np.array([ids[y]]))[0])
                     if r != NONE:
                         heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return np.array([i for i in ids if i >= 0], dtype=np.int64)
+        return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
 
-    def encode_words(self, words: list[str]) -> dict[str, np.ndarray]:
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
         by_size: dict[int, list[tuple[str, bytes]]] = {}
         for word in words:
             raw = word.encode()
             by_size.setdefault(len(raw), []).append((word, raw))
-        out: dict[str, np.ndarray] = {}
+        out: dict[str, bytes] = {}
         for size, group in by_size.items():
             if size > SHORT:
                 out.update((word, self.merge_long(raw)) for word, raw in group)
@@ -163,6 +167,8 @@ class Vocabulary:
 
     def normalise(self, chunk: str) -> str:
         # one letter at a time: no rule looks at the letters around it
+        if chunk.isascii():
+            return chunk.lower()
         return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
 
 
@@ -180,8 +186,7 @@ class Coder:
             self.shown.clear()
         new = [c for c in chunks if c not in self.memo]
         split = [self.v.words(self.v.normalise(c)) for c in new]
-        ids = self.v.encode_words(list({w for words in split for w in words}))
-        packed = {w: x.astype("<u4").tobytes() for w, x in ids.items()}
+        packed = self.v.encode_words(list({w for words in split for w in words}))
         for chunk, words in zip(new, split, strict=True):
             self.memo[chunk] = packed[words[0]] if len(words) == 1 else b"".join([packed[w] for w in words])
 
@@ -208,7 +213,8 @@ class Coder:
 
     def decode(self, packed: bytes) -> str:
         """The tokens of these ids with one space between: the file names no decoder."""
-        return " ".join([self.v.tokens[i] for i in np.frombuffer(packed, dtype="<u4").tolist()])
+        tokens = self.v.tokens
+        return " ".join([tokens[i] for i, in struct.iter_unpack("<I", packed)])
 
     def decode_chunks(self, chunks: list[bytes]) -> str:
         shown = self.shown
