@@ -80,8 +80,17 @@ class FingerprintIndex:
         old = self.table
         self._write(self.history().groupBy("bucket").applyInArrow(merged_runs, W.OUT_SQL), 0, True)
         self.runs, self.compactions = 1, self.compactions + 1
-        self.spark.sql(f"DROP TABLE {old}")
-        remove(self.spark, f"{self.path}/{old}")
+        self._drop(old)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, f"{self.path}/{name}")
+
+    def drop(self) -> None:
+        """All runs go; what ``add`` returned stands on its own."""
+        if self.table:
+            self._drop(self.table)
+        self.runs, self.table, self.texts = 0, None, []
 
 
 def verified(found: DataFrame, texts: DataFrame, unit: W.Unit, n: int) -> DataFrame:
@@ -136,10 +145,14 @@ def substring_dedup(
     spark = docs.sparkSession
     unit = W.Unit(window=window, gram=min(8, window), words=True, within=True)
     rows = keyed(docs, id_col, text_col)
-    index = index or FingerprintIndex(spark, n=buckets(docs), max_runs=max_runs, unit=unit)
+    passing = index is None
+    if passing:
+        index = FingerprintIndex(spark, n=buckets(docs), max_runs=max_runs, unit=unit)
     n, texts = index.n, reduce(DataFrame.unionByName, index.texts, rows)
     scratch = Scratch(spark, "substring-dedup")
     found = reduce(DataFrame.unionByName, [index.add(b, scratch, f"batch{i}") for i, b in enumerate(batches_of(rows, batches))])
+    if passing:
+        index.drop()
     spans = W.of_kind(found, W.SETTLED).unionByName(verified(found, texts, unit, n))
     out = W.together(rows, spans, n, W.apply(unit), W.APPLIED)
     return out.select("doc_id", F.col("size").alias("n_words"), F.col("removed").alias("n_removed"), "kept")

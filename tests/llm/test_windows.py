@@ -25,8 +25,11 @@ def got(df, *columns):
 @pytest.mark.parametrize("seed,batches,window", [(0, 1, 20), (1, 2, 20), (2, 3, 20), (0, 2, 300), (3, 3, 5)])
 def test_substring_dedup_equals_brute_force(spark, seed, batches, window):
     rows = brute.corpus(seed)
+    tables = {t.name for t in spark.catalog.listTables()}
     out = substring_dedup(frame(spark, rows), batches=batches, window=window, max_runs=1)
     assert got(out, "n_words", "n_removed") == brute.op1(rows, window)
+    # an index made for one call leaves no table behind
+    assert {t.name for t in spark.catalog.listTables()} == tables
 
 
 def test_index_compacts_and_remembers(spark):
