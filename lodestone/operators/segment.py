@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .geometry import grid
@@ -80,22 +80,36 @@ def smoothed(px: DataFrame, weight: float = 1.0, step: float = 48.0, rounds: int
 
 def weighted_palette(px: DataFrame, k: int, rounds: int) -> DataFrame:
     """Per image at most ``k`` levels by weighted Lloyd rounds over its histogram, from the levels
-    at even shares of the weight; (img_id, entry, level, count), by count."""
+    at even shares of the weight; (img_id, entry, level, count), by count. A histogram has as many
+    entries as there are levels, so an image's rounds are a fold over two small arrays."""
     counts = px.groupBy("img_id", "v").agg(F.count("*").alias("n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-        v, n = pdf["v"].to_numpy(float), pdf["n"].to_numpy(float)
-        share = np.cumsum(n) - n / 2
-        centres = np.unique(v[np.searchsorted(share, (np.arange(k) + 0.5) / k * n.sum()).clip(0, len(v) - 1)])
-        for _ in range(rounds):
-            near = np.abs(v[:, None] - centres[None, :]).argmin(axis=1)
-            weight = np.bincount(near, n, len(centres))
-            sums = np.bincount(near, n * v, len(centres))
-            centres = (sums / np.maximum(weight, 1))[weight > 0]
-        near = np.abs(v[:, None] - centres[None, :]).argmin(axis=1)
-        weight = np.bincount(near, n, len(centres))
-        order = np.lexsort((centres, -weight))
-        return pd.DataFrame({"img_id": int(pdf["img_id"].iloc[0]), "entry": np.arange(len(order)), "level": centres[order], "count": weight[order].astype("int64")})
-
-    return counts.groupBy("img_id").applyInPandas(run, "img_id long, entry long, level double, count long")
+    w = Window.partitionBy("img_id").orderBy("v")
+    shares = counts.withColumns({"share": F.sum("n").over(w) - F.col("n") / 2, "all": F.sum("n").over(Window.partitionBy("img_id"))})
+    entry = F.struct(F.col("v").cast("double").alias("v"), "n", (F.col("share") / F.col("all")).alias("share"))
+    h = shares.groupBy("img_id").agg(F.array_sort(F.collect_list(entry)).alias("h"))
+    hist = F.col("h")
+    places = F.array(*[F.lit((i + 0.5) / k) for i in range(k)])
+    first = F.transform(places, lambda p: F.coalesce(F.get(F.filter(hist, lambda x: x["share"] >= p), F.lit(0)), F.element_at(hist, -1))["v"])
+
+    def nearest(v: Column, centres: Column) -> Column:
+        away = F.transform(centres, lambda c: F.abs(v - c))
+        return F.array_position(away, F.array_min(away))
+
+    def groups(centres: Column) -> Column:
+        """(level, count) of each centre's entries; centres without any go."""
+        own = F.transform(hist, lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), nearest(x["v"], centres).alias("c")))
+        add = lambda rows, f: F.aggregate(rows, F.lit(0.0), lambda acc, x: acc + f(x))
+
+        def one(c: Column, i: Column) -> Column:
+            mine = F.filter(own, lambda x: x["c"] == i + 1)
+            n = add(mine, lambda x: x["n"])
+            return F.struct((add(mine, lambda x: x["n"] * x["v"]) / F.when(n > 0, n)).alias("level"), n.alias("n"), c.alias("was"))
+
+        return F.filter(F.transform(centres, one), lambda g: g["n"] > 0)
+
+    turns = F.sequence(F.lit(1), F.lit(rounds))
+    centres = F.aggregate(turns, F.array_distinct(first), lambda acc, _: F.transform(groups(acc), lambda g: g["level"]))
+    h = h.withColumn("centres", centres)
+    rows = h.select("img_id", F.explode(groups(F.col("centres"))).alias("g"))
+    place = F.row_number().over(Window.partitionBy("img_id").orderBy(F.col("g.n").desc(), "g.was")) - 1
+    return rows.select("img_id", place.cast("long").alias("entry"), F.col("g.was").alias("level"), F.col("g.n").cast("long").alias("count"))

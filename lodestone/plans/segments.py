@@ -151,6 +151,18 @@ def step_smoothing(spark, sf):
     return s.groupBy("img_id").agg(F.round(F.avg("u"), 6).alias("mean"), F.round(F.stddev_pop("u"), 6).alias("spread"))
 
 
-@query()
+def _palette_sql(k: int, rounds: int) -> str:
+    parts = [
+        f"WITH {PIXELS}, h AS (SELECT *, sum(n) OVER (PARTITION BY img_id ORDER BY v) - n / 2.0 AS share, sum(n) OVER (PARTITION BY img_id) AS a FROM (SELECT img_id, v, count(*) AS n FROM pixels GROUP BY 1, 2))",
+        f"""c0 AS (SELECT DISTINCT img_id, CAST(c AS DOUBLE) AS c FROM (SELECT i.img_id, p, coalesce(min(h.v), max(i.top)) AS c FROM (SELECT img_id, max(v) AS top, max(a) AS a FROM h GROUP BY 1) i CROSS JOIN (SELECT (unnest(range(0, {k})) + 0.5) / {k} AS p) q
+ LEFT JOIN h ON h.img_id = i.img_id AND h.share / h.a >= p GROUP BY 1, 2))""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS (SELECT * FROM (SELECT h.img_id, h.v, h.n, c, row_number() OVER (PARTITION BY h.img_id, h.v ORDER BY abs(h.v - c), c) AS r FROM h JOIN c{i} USING (img_id)) WHERE r = 1)")
+        parts.append(f"c{i + 1} AS (SELECT img_id, CAST(sum(n * v) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS c FROM a{i} GROUP BY img_id, a{i}.c)")
+    return ", ".join(parts) + f" SELECT img_id, row_number() OVER (PARTITION BY img_id ORDER BY sum(n) DESC, c) - 1 AS entry, c AS level, CAST(sum(n) AS BIGINT) AS count FROM a{rounds} GROUP BY img_id, c"
+
+
+@query(_palette_sql(4, 6))
 def quantize_palette(spark, sf):
     return E.weighted_palette(pixels(spark, sf), 4, 6)
