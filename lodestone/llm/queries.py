@@ -101,6 +101,20 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"), scale=4096, rounds=6)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where vec_id is divisible by 7 the label is moved on by one."""
+    from .hard_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), every=50, scale=256)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality": op2_quality,
@@ -112,6 +126,8 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_hard_negatives": op12_hard_negatives,
     "page_sequences": page_sequences,
 }
 
@@ -136,4 +152,70 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op5_line_dedup": OP5_SQL}
+
+
+def op11_sql(rounds: int = 6) -> str:
+    """Rounds one after the other; integers throughout, floors by remainder."""
+    steps = ["""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+comp AS MATERIALIZED (
+  SELECT r, vec_id, i // (n // 8) AS p, i % (n // 8) AS i, CAST(floor(4096 * CAST(v AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT r, vec_id, len(embedding) AS n, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM kept)
+),
+book0 AS MATERIALIZED (
+  SELECT p, j, i, x AS e FROM comp
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM kept ORDER BY vec_id LIMIT 16) USING (vec_id)
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT r, p, min(d * 16 + j) % 16 AS j, min(d) AS d FROM (
+    SELECT r, c.p, j, CAST(sum((x - e) * (x - e)) AS BIGINT) AS d
+    FROM comp c JOIN book{k} b ON c.p = b.p AND c.i = b.i GROUP BY r, c.p, j) GROUP BY r, p
+)""")
+        if k < rounds:
+            steps.append(f"""
+mean{k} AS (
+  SELECT p, j, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM comp JOIN near{k} USING (r, p) GROUP BY p, j, i
+),
+book{k + 1} AS MATERIALIZED (
+  SELECT p, j, i, CASE WHEN n IS NULL THEN e ELSE (s - ((s % n) + n) % n) // n END AS e
+  FROM book{k} LEFT JOIN mean{k} USING (p, j, i)
+)""")
+    return "WITH " + ",".join(steps) + f""",
+coded AS (
+  SELECT r, string_agg(lpad(to_hex(j), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY r
+)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(e AS VARCHAR), ',' ORDER BY p, j, i)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (r)
+"""
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+pair AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0
+),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pair WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN pair USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op11_vector_codes": op11_sql(), "op12_hard_negatives": OP12_SQL}
