@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tiles import regions
+
 
 def row():
     """Windows are made on use: they need a session."""
@@ -157,25 +159,6 @@ def ssim(a: DataFrame, b: DataFrame, radius: int) -> DataFrame:
     return both.where(F.col("n") == (2 * radius + 1) ** 2).groupBy("img_id").agg(F.avg(s).alias("ssim"))
 
 
-def components(px: DataFrame, eight: bool, checkpoint, most_rounds: int = 200) -> DataFrame:
-    """Connected regions of equal label: each pixel gets the least pixel number of its region.
-
-    A round gives each run of one label along a row, a column and, for ``eight``, both diagonals the
-    least number in it, so rounds follow the turns of a region, not its length; they go on until
-    nothing changes. ``checkpoint`` cuts the lineage of a round."""
-    lines = ["y", "x"] + (["x - y", "x + y"] if eight else [])
-    now = px.withColumn("comp", (F.col("y") * 65_536 + F.col("x")).cast("long"))
-    total = None
-    for _ in range(most_rounds):
-        step = now
-        for line in lines:
-            w = Window.partitionBy("img_id", F.expr(line)).orderBy("y" if line == "x" else "x")
-            new = F.coalesce((F.lag("label").over(w) != F.col("label")).cast("int"), F.lit(0))
-            step = step.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w))
-            step = step.withColumn("comp", F.min("comp").over(Window.partitionBy("img_id", F.expr(line), "__run"))).drop("__new", "__run")
-        now = checkpoint(step)
-        now_total = now.agg(F.sum("comp")).first()[0]
-        if now_total == total:
-            return now
-        total = now_total
-    raise RuntimeError("components did not settle")
+def components(px: DataFrame, eight: bool, checkpoint) -> DataFrame:
+    """Connected regions of equal label: each pixel gets the least pixel number of its region."""
+    return regions(px, eight, checkpoint)

@@ -64,16 +64,16 @@ def linked_ids(pairs: DataFrame, nodes: DataFrame, checkpoint, most_rounds: int
     both = pairs.select("id", "oid").unionByName(pairs.select(F.col("oid").alias("id"), F.col("id").alias("oid"))).distinct()
     both = checkpoint(both)
     now = checkpoint(nodes.select("id", F.col("id").alias("cluster")))
-    total = None
+    mark = None
     for _ in range(most_rounds):
         heard = both.join(now.withColumnRenamed("id", "oid"), "oid").groupBy("id").agg(F.min("cluster").alias("heard"))
         step = now.join(heard, "id", "left").select("id", F.least("cluster", F.coalesce("heard", "cluster")).alias("cluster"))
         jump = step.select(F.col("id").alias("cluster"), F.col("cluster").alias("root"))
         now = checkpoint(step.join(jump, "cluster").select("id", F.least("root", "cluster").alias("cluster")))
-        new_total = now.agg(F.sum("cluster")).first()[0]
-        if new_total == total:
+        new_mark = now.agg(F.bit_xor(F.xxhash64("id", "cluster"))).first()[0]
+        if new_mark == mark:
             return now
-        total = new_total
+        mark = new_mark
     raise RuntimeError("clusters did not settle")
 
 

@@ -106,3 +106,24 @@ def labels(spark: SparkSession, sf_dir: str, levels: int = 4) -> DataFrame:
 
 
 LABELS = PIXELS + ", labels_px AS (SELECT *, CAST(CASE WHEN v < 26 THEN -1 ELSE floor(v * 4 / 256.0) END AS INTEGER) AS label FROM pixels)"
+
+
+def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters of 64 by 64 pixels: an image is a sheet of 64 embeddings in eight rows, each 8 by 8
+    pixels; the last sheet has holes."""
+    at = F.col("img_id") % 64
+    return pixels(spark, sf_dir).select(
+        F.floor(F.col("img_id") / 64).alias("img_id"), (at % 8 * 8 + F.col("x")).cast("int").alias("x"), (F.floor(at / 8) * 8 + F.col("y")).cast("int").alias("y"), "v"
+    )
+
+
+MOSAICS = PIXELS + """, mosaic AS (SELECT img_id // 64 AS img_id, CAST(img_id % 64 % 8 * 8 + x AS INTEGER) AS x, CAST(img_id % 64 // 8 * 8 + y AS INTEGER) AS y, v FROM pixels)"""
+
+
+def sheet_labels(spark: SparkSession, sf_dir: str, levels: int = 4) -> DataFrame:
+    """Label maps of the sheets in equal steps of level; the darkest tenth is transparent (-1)."""
+    label = F.when(F.col("v") < 26, -1).otherwise(F.floor(F.col("v") * levels / 256)).cast("int")
+    return mosaics(spark, sf_dir).withColumn("label", label)
+
+
+SHEETS = MOSAICS + ", sheet AS (SELECT *, CAST(CASE WHEN v < 26 THEN -1 ELSE floor(v * 4 / 256.0) END AS INTEGER) AS label FROM mosaic)"
