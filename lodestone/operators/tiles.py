@@ -153,11 +153,12 @@ def grown(holes: DataFrame) -> DataFrame:
     ``holes``: (img_id, comp, x, y, v, rim), the pixels of the regions to fill, where ``rim`` lists
     (label, tone) of the labels beside a pixel. A pixel's cost for a label is the squared difference
     of v from its tone. Pixels are claimed from the rim inward, the least (cost, pixel, label) of all
-    that wait first. A region is one group: it is small, or it would not be filled."""
+    that wait first. Regions are small, or they would not be filled; those that begin in one tile are
+    one group."""
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = {(x, y): t for x, y, t in zip(pdf["x"], pdf["y"], pdf["v"], strict=True)}
-        heap = [((v[x, y] - r["tone"]) ** 2, y, x, r["label"], r["tone"]) for x, y, rim in zip(pdf["x"], pdf["y"], pdf["rim"], strict=True) for r in rim]
+        v = {(x, y): (t, c) for x, y, t, c in zip(pdf["x"], pdf["y"], pdf["v"], pdf["comp"], strict=True)}
+        heap = [((v[x, y][0] - r["tone"]) ** 2, y, x, r["label"], r["tone"]) for x, y, rim in zip(pdf["x"], pdf["y"], pdf["rim"], strict=True) for r in rim]
         heapq.heapify(heap)
         out: dict[tuple[int, int], int] = {}
         while heap:
@@ -165,12 +166,13 @@ def grown(holes: DataFrame) -> DataFrame:
             if (x, y) not in out:
                 out[x, y] = label
                 for p in ((x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1)):
-                    if p in v and p not in out:
-                        heapq.heappush(heap, ((v[p] - tone) ** 2, p[1], p[0], label, tone))
-        rows = [(pdf["img_id"].iloc[0], pdf["comp"].iloc[0], x, y, label) for (x, y), label in out.items()]
+                    if p in v and p not in out and v[p][1] == v[x, y][1]:
+                        heapq.heappush(heap, ((v[p][0] - tone) ** 2, p[1], p[0], label, tone))
+        rows = [(pdf["img_id"].iloc[0], v[p][1], *p, label) for p, label in out.items()]
         return pd.DataFrame(rows, columns=["img_id", "comp", "x", "y", "label"])
 
-    return holes.groupBy("img_id", "comp").applyInPandas(fill, "img_id long, comp long, x int, y int, label int")
+    tile = [F.floor(F.col("comp") % 65_536 / TILE).alias("tx"), F.floor(F.col("comp") / 65_536 / TILE).alias("ty")]
+    return holes.groupBy("img_id", *tile).applyInPandas(fill, "img_id long, comp long, x int, y int, label int")
 
 
 def snapped(marks: DataFrame, smooth: DataFrame, reach: int) -> DataFrame:
