@@ -12,7 +12,6 @@ import heapq
 import json
 import re
 import struct
-import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -21,12 +20,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 NONE = np.int32(2**31 - 1)
 #: Words longer than this many bytes are merged through a heap: scanning them again and again would
 #: take the square of their length.
 SHORT = 48
 MEMO = 200_000
+MEMO_BYTES = 64 << 20
+#: Below this character normal form C changes nothing, and classes of letters and numbers are the same
+#: in all versions of Unicode. Chunks with others are normalised and split by the library's tables.
+SETTLED = "\u0250"
 #: Fixed value: the white space of the vocabulary file's normaliser.
 SPACE = "\t-\r\x20\x85\xa0  -     　"
 CHUNK = re.compile(f"[^{SPACE}]+")
@@ -55,7 +59,9 @@ class Vocabulary:
         self.inner = np.array([self.ids[c] for c in letters], dtype=np.int64)
         self.last = np.array([self.ids[c + end] for c in letters], dtype=np.int64)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", SPACE)
-        self.words = regex.compile(pattern).findall
+        self.plain_words = regex.compile(pattern).findall
+        self.split = pre_tokenizers.Split(Regex(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.specials = re.compile("|".join(f"({re.escape(t)})" for t in self.special)) if self.special else None
         self.base = np.int64(max(self.tokens) + 1)
         pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
@@ -63,6 +69,7 @@ class Vocabulary:
         made = np.array([self.ids[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank_of, self.made = keys[order], order.astype(np.int32), made
+        self.pairs: dict[int, int] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.base + right
@@ -125,29 +132,35 @@ class Vocabulary:
         return out
 
     def merge_long(self, raw: bytes) -> bytes:
+        """A word of any length: pairs wait in a heap by rank and place."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), self.rank_of.tolist(), strict=True))
         data = np.frombuffer(raw, dtype=np.uint8)
         parts = self.inner[data]
         parts[-1] = self.last[data[-1]]
-        n = len(parts)
+        n, base, made, pairs = len(parts), int(self.base), self.made, self.pairs
         ids = parts.tolist()
         follows, leads = [*range(1, n), -1], [-1, *range(n - 1)]
         first = self.ranks(parts[:-1], parts[1:])
-        heap = [(int(first[i]), i, ids[i], ids[i + 1]) for i in np.flatnonzero(first != NONE)]
+        heap = [(int(first[i]), i, ids[i], ids[i + 1]) for i in np.flatnonzero(first != NONE).tolist()]
         heapq.heapify(heap)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
             j = follows[i] if ids[i] == a else -1
             if j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = int(self.made[rank]), -1
-            follows[i] = follows[j]
-            if follows[j] >= 0:
-                leads[follows[j]] = i
-            for x, y in ((leads[i], i), (i, follows[i])):
-                if x >= 0 and y >= 0:
-                    r = int(self.ranks(np.array([ids[x]]), np.array([ids[y]]))[0])
-                    if r != NONE:
-                        heapq.heappush(heap, (r, x, ids[x], ids[y]))
+            ids[i], ids[j] = int(made[rank]), -1
+            on = follows[i] = follows[j]
+            if on >= 0:
+                leads[on] = i
+                r = pairs.get(ids[i] * base + ids[on])
+                if r is not None:
+                    heapq.heappush(heap, (r, i, ids[i], ids[on]))
+            x = leads[i]
+            if x >= 0:
+                r = pairs.get(ids[x] * base + ids[i])
+                if r is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[i]))
         return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
@@ -165,11 +178,11 @@ class Vocabulary:
                     out.update(zip([w for w, _ in part], self.merge_rows([r for _, r in part]), strict=True))
         return out
 
-    def normalise(self, chunk: str) -> str:
-        # one letter at a time: no rule looks at the letters around it
-        if chunk.isascii():
-            return chunk.lower()
-        return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+    def words(self, chunk: str) -> list[str]:
+        """The words of a chunk in its normal form, lower-cased."""
+        if chunk.isascii() or max(chunk) < SETTLED:
+            return self.plain_words(chunk.lower())
+        return [word for word, _ in self.split.pre_tokenize_str(self.normal.normalize_str(chunk))]
 
 
 class Coder:
@@ -179,13 +192,17 @@ class Coder:
         self.v = Vocabulary(path)
         self.memo: dict[str, bytes] = {}
         self.shown: dict[bytes, str] = {}
+        self.held = 0
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.memo) + len(chunks) > MEMO:
+        size = sum(map(len, chunks))
+        if len(self.memo) + len(chunks) > MEMO or self.held + size > MEMO_BYTES:
             self.memo.clear()
             self.shown.clear()
+            self.held = 0
         new = [c for c in chunks if c not in self.memo]
-        split = [self.v.words(self.v.normalise(c)) for c in new]
+        self.held += sum(map(len, new))
+        split = [self.v.words(c) for c in new]
         packed = self.v.encode_words(list({w for words in split for w in words}))
         for chunk, words in zip(new, split, strict=True):
             self.memo[chunk] = packed[words[0]] if len(words) == 1 else b"".join([packed[w] for w in words])
