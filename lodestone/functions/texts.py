@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters that file names must not have, besides control characters.
+UNSAFE = '<>:"/\\|?*'
+
+
 def affix(c: Column) -> Column:
     """A part of a file name: characters that names must not have go, blanks become hyphens."""
-    safe = F.regexp_replace(c, "[<>:\"/\\\\|?*\\x00-\\x1f]", "")
-    return F.regexp_replace(safe, r"\s+", "-")
+    controls = "".join(map(chr, range(32)))
+    return F.array_join(F.split(F.translate(c, UNSAFE + controls, ""), r"\s+"), "-")
 
 
 def kind(file: Column, width: Column, height: Column) -> Column:
@@ -17,52 +21,59 @@ def kind(file: Column, width: Column, height: Column) -> Column:
     return F.when(file.endswith("-icon.svg"), "symbol").when(wide, "wordmark").otherwise("symbol")
 
 
-def _affine(*v) -> Column:
-    return F.struct(*[(x if isinstance(x, Column) else F.lit(float(x))).cast("double").alias(n) for n, x in zip("abcdef", v, strict=True)])
+#: A transform is an array of six: the images of the x axis, the y axis and the origin.
+SAME = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
-def composed(outer: Column, inner: Column) -> Column:
-    """The transform that applies ``inner`` first."""
-    o, i = ({n: m[n] for n in "abcdef"} for m in (outer, inner))
-    return _affine(
-        o["a"] * i["a"] + o["c"] * i["b"],
-        o["b"] * i["a"] + o["d"] * i["b"],
-        o["a"] * i["c"] + o["c"] * i["d"],
-        o["b"] * i["c"] + o["d"] * i["d"],
-        o["a"] * i["e"] + o["c"] * i["f"] + o["e"],
-        o["b"] * i["e"] + o["d"] * i["f"] + o["f"],
-    )
+def _six(*values: Column | float) -> Column:
+    return F.array(*[(v if isinstance(v, Column) else F.lit(float(v))).cast("double") for v in values])
 
 
 def applied(m: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    return m["a"] * x + m["c"] * y + m["e"], m["b"] * x + m["d"] * y + m["f"]
+    at = lambda k: F.get(m, F.lit(k))
+    return at(0) * x + at(2) * y + at(4), at(1) * x + at(3) * y + at(5)
+
+
+def composed(outer: Column, inner: Column) -> Column:
+    """The transform that applies ``inner`` first: the outer one moves the inner one's images."""
+    at = lambda m, k: F.get(m, F.lit(k))
+    moved = [[at(outer, row) * at(inner, k) + at(outer, row + 2) * at(inner, k + 1) for row in (0, 1)] for k in (0, 2, 4)]
+    return F.array(*moved[0], *moved[1], moved[2][0] + at(outer, 4), moved[2][1] + at(outer, 5))
+
+
+#: By name: how many numbers the SVG grammar allows, and the transforms that these stand for in turn.
+KINDS = {
+    "matrix": ((6,), lambda n: [_six(*n)]),
+    "translate": ((1, 2), lambda n: [_six(1, 0, 0, 1, n[0], F.coalesce(n[1], F.lit(0.0)))]),
+    "scale": ((1, 2), lambda n: [_six(n[0], 0, 0, F.coalesce(n[1], n[0]), 0, 0)]),
+    "rotate": ((1, 3), lambda n: _turned_about(F.radians(n[0]), F.coalesce(n[1], F.lit(0.0)), F.coalesce(n[2], F.lit(0.0)))),
+    "skewx": ((1,), lambda n: [_six(1, 0, F.tan(F.radians(n[0])), 1, 0, 0)]),
+    "skewy": ((1,), lambda n: [_six(1, F.tan(F.radians(n[0])), 0, 1, 0, 0)]),
+}
+NUMBER = r"[+-]?(?:[0-9]*[.][0-9]+|[0-9]+[.]?)(?:[eE][+-]?[0-9]+)?"
+
+
+def _turned_about(angle: Column, x: Column, y: Column) -> list[Column]:
+    """To the centre, round, and back."""
+    return [_six(1, 0, 0, 1, x, y), _six(F.cos(angle), F.sin(angle), -F.sin(angle), F.cos(angle), 0, 0), _six(1, 0, 0, 1, -x, -y)]
 
 
 def transform(text: Column) -> Column:
-    """A list of transforms as one struct (a, b, c, d, e, f); the identity for what cannot be read."""
-    call = r"(?i)(matrix|translate|scale|rotate|skewx|skewy)\s*\(([^)]*)\)"
-
-    def one(item: Column) -> Column:
-        name, body = F.lower(F.regexp_extract(item, call, 1)), F.regexp_extract(item, call, 2)
-        v = F.transform(F.filter(F.split(body, r"[\s,]+"), lambda x: x != ""), lambda x: x.try_cast("double"))
-        n = F.when(F.exists(v, lambda x: x.isNull()), 0).otherwise(F.size(v))
-        at = lambda i, other=0.0: F.coalesce(F.get(v, F.lit(i)), F.lit(other))
-        angle = F.radians(at(0))
-        cos, sin, cx, cy = F.cos(angle), F.sin(angle), at(1), at(2)
-        about = n >= 3
-        turned = _affine(cos, sin, -sin, cos, F.when(about, cx - cos * cx + sin * cy).otherwise(0.0), F.when(about, cy - sin * cx - cos * cy).otherwise(0.0))
-        return (
-            F.when((name == "matrix") & (n == 6), _affine(*[at(i) for i in range(6)]))
-            .when((name == "translate") & (n >= 1), _affine(1, 0, 0, 1, at(0), at(1)))
-            .when((name == "scale") & (n >= 1), _affine(at(0), 0, 0, F.when(n > 1, at(1)).otherwise(at(0)), 0, 0))
-            .when((name == "rotate") & (n >= 1), turned)
-            .when((name == "skewx") & (n >= 1), _affine(1, 0, F.tan(angle), 1, 0, 0))
-            .when((name == "skewy") & (n >= 1), _affine(1, F.tan(angle), 0, 1, 0, 0))
-            .otherwise(_affine(1, 0, 0, 1, 0, 0))
-        )
-
-    items = F.transform(F.regexp_extract_all(text, F.lit(call), F.lit(0)), one)
-    return F.aggregate(items, _affine(1, 0, 0, 1, 0, 0), composed)
+    """A list of transforms as one array (a, b, c, d, e, f). A function that the grammar does not know,
+    or with a number of arguments that it does not allow, changes nothing."""
+    call = rf"([A-Za-z]+)\s*\(\s*((?:{NUMBER}(?:\s*,?\s*))*)\)"
+
+    def steps(item: Column) -> Column:
+        name = F.lower(F.regexp_extract(item, call, 1))
+        found = F.transform(F.regexp_extract_all(F.regexp_extract(item, call, 2), F.lit(NUMBER), F.lit(0)), lambda x: x.cast("double"))
+        numbers = [F.get(found, F.lit(k)) for k in range(6)]
+        out = F.lit(None).cast("array<array<double>>")
+        for kind, (counts, parts) in KINDS.items():
+            out = F.when((name == kind) & F.size(found).isin(*counts), F.array(*parts(numbers))).otherwise(out)
+        return F.coalesce(out, F.array(_six(*SAME)))
+
+    items = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(call), F.lit(0)), steps))
+    return F.aggregate(items, _six(*SAME), composed)
 
 
 def rounded(text: Column, places: int) -> Column:
@@ -77,8 +88,9 @@ def rounded(text: Column, places: int) -> Column:
 
 
 def rules(sheets: DataFrame, css: str) -> DataFrame:
-    """(other columns, ord, selector, specificity, name, value, important) of flat style sheets:
-    comments and statements without a block go, and declarations without a name or a value."""
+    """(other columns, ord, selector, weight, name, value, important) of flat style sheets: comments
+    and statements without a block go, and declarations without a name or a value. ``weight`` has the
+    selector's counts of ids, classes and element names, which compare in this order."""
     plain = F.regexp_replace(F.regexp_replace(css, r"/\*[\s\S]*?\*/", ""), r"@[^{};]*;", "")
     blocks = F.regexp_extract_all(plain, F.lit(r"([^{}]+)\{([^{}]*)\}"), F.lit(0))
     keep = [c for c in sheets.columns if c != css]
@@ -89,8 +101,8 @@ def rules(sheets: DataFrame, css: str) -> DataFrame:
     value = F.trim(F.regexp_extract("d", r"(?s)^[^:]*:(.*)$", 1))
     d = d.select(*keep, "ord", "selector", F.lower(F.trim(F.regexp_extract("d", r"(?s)^([^:]*):", 1))).alias("name"), F.regexp_replace(value, r"(?i)\s*!\s*important$", "").alias("value"), value.rlike(r"(?i)!\s*important$").alias("important"))
     count = lambda pattern: F.size(F.regexp_extract_all("selector", F.lit(pattern), F.lit(0)))
-    weight = count("#[A-Za-z]") * 10_000 + count(r"\.[A-Za-z]") * 100 + F.col("selector").rlike("^[A-Za-z]").cast("int")
-    return d.where("name <> '' and value <> ''").withColumn("specificity", weight)
+    weight = F.struct(count("#[A-Za-z_]").alias("ids"), count(r"\.[A-Za-z_]").alias("classes"), count(r"(?:^|[ >+~])[A-Za-z]").alias("elements"))
+    return d.where("name <> '' and value <> ''").withColumn("weight", weight)
 
 
 def arguments(text: Column) -> Column:
@@ -107,17 +119,21 @@ def arguments(text: Column) -> Column:
 LOCAL = r"^(?:/(?:home|Users|root|tmp)/|[A-Za-z]:\\|file://)"
 
 
-def paths_in(rows: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, at) of local paths in JSON text, objects, lists and texts of any nesting walked level by level
-    as far as a variant goes down."""
+def paths_in(rows: DataFrame, key: str, json: str, checkpoint, most_rounds: int = 1000) -> DataFrame:
+    """(key, at) of local paths in JSON text. Objects, lists and texts are walked level by level until
+    nothing nested is left, however deep; ``checkpoint`` writes each level, so none is read twice."""
     level = rows.select(key, F.lit("$").alias("at"), F.parse_json(json).alias("v"))
     found = None
-    for _ in range(8):
+    for _ in range(most_rounds):
         kind = F.schema_of_variant("v")
-        text = level.where(kind == "STRING").select(key, "at", F.variant_get("v", "$", "string").alias("s")).where(F.col("s").rlike(LOCAL)).select(key, "at")
-        found = text if found is None else found.unionByName(text)
-        nested = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        level = nested.lateralJoin(nested.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
-            key, F.when(F.col("key").isNotNull(), F.concat("at", F.lit("."), F.col("key"))).otherwise(F.concat("at", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).alias("at"), F.col("value").alias("v")
-        )
-    return found
+        text = F.when(kind == "STRING", F.variant_get("v", "$", "string"))
+        nested = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json("v"))
+        level = checkpoint(level.select(key, "at", text.alias("s"), nested.alias("nested")).where("s is not null or nested is not null"))
+        here = level.where(F.col("s").rlike(LOCAL)).select(key, "at")
+        found = here if found is None else found.unionByName(here)
+        inner = level.where("nested is not null").select(key, "at", F.parse_json("nested").alias("v"))
+        if inner.isEmpty():
+            return found
+        named = F.when(F.col("key").isNotNull(), F.concat("at", F.lit("."), F.col("key"))).otherwise(F.concat("at", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        level = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("v").outer())).select(key, named.alias("at"), F.col("value").alias("v"))
+    raise RuntimeError(f"values are nested deeper than {most_rounds} levels")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..functions import texts as N
 from ..sources.roles import CELLS, cells, table
+from ..sources.scratch import written
 from .registry import query
 
 FNV = """format('{{:08x}}', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295))"""
@@ -101,7 +102,9 @@ def stylesheet_rules(spark, sf):
     """Declarations of each style sheet by selector, with order, weight and importance."""
     s = F.col("p_size").cast("string")
     css = F.concat(F.lit("@charset 'x'; /* a{b:c} */ p"), s, F.lit(" , .c"), s, F.lit("#i { FILL : #0"), s, F.lit(" ; stroke:red !important ; broken }\n a.b{margin:0}"))
-    return N.rules(table(spark, sf, "part").select(F.col("p_partkey").alias("k"), css.alias("css")), "css")
+    r = N.rules(table(spark, sf, "part").select(F.col("p_partkey").alias("k"), css.alias("css")), "css")
+    weight = F.expr("10000 * weight.ids + 100 * weight.classes + weight.elements")
+    return r.select("k", "ord", "selector", weight.alias("specificity"), "name", "value", "important")
 
 
 @query("""SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN p_size END AS n, p_size % 2 = 0 AS flag, p_name AS name, CASE WHEN p_size % 3 = 0 THEN 'a=b' END AS rest FROM part""")
@@ -133,4 +136,4 @@ def local_paths(spark, sf):
     meta = F.struct(F.when(k % 3 == 0, home).otherwise(web).alias("path"))
     files = F.array(web, F.when(k % 3 == 1, home).otherwise(web))
     rows = table(spark, sf, "events").select("event_id", F.to_json(F.struct(meta.alias("meta"), files.alias("files"))).alias("props"))
-    return N.paths_in(rows, "event_id", "props")
+    return N.paths_in(rows, "event_id", "props", lambda df: written(df, "local-paths"))

@@ -114,10 +114,8 @@ def norm_paints(spark, sf):
 
 STOPS = [(0.0, 10.0), (0.4, 200.0), (1.0, 90.0)]
 PLACES = f"""{LABELS}, t AS (SELECT img_id, x, y, v, label, least(1.0, greatest(0.0, ((x - 1) * 5 + (y - 2) * 4) / 41.0)) AS lt,
- 1 - 25.0 + 0.25 AS qa, -2 * ((x - 2.5) * 1.0 + (y - 3.0) * 0.5) AS qb, pow(x - 2.5, 2) + pow(y - 3.0, 2) AS qc FROM labels_px),
-r AS (SELECT *, CASE WHEN qb * qb - 4 * qa * qc < 0 THEN 1.0 ELSE least(1.0, greatest(0.0, (SELECT CASE WHEN hi >= 0 THEN hi WHEN lo >= 0 THEN lo ELSE 1.0 END FROM (SELECT
- greatest((-qb + sqrt(greatest(0, qb * qb - 4 * qa * qc))) / (2 * qa), (-qb - sqrt(greatest(0, qb * qb - 4 * qa * qc))) / (2 * qa)) AS hi,
- least((-qb + sqrt(greatest(0, qb * qb - 4 * qa * qc))) / (2 * qa), (-qb - sqrt(greatest(0, qb * qb - 4 * qa * qc))) / (2 * qa)) AS lo)))) END AS rt FROM t),
+ (x - 2.5) * 1.0 + (y - 3.0) * 0.5 AS along, pow(x - 2.5, 2) + pow(y - 3.0, 2) AS far FROM labels_px),
+r AS (SELECT *, CASE WHEN far = 0 THEN 0.0 ELSE least(1.0, far / (along + sqrt(along * along + 23.75 * far))) END AS rt FROM t),
 g AS (SELECT *, {', '.join(f"CASE WHEN {n} <= 0.4 THEN 10 + {n} / 0.4 * 190 ELSE 200 - ({n} - 0.4) / 0.6 * 110 END AS {m}" for n, m in (('lt', 'lv'), ('rt', 'rv')))} FROM r)"""
 
 
