@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import boards, cleanups, edits, floods, graphs, keys, mattes, networks, outlines, paints, rasters, scoring, segments, stops, tables  # noqa: F401
+from .plans import boards, cleanups, edits, floods, graphs, keys, mattes, networks, outlines, paints, rasters, scoring, segments, stops, strokes, tables  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
