@@ -9,15 +9,14 @@ import pytest
 
 from lodestone.queries import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def duck():
+def duck(folder):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return con
 
 
@@ -31,14 +30,18 @@ def plain(v):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, duck, name):
-    df = QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
+def test_query(spark, name):
+    # a query that finds nothing in the smallest tables is held against larger ones
+    for folder in (SF, MORE):
+        df = QUERIES[name](spark, folder)
+        columns = sorted(df.columns)
+        rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
+        if rows:
+            break
+    assert rows
     if name not in ORACLE_SQL:
-        assert rows
         return
-    found = duck.execute(ORACLE_SQL[name])
+    found = duck(folder).execute(ORACLE_SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     expected = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
