@@ -14,6 +14,26 @@ def closed_edges(points: DataFrame, key: list[str]) -> DataFrame:
     return points.withColumn("to", to).select(*key, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("to.x").alias("x1"), F.col("to.y").alias("y1"))
 
 
+def flattened(segments: DataFrame, key: list[str], pieces: int = 8) -> DataFrame:
+    """(key, x0, y0, x1, y1): edges of filled rings from cubic segments (key, ring, seg, kind, x0 .. y3).
+    A curve becomes so many straight pieces, a straight segment stays one; a ring that is left open is
+    closed from its end to its start."""
+    n = F.when(F.col("kind").isin("L", "Z"), 1).otherwise(pieces)
+    t = lambda k: k / n
+
+    def on(axis: str, k: Column) -> Column:
+        a, b, c, d = (F.col(f"{axis}{i}") for i in range(4))
+        u = 1 - t(k)
+        curve = u * u * u * a + 3 * u * u * t(k) * b + 3 * u * t(k) * t(k) * c + t(k) * t(k) * t(k) * d
+        return F.when(k == 0, a).when(k == n, d).otherwise(curve)
+
+    step = lambda k: F.struct(*[on(axis, k + side).alias(f"{axis}{side}") for side in (0, 1) for axis in "xy"])
+    edges = segments.select(*key, F.explode(F.transform(F.sequence(F.lit(0), n - 1), step)).alias("e")).select(*key, "e.*")
+    end = lambda f, i: f(F.struct("seg", F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")))
+    ring = segments.groupBy(*key, "ring").agg(end(F.max, 3).alias("a"), end(F.min, 0).alias("b"))
+    return edges.unionByName(ring.select(*key, F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1")))
+
+
 def coverage(edges: DataFrame, key: list[str], width: int, height: int, even_odd: bool = False, rows: int = 4) -> DataFrame:
     """(key, x, y, coverage): the share of each pixel inside the outlines of a key, nonzero or even-odd.
 

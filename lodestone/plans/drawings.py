@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import colours as C
+from ..operators import geometry as G
+from ..operators import scan as R
 from ..sources import drawings as D
-from ..sources.roles import table
+from ..sources.roles import labels, sheet_labels, table
+from ..sources.scratch import written
 from .registry import query
 
 
@@ -42,3 +45,32 @@ def drawn_items(spark, sf):
         "doc", "item", "tag", C.paint(F.col("fill")).alias("fill"), C.paint(F.col("stroke")).alias("stroke"), "width", "even_odd", F.col("fill_opacity").alias("opacity"),
         rings.alias("rings"), F.size("segments").alias("segments"), some(F.round(ends(6), 6)).alias("sum_x"), some(F.round(ends(7), 6)).alias("sum_y"),
     )
+
+
+def _rendered(traced, truth, size: int):
+    """Outlines (img_id, label, d) as markup, read again, filled and held against the pixels that they
+    were traced from."""
+    svg = F.concat(F.lit('<svg><path fill-rule="evenodd" d="'), "d", F.lit('"/></svg>'))
+    items = D.drawn_items(traced.select(F.struct("img_id", "label").alias("k"), svg.alias("svg")), "k", "svg")
+    s = D.segment_rows(items, "k").select("k.*", "ring", "seg", "kind", *[f"{n}{i}" for i in range(4) for n in "xy"])
+    cover = R.coverage(R.flattened(s, ["img_id", "label"]), ["img_id", "label"], size, size, even_odd=True)
+    own = truth.select("img_id", "label", "x", "y", F.lit(1.0).alias("there"))
+    both = own.join(cover, ["img_id", "label", "x", "y"], "full").select("img_id", "label", F.coalesce("there", F.lit(0.0)).alias("t"), F.coalesce("coverage", F.lit(0.0)).alias("c"))
+    total = lambda c: F.round(F.sum(c), 6)
+    both = both.groupBy("img_id", "label").agg(total("t").alias("area"), total(F.least("t", "c")).alias("shared"), total(F.greatest("t", "c")).alias("either"))
+    return both.withColumn("overlap", F.round(F.col("shared") / F.col("either"), 6))
+
+
+@query()
+def traced_overlap(spark, sf):
+    """Each label's simplified outlines rendered again: how much of the label they cover, and what they
+    share of all that either covers."""
+    px = labels(spark, sf).where("label >= 0")
+    return _rendered(written(G.traced(px), "traced"), px, 8)
+
+
+@query()
+def traced_sheets(spark, sf):
+    """The same for whole sheets of 64 by 64 pixels."""
+    px = sheet_labels(spark, sf).where("label >= 0")
+    return _rendered(written(G.traced(px), "traced-sheets"), px, 64)

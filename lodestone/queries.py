@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import boards, cleanups, drawings, edits, exports, floods, graphs, keys, lines, mattes, networks, outlines, paints, rasters, scoring, segments, stops, strokes, styles, tables  # noqa: F401
+from .plans import boards, cleanups, drawings, edits, exports, floods, graphs, keys, lines, mattes, networks, outlines, paints, pens, rasters, scoring, segments, stops, strokes, styles, tables  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

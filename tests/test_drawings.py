@@ -92,3 +92,23 @@ def test_rows_of_segments(spark):
     docs = spark.createDataFrame([(1, "<svg><path d='M0 0h1v1z'/></svg>", 5), (2, None, 6)], "k int, svg string, item int").drop("item")
     rows = D.segment_rows(D.drawn_items(docs, "k", "svg"), "k").orderBy("seg").collect()
     assert [(r["k"], r["item"], r["ring"], r["kind"], r["x3"], r["y3"]) for r in rows] == [(1, 0, 0, "L", 1.0, 0.0), (1, 0, 0, "L", 1.0, 1.0), (1, 0, 0, "Z", 0.0, 0.0)]
+
+
+def test_traced_outlines_render_to_their_pixels(spark):
+    from lodestone.operators import geometry as G
+    from lodestone.plans.drawings import _rendered
+
+    r = random.Random(3)
+    rows = [(i, x, y, r.randint(0, 2)) for i in (1, 2) for x in range(64) for y in range(64)]
+    px = spark.createDataFrame(rows, "img_id long, x int, y int, label int")
+    out = _rendered(G.traced(px, tolerance=0.0), px, 64).collect()
+    assert len(out) == 6 and all(x["overlap"] == 1.0 and x["area"] == x["shared"] == sum(v[0] == x["img_id"] and v[3] == x["label"] for v in rows) for x in out)
+
+
+def test_curves_flatten_to_their_points(spark):
+    from lodestone.operators import scan as R
+
+    docs = spark.createDataFrame([(1, "<svg><circle cx='20' cy='20' r='15'/><path d='M40 2L60 2L60 20'/></svg>")], "k int, svg string")
+    edges = R.flattened(D.segment_rows(D.drawn_items(docs, "k", "svg"), "k"), ["k", "item"], 32)
+    area = {r["item"]: r["a"] for r in R.coverage(edges, ["k", "item"], 64, 64).groupBy("item").agg({"coverage": "sum"}).toDF("item", "a").collect()}
+    assert abs(area[0] - math.pi * 225) < 1.5 and abs(area[1] - 180) < 1e-6
