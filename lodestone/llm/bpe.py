@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from .common import give_back
+
 NONE = np.int32(2**31 - 1)
 #: Words longer than this many bytes are merged through a heap: scanning them again and again would
 #: take the square of their length.
@@ -287,6 +289,8 @@ def bpe_round_trip(
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
                 start = stop
+        del coder
+        give_back()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import Scratch
+from .common import Scratch, give_back
 
 #: Fixed value: bytes of words. All bytes over 127 belong to words, so UTF-8 can be cut as bytes.
 IN_WORD = np.ones(256, dtype=bool)
@@ -343,6 +343,7 @@ def spans_in(items: DataFrame, window: int):
         for column in columns:
             data, offsets = W.text_bytes(column)
             yield pa.concat_arrays([spans_of(shared.value, data, offsets[a : b + 1]) for a, b in parts_of_column(column)])
+        give_back()
 
     return F.arrow_udf(run, FOUND)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import Scratch, keyed, partitions
+from .common import Scratch, giving_back, keyed, partitions
 from .components import components
 
 
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, how: Join) -> DataFrame:
             packed = [None if c is None else next(rows).tobytes() for c in classes]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(packed, pa.binary())], schema=fields)
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, c long, sig binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(giving_back(run), "doc_id long, th long, c long, sig binary")
 
 
 def sig_matrix(column: pa.Array, how: Join) -> np.ndarray:
@@ -131,7 +131,7 @@ def bands(sigs: DataFrame, how: Join, n: int) -> DataFrame:
             h, c = h.reshape(-1), np.repeat(c, how.bands)
             yield pack_by((h >> np.uint64(33)).astype(np.int64) % n, h=h, c=c)
 
-    return sigs.where("c is not null").select("c", "sig").mapInArrow(run, W.OUT_SQL)
+    return sigs.where("c is not null").select("c", "sig").mapInArrow(giving_back(run), W.OUT_SQL)
 
 
 def memberships(rows: DataFrame, how: Join, n: int) -> DataFrame:
@@ -320,7 +320,7 @@ def verified_links(members: DataFrame, how: Join, n: int) -> DataFrame:
 
     part = F.pmod(F.xxhash64("c"), F.col("parts"))
     rows = members.select("component", "text", "c", "weight", part.alias("part"), "parts")
-    rows = rows.mapInArrow(prepare, "component long, c long, weight long, part long, parts long, set binary")
+    rows = rows.mapInArrow(giving_back(prepare), "component long, c long, weight long, part long, parts long, set binary")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = rows.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
     bucket = F.pmod(F.xxhash64("component", "low", "high"), F.lit(n)).cast("int")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from . import windows as W
 from .decontaminate import LOWER, words_of
 from .quality import held_out, label_table
@@ -380,6 +381,7 @@ class ToxicityModel:
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for column in columns:
                 yield pa.array(sigmoid(slope * column_logits(shared.value, column) + place))
+            give_back()
 
         score = F.arrow_udf(run, "double")
         return docs.withColumn(name, score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
