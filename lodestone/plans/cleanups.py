@@ -149,14 +149,19 @@ def binned_profile(spark, sf):
     return labels(spark, sf).where("label >= 0").groupBy("img_id", "label", t.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
 
 
-@query(f"""WITH {LABELS}, m AS (SELECT img_id, label, count(*) AS n, var_pop(v) AS flat, regr_r2(v, x + y) AS r2 FROM labels_px WHERE label >= 0 GROUP BY 1, 2)
-SELECT img_id, label, CASE WHEN sqrt(flat) / 255 + 0.0015 * 3 <= sqrt(flat * (1 - coalesce(r2, 0))) / 255 + 0.0015 * 10 THEN 'solid' ELSE 'linear' END AS model FROM m""")
+@query(f"""WITH {LABELS}, m AS (SELECT img_id, label, count(*) AS n, CAST(count(*) * sum(v * v) - sum(v) * sum(v) AS DOUBLE) AS vv, CAST(count(*) * sum((x + y) * (x + y)) - sum(x + y) * sum(x + y) AS DOUBLE) AS tt,
+ CAST(count(*) * sum((x + y) * v) - sum(x + y) * sum(v) AS DOUBLE) AS vt FROM labels_px WHERE label >= 0 GROUP BY 1, 2)
+SELECT img_id, label, CASE WHEN sqrt(vv) / n / 255 + CAST(0.0045 AS DOUBLE) <= sqrt(greatest(CAST(0 AS DOUBLE), vv - CASE WHEN tt > 0 THEN vt * vt / tt ELSE 0 END)) / n / 255 + CAST(0.015 AS DOUBLE) THEN 'solid' ELSE 'linear' END AS model FROM m""")
 def paint_ladder(spark, sf):
-    """The cheaper of a flat paint and a diagonal ramp: residual plus a price for each parameter."""
-    m = labels(spark, sf).where("label >= 0").withColumn("t", F.col("x") + F.col("y"))
-    m = m.groupBy("img_id", "label").agg(F.var_pop("v").alias("flat"), F.regr_r2("v", "t").alias("r2"))
-    cost = lambda residual, parameters: residual / 255 + 0.0015 * parameters
-    solid, linear = cost(F.sqrt("flat"), 3), cost(F.sqrt(F.col("flat") * (1 - F.coalesce("r2", F.lit(0.0)))), 10)
+    """The cheaper of a flat paint and a diagonal ramp: residual plus a price for each parameter, three
+    and ten of 0.0015. Sums are of integers, so neither their order nor rounding has a say: a ramp that
+    fits in full leaves nothing."""
+    m = labels(spark, sf).where("label >= 0").select("img_id", "label", F.col("v").cast("long").alias("v"), (F.col("x") + F.col("y")).cast("long").alias("t"))
+    spread = lambda p, q: (F.count("*") * F.sum(F.col(p) * F.col(q)) - F.sum(p) * F.sum(q)).cast("double")
+    m = m.groupBy("img_id", "label").agg(F.count("*").alias("n"), spread("v", "v").alias("vv"), spread("t", "t").alias("tt"), spread("t", "v").alias("vt"))
+    fitted = F.when(F.col("tt") > 0, F.col("vt") * F.col("vt") / F.col("tt")).otherwise(0.0)
+    cost = lambda squares, price: F.sqrt(squares) / F.col("n") / 255 + price
+    solid, linear = cost(F.col("vv"), 0.0045), cost(F.greatest(F.lit(0.0), F.col("vv") - fitted), 0.015)
     return m.select("img_id", "label", F.when(solid <= linear, "solid").otherwise("linear").alias("model"))
 
 
