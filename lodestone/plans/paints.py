@@ -156,13 +156,19 @@ def solid_residual(spark, sf):
     return px.join(mean, ["img_id", "label"]).groupBy("img_id", "label").agg(F.round(F.sqrt(F.avg(d * d)), 6).alias("residual"))
 
 
-MOMENTS = """m AS (SELECT img_id, label, count(*) AS n, covar_pop(x, x) AS a, covar_pop(x, y) AS b, covar_pop(y, y) AS c, covar_pop(x, v) AS u, covar_pop(y, v) AS w FROM labels_px WHERE label >= 0 GROUP BY 1, 2)"""
+def _covariance(p, q):
+    return f"CAST(count(*) * sum({p} * {q}) - sum({p}) * sum({q}) AS DOUBLE) / (count(*) * count(*))"
+
+
+MOMENTS = f"m AS (SELECT img_id, label, count(*) AS n, {', '.join(f'{_covariance(*pq)} AS {k}' for k, pq in zip('abcuw', ('xx', 'xy', 'yy', 'xv', 'yv')))} FROM labels_px WHERE label >= 0 GROUP BY 1, 2)"
 
 
 def _moments(spark, sf):
+    """Covariances from sums of integers, so that equal ones are equal and none is nearly zero."""
     pairs = {"a": ("x", "x"), "b": ("x", "y"), "c": ("y", "y"), "u": ("x", "v"), "w": ("y", "v")}
-    px = labels(spark, sf).where("label >= 0")
-    return px.groupBy("img_id", "label").agg(F.count("*").alias("n"), *[F.covar_pop(p, q).alias(k) for k, (p, q) in pairs.items()])
+    px = labels(spark, sf).where("label >= 0").select("img_id", "label", *[F.col(c).cast("long").alias(c) for c in "xyv"])
+    covariance = lambda p, q: (F.count("*") * F.sum(F.col(p) * F.col(q)) - F.sum(p) * F.sum(q)).cast("double") / (F.count("*") * F.count("*"))
+    return px.groupBy("img_id", "label").agg(F.count("*").alias("n"), *[covariance(p, q).alias(k) for k, (p, q) in pairs.items()])
 
 
 @query(f"""WITH {LABELS}, {MOMENTS}, e AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS size FROM m)
