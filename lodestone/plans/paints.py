@@ -189,13 +189,15 @@ c AS (SELECT img_id, label, 0 AS k, mx AS cx, my AS cy FROM e UNION ALL SELECT i
  UNION ALL SELECT p.img_id, p.label, 2, p.x, p.y FROM labels_px p JOIN e ON e.img_id = p.img_id AND e.label = p.label AND e.lo = p.v * 65536 + p.y * 256 + p.x
  UNION ALL SELECT p.img_id, p.label, 3, p.x, p.y FROM labels_px p JOIN e ON e.img_id = p.img_id AND e.label = p.label AND e.hi = p.v * 65536 - p.y * 256 - p.x),
 d AS (SELECT c.*, p.v, sqrt(pow(p.x - cx, 2) + pow(p.y - cy, 2)) AS d FROM c JOIN labels_px p ON p.img_id = c.img_id AND p.label = c.label),
-f AS (SELECT img_id, label, k, cx, cy, max(d) AS r, count(*) AS n, sqrt(var_pop(v) * (1 - coalesce(CASE WHEN var_pop(v) > 0 AND var_pop(d) > 0 THEN pow(covar_pop(v, d), 2) / (var_pop(v) * var_pop(d)) END, 0))) AS residual FROM d GROUP BY 1, 2, 3, 4, 5 HAVING max(d) > 1e-6),
+f0 AS (SELECT img_id, label, k, cx, cy, max(d) AS r, count(*) AS n, var_pop(v) AS vv, 1 - coalesce(CASE WHEN var_pop(v) > 0 AND var_pop(d) > 1e-18 THEN pow(covar_pop(v, d), 2) / (var_pop(v) * var_pop(d)) END, 0) AS free FROM d GROUP BY 1, 2, 3, 4, 5 HAVING max(d) > 1e-6),
+f AS (SELECT *, CASE WHEN free < 1e-12 THEN 0 ELSE sqrt(vv * free) END AS residual FROM f0),
 b AS (SELECT *, row_number() OVER (PARTITION BY img_id, label ORDER BY round(residual, 6), k) AS place FROM f)"""
 
 
 def _radial(spark, sf):
     """The best centre of each region: its centroid, the middle of its box, its darkest and its
-    lightest pixel are tried; the level is a linear function of the distance."""
+    lightest pixel are tried; the level is a linear function of the distance. Distances that differ by
+    rounding alone are one, and a share of the variance that rounding alone leaves is none."""
     px = labels(spark, sf).where("label >= 0")
     x, y, v = F.col("x"), F.col("y"), F.col("v")
     place = lambda s: F.struct(s, y, x)
@@ -208,8 +210,10 @@ def _radial(spark, sf):
     d = px.join(e.select("img_id", "label", tried.alias("c")), ["img_id", "label"])
     d = d.withColumn("d", F.sqrt(F.pow(x - F.col("c.cx"), F.lit(2)) + F.pow(y - F.col("c.cy"), F.lit(2))))
     both = F.var_pop("v") * F.var_pop("d")
-    left = 1 - F.coalesce(F.when(both > 0, F.pow(F.covar_pop("v", "d"), F.lit(2)) / both), F.lit(0.0))
-    f = d.groupBy("img_id", "label", "c").agg(F.max("d").alias("r"), F.count("*").alias("n"), F.sqrt(F.var_pop("v") * left).alias("residual")).where("r > 1e-6")
+    apart = (F.var_pop("v") > 0) & (F.var_pop("d") > 1e-18)
+    free = 1 - F.coalesce(F.when(apart, F.pow(F.covar_pop("v", "d"), F.lit(2)) / both), F.lit(0.0))
+    f = d.groupBy("img_id", "label", "c").agg(F.max("d").alias("r"), F.count("*").alias("n"), F.var_pop("v").alias("vv"), free.alias("free")).where("r > 1e-6")
+    f = f.withColumn("residual", F.when(F.col("free") < 1e-12, 0.0).otherwise(F.sqrt(F.col("vv") * F.col("free"))))
     best = F.min(F.struct(F.round("residual", 6).alias("o"), F.col("c.k").alias("k"), "c", "r", "residual"))
     return f.groupBy("img_id", "label").agg(best.alias("b"))
 
