@@ -49,3 +49,24 @@ def test_boxes_at_gap_equal_a_loop(spark):
                 root[b] = a
     found = D.boxes_at_gap(spark.createDataFrame(boxes, "g long, id long, x double, y double, w double, h double"), "g", 6.0, lambda df: written(df, "test-boxes"))
     assert {x["id"]: x["cluster"] for x in found.collect()} == {k: top(k) for k in at}
+
+
+def test_crossings_in_blocks_equal_a_loop(spark):
+    import random
+
+    from lodestone.operators import spatial as D
+
+    r = random.Random(6)
+    segments = [(k, *(r.uniform(-1, 1) for _ in range(4))) for k in range(70)] + [(100 + k, x, 0.05, x + 0.04, -0.05) for k, x in enumerate([0.01 * n for n in range(20)])]
+
+    def side(a, x, y):
+        v = (a[3] - a[1]) * (y - a[2]) - (a[4] - a[2]) * (x - a[1])
+        return (v > 0) - (v < 0)
+
+    cross = lambda a, b: side(a, *b[1:3]) * side(a, *b[3:]) < 0 and side(b, *a[1:3]) * side(b, *a[3:]) < 0
+    expected = {(a[0], b[0]) for a in segments for b in segments if a[0] < b[0] and cross(a, b)}
+    found = D.crossings(spark.createDataFrame(segments, "id long, x0 double, y0 double, x1 double, y1 double"), 0.3, block=5)
+    rows = [tuple(x) for x in found.collect()]
+    assert set(rows) == expected and len(rows) == len(expected)
+    # pairs that are found are not shuffled: the join is the last step that needs one
+    assert plan(found).split("SortMergeJoin")[0].count("HashAggregate") == 0
