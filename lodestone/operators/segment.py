@@ -33,12 +33,13 @@ def soft_pairs(px: DataFrame, share: float = 0.25) -> DataFrame:
 def despeckled(px: DataFrame, regions: DataFrame, least_area: int) -> DataFrame:
     """Regions (a pixel's ``comp``) under the area take the label of most of their border's outer
     neighbours, the lowest of several; regions without any stay."""
-    both = with_cross(px.join(regions.select("img_id", "x", "y", "comp"), ["img_id", "x", "y"]), "label")
+    # tables of this kind grow with the pixels: merged, never broadcast, whatever the planner makes of their size
+    both = with_cross(px.join(regions.select("img_id", "x", "y", "comp").hint("merge"), ["img_id", "x", "y"]), "label")
     area = both.groupBy("img_id", "comp").agg(F.count("*").alias("area"))
     outer = both.select("img_id", "comp", "label", F.explode(F.array("l", "r", "u", "d")).alias("o")).where("o is not null and o <> label")
     votes = outer.groupBy("img_id", "comp", "o").agg(F.count("*").alias("n"))
     best = votes.groupBy("img_id", "comp").agg(F.max(F.struct(F.col("n"), (-F.col("o")).alias("low"))).alias("b"))
-    joined = both.join(area, ["img_id", "comp"]).join(best, ["img_id", "comp"], "left")
+    joined = both.join(area.hint("merge"), ["img_id", "comp"]).join(best.hint("merge"), ["img_id", "comp"], "left")
     new = F.when((F.col("area") < least_area) & F.col("b").isNotNull(), -F.col("b.low")).otherwise(F.col("label"))
     return joined.select("img_id", "x", "y", new.cast("int").alias("label"))
 
