@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: At-rules whose blocks hold no rules for elements.
@@ -38,7 +38,9 @@ BLOCKS = "array<struct<prelude:string,body:string,conditional:boolean>>"
 
 
 def _each(css: pd.Series) -> pd.Series:
-    return css.map(blocks)
+    """Sheets that come again in a batch are read once."""
+    known = {text: blocks(text) for text in css.dropna().unique()}
+    return css.map(lambda text: known.get(text, []))
 
 
 def declarations(body: Column) -> Column:
@@ -79,18 +81,21 @@ def inlined(elements: DataFrame, rules: DataFrame, doc: str) -> DataFrame:
     keys = F.array_distinct(F.array_compact(F.concat(F.array(word("#", F.col("id")), word("<", F.col("tag")), F.lit("*")), F.transform("classes", lambda c: word(".", c)))))
     first = F.coalesce(word("#", F.get("ids", F.lit(0))), word(".", F.get("classes", F.lit(0))), word("<", F.col("tag")), F.lit("*"))
     r = rules.select(doc, first.alias("key"), *[F.col(c).alias(f"r_{c}") for c in ("ord", "tag", "ids", "classes", "loose", "declarations")])
-    met = e.drop("style").withColumn("key", F.explode(keys)).join(r, [doc, "key"])
+    met = e.drop("style").withColumn("key", F.explode(keys)).join(r.hint("merge"), [doc, "key"])
     fits = (F.col("r_tag").isNull() | (F.col("r_tag") == F.col("tag"))) & F.forall("r_ids", lambda x: F.coalesce(x == F.col("id"), F.lit(False))) & (F.size(F.array_except("r_classes", "classes")) == 0)
     met = met.where(fits)
     weight = F.struct(F.size("r_ids").alias("ids"), F.size("r_classes").alias("classes"), F.col("r_tag").isNotNull().cast("int").alias("tag"), F.col("r_ord").alias("ord"))
-    taken = met.where("not r_loose").select(doc, "el", weight.alias("weight"), F.posexplode("r_declarations").alias("pos", "d"))
+    # a loose selector has one row without a declaration
+    stated = F.posexplode_outer(F.when(~F.col("r_loose"), F.col("r_declarations")))
+    taken = met.select(doc, "el", weight.alias("weight"), stated.alias("pos", "d"))
     rank = F.when(F.col("d.important"), 2).otherwise(0)
     given = taken.select(doc, "el", "d.name", F.struct(rank.alias("rank"), "weight", "pos", F.col("d.value").alias("value")).alias("w"))
     own = e.select(doc, "el", F.posexplode(declarations(F.col("style"))).alias("pos", "d"))
     none = F.struct(F.lit(0).alias("ids"), F.lit(0).alias("classes"), F.lit(0).alias("tag"), F.struct(F.lit(0).alias("block"), F.lit(0).alias("pos")).alias("ord"))
     mine = own.select(doc, "el", "d.name", F.struct(F.lit(1).alias("rank"), none.alias("weight"), "pos", F.col("d.value").alias("value")).alias("w"))
-    unresolved = met.where("r_loose").select(doc, "el").distinct()
-    won = given.unionByName(mine).groupBy(doc, "el", "name").agg(F.max("w").alias("w")).join(unresolved, [doc, "el"], "left_anti")
+    won = given.unionByName(mine).groupBy(doc, "el", "name").agg(F.max("w").alias("w"))
+    loose = F.bool_or(F.col("name").isNull())
+    won = won.withColumn("loose", loose.over(Window.partitionBy(doc, "el"))).where("not loose or name is null")
     origin = F.element_at(F.array(F.lit("rule"), F.lit("own"), F.lit("important")), F.col("w.rank") + 1)
-    mark = unresolved.select(doc, "el", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("value"), F.lit("unresolved").alias("origin"))
-    return won.select(doc, "el", "name", F.col("w.value").alias("value"), origin.alias("origin")).unionByName(mark)
+    shown = F.when(~F.col("loose"), F.col("w.value"))
+    return won.select(doc, "el", "name", shown.alias("value"), F.when(F.col("loose"), "unresolved").otherwise(origin).alias("origin"))

@@ -42,5 +42,7 @@ def inlined_styles(spark, sf):
         one(4, "line", F.lit("i9"), [hot]),
         one(5, "rect", named("i", s % 3), [hot], F.lit("fill: navy; stroke-width:2;")),
     )
-    p = table(spark, sf, "part").select(k.alias("k"), css.alias("css"), elements.alias("e"))
+    # a sheet takes far longer to read than its row says: few parts of a file are dealt to all tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = table(spark, sf, "part").select("p_partkey", "p_size").repartition(tasks, "p_partkey").select(k.alias("k"), css.alias("css"), elements.alias("e"))
     return Y.inlined(p.select("k", F.explode("e").alias("e")).select("k", "e.*"), Y.selectors(p, "k", "css"), "k")

@@ -70,3 +70,9 @@ def test_crossings_in_blocks_equal_a_loop(spark):
     assert set(rows) == expected and len(rows) == len(expected)
     # pairs that are found are not shuffled: the join is the last step that needs one
     assert plan(found).split("SortMergeJoin")[0].count("HashAggregate") == 0
+
+
+def test_no_table_of_inlined_styles_or_despeckled_pixels_is_broadcast(spark):
+    for name in ("inlined_styles", "despeckle_components"):
+        found = plan(QUERIES[name](spark, SF))
+        assert "SortMergeJoin" in found and "BroadcastHashJoin" not in found
