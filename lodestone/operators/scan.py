@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def closed_edges(points: DataFrame, key: list[str]) -> DataFrame:
-    """(key, x0, y0, x1, y1) of the closed outlines of points (key, i, x, y); the last meets the first."""
+def closed_edges(points: DataFrame, key: list[str], ring: Column | None = None) -> DataFrame:
+    """(key, x0, y0, x1, y1) of the closed outlines of points (key, i, x, y); the last meets the first,
+    but for those that ``ring`` says are open."""
     w = Window.partitionBy(*key).orderBy("i")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    to = F.coalesce(F.lead(F.struct("x", "y")).over(w), F.first(F.struct("x", "y")).over(whole))
-    return points.withColumn("to", to).select(*key, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("to.x").alias("x1"), F.col("to.y").alias("y1"))
+    first = F.first(F.struct("x", "y")).over(whole)
+    to = F.coalesce(F.lead(F.struct("x", "y")).over(w), first if ring is None else F.when(ring, first))
+    return points.withColumn("to", to).where("to is not null").select(*key, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("to.x").alias("x1"), F.col("to.y").alias("y1"))
 
 
 def flattened(segments: DataFrame, key: list[str], pieces: int = 8) -> DataFrame:

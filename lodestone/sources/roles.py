@@ -73,14 +73,19 @@ SCORES = (
 )
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pixels(spark: SparkSession, sf_dir: str, together: int = 1) -> DataFrame:
     """Rasters: an embedding is an image of 8 by 8 pixels with a level from 0 to 255 over its own
-    range: (img_id, truth, x, y, v)."""
+    range: (img_id, truth, x, y, v). Vectors, not pixels, are shuffled, so that windows and groups of an
+    image find it in one place; with ``together`` so many of a row come with their number, ``sheet``."""
     e = table(spark, sf_dir, "embeddings")
+    if together > 1:
+        e = e.withColumn("sheet", F.floor(F.col("vec_id") / together))
+    e = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sheet" if together > 1 else "vec_id")
     low, high = F.array_min("embedding"), F.array_max("embedding")
-    e = e.select("vec_id", "label", "embedding", low.alias("low"), high.alias("high"))
+    sheet = ["sheet"] if together > 1 else []
+    e = e.select("vec_id", "label", "embedding", low.alias("low"), high.alias("high"), *sheet)
     rows = e.select(
-        F.col("vec_id").alias("img_id"), F.col("label").alias("truth"), "low", "high", F.posexplode("embedding").alias("pos", "raw")
+        F.col("vec_id").alias("img_id"), F.col("label").alias("truth"), "low", "high", *sheet, F.posexplode("embedding").alias("pos", "raw")
     )
     level = (F.col("raw").cast("double") - F.col("low").cast("double")) / (F.col("high").cast("double") - F.col("low").cast("double"))
     return rows.select(
@@ -89,6 +94,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("pos") % 8).alias("x"),
         F.floor(F.col("pos") / 8).cast("int").alias("y"),
         F.coalesce(F.floor(level * 255 + 0.5), F.lit(0)).cast("int").alias("v"),
+        *sheet,
     )
 
 
@@ -112,8 +118,8 @@ def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rasters of 64 by 64 pixels: an image is a sheet of 64 embeddings in eight rows, each 8 by 8
     pixels; the last sheet has holes."""
     at = F.col("img_id") % 64
-    return pixels(spark, sf_dir).select(
-        F.floor(F.col("img_id") / 64).alias("img_id"), (at % 8 * 8 + F.col("x")).cast("int").alias("x"), (F.floor(at / 8) * 8 + F.col("y")).cast("int").alias("y"), "v"
+    return pixels(spark, sf_dir, together=64).select(
+        F.col("sheet").alias("img_id"), (at % 8 * 8 + F.col("x")).cast("int").alias("x"), (F.floor(at / 8) * 8 + F.col("y")).cast("int").alias("y"), "v"
     )
 
 

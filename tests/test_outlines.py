@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import chains as H
 from lodestone.operators import raster as K
@@ -128,3 +129,38 @@ def test_layers_lie_over_each_other(spark):
     rows = [(1, 0, 0, 2, 0.5, 100.0), (1, 0, 0, 1, 1.25, 0.0), (1, 3, 0, 5, 0.25, 55.0)]
     found = {(r["x"], r["y"]): r["level"] for r in R.composited(spark.createDataFrame(rows, "g long, x int, y int, z int, coverage double, tone double"), ["g"], "z", "tone").collect()}
     assert found == {(0, 0): 50.0, (3, 0): 205.0}
+
+
+def test_lists_that_leave_a_block_are_ranked_too(spark):
+    """Lists and rings in one block and over several; those in one block take a single table."""
+    items = [(0, 1), (1, 2), (2, None), (4, 6), (6, 5), (5, 4), (8, 12), (12, 13), (13, 17), (17, None), (20, 24), (24, 28), (28, 20), (40, None), (15, 41), (41, None)]
+    seen = []
+
+    def keep(df):
+        seen.append(df)
+        return df.localCheckpoint()
+
+    def found(rows, size):
+        links = spark.createDataFrame(rows, "id long, next long").withColumn("block", F.floor(F.col("id") / size))
+        got = H.ranked_in_blocks(links, ["block"], keep).collect()
+        return {r["id"]: (r["first"], r["last"], r["rest"], r["steps"], r["closed"]) for r in got}
+
+    whole = found(items, 1000)
+    assert len(seen) == 1
+    assert found(items, 4) == whole == found(items, 1)
+    plain = {r["id"]: (r["last"], r["rest"], r["closed"]) for r in H.ranked(spark.createDataFrame(items, "id long, next long"), keep).collect()}
+    assert {k: (v[1], v[2], v[4]) for k, v in whole.items()} == plain
+    assert whole[6] == (4, 5, 1, 2, True) and whole[12] == (8, 17, 2, 3, False)
+
+
+def test_networks_shuffle_vectors_not_pixels(spark):
+    """One shuffle of vectors and one of the chains' corners; windows and tiles of an image need none."""
+    from lodestone.plans.outlines import network_summary
+
+    plan = network_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    from lodestone.operators import raster as K
+    from lodestone.sources.roles import labels
+
+    plan = K.cracks(labels(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
