@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chains import ranked
+from .chains import ranked_in_blocks
 from .spatial import linked_ids
 
 #: A spur is shorter than so many radii of its node and so much, unless its tip is as wide as that share of the radius.
@@ -17,7 +17,7 @@ LINK_RADII, LINK_MORE = 0.6, 1.0
 EDGE = ["id", "a", "b", "len", "tip_a", "tip_b", "parts", "closed"]
 
 
-def prune_spurs(nodes: DataFrame, edges: DataFrame, checkpoint, most_rounds: int = 100) -> DataFrame:
+def prune_spurs(nodes: DataFrame, edges: DataFrame, checkpoint, most_rounds: int = 100, block: int = 1 << 20) -> DataFrame:
     """Edges (id, a, b, len, tip_a, tip_b, parts, closed) that are left.
 
     ``nodes``: (id, r). ``edges``: (id, a, b, len, tip_a, tip_b); a null node is a free end, where the
@@ -25,7 +25,9 @@ def prune_spurs(nodes: DataFrame, edges: DataFrame, checkpoint, most_rounds: int
     node's radius allows, but for those that reach past the node and are still wide at the tip. Then
     nodes with one edge become its free end, as wide as they were, and runs of edges through nodes
     with two become one edge, by list ranking: it has the least number, the sum of the lengths and the
-    count of its parts. A run that comes back to itself is closed. Rounds go on until nothing changes."""
+    count of its parts. A run that comes back to itself is closed. Rounds go on until nothing changes.
+
+    ``block``: edges whose numbers lie in one stretch of so many are ranked together (``chains.ranked_in_blocks``)."""
     number = lambda c, kind: F.col(c).cast(kind).alias(c)
     now = edges.select("id", number("a", "long"), number("b", "long"), number("len", "double"), number("tip_a", "double"), number("tip_b", "double"), F.lit(1).cast("long").alias("parts"), F.lit(False).alias("closed"))
     now = checkpoint(now)
@@ -49,7 +51,7 @@ def prune_spurs(nodes: DataFrame, edges: DataFrame, checkpoint, most_rounds: int
         into = F.col("both") - F.col("dart")
         follow = two.select(F.col("dart").alias("id"), (into + 1 - 2 * (into % 2)).cast("long").alias("next"))
         darts = kept.where("not closed").select(F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("id"))
-        r = ranked(darts.join(follow, "id", "left"), checkpoint)
+        r = ranked_in_blocks(darts.join(follow, "id", "left").withColumn("block", F.floor(F.col("id") / (2 * block))), ["block"], checkpoint)
         part = r.withColumn("edge", F.floor(F.col("id") / 2)).join(kept.drop("closed").withColumnRenamed("id", "edge"), "edge")
         # a run is found in both directions: from its last dart the far end is known, from its first the near one
         out = lambda c: F.when(F.col("id") % 2 == 0, F.col(f"{c}a")).otherwise(F.col(f"{c}b"))
@@ -71,13 +73,15 @@ def prune_spurs(nodes: DataFrame, edges: DataFrame, checkpoint, most_rounds: int
     raise RuntimeError(f"edges still change after {most_rounds} rounds")
 
 
-def contract_links(nodes: DataFrame, edges: DataFrame, checkpoint, most_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+def contract_links(nodes: DataFrame, edges: DataFrame, checkpoint, most_rounds: int = 100, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, cluster, r) of nodes (id, r), and the edges (id, a, b, len) that are left between clusters.
 
     An edge between two nodes is a link if it is no longer than 0.6 of the larger radius and 1; its
     nodes become one, with the largest radius of theirs, which may make links of further edges. All
     links of a round are followed at once: a radius never falls, so the end does not depend on their
-    order. The least node names a cluster; links go, other edges within a cluster stay."""
+    order. The least node names a cluster; links go, other edges within a cluster stay.
+
+    ``block``: nodes whose numbers lie in one stretch of so many are tied together (``spatial.linked_ids``)."""
     held = checkpoint(nodes.select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("cluster"), F.col("r").cast("double").alias("r")))
     count = -1
     for _ in range(most_rounds):
@@ -89,7 +93,7 @@ def contract_links(nodes: DataFrame, edges: DataFrame, checkpoint, most_rounds:
         if found == count:
             return held, e.where("not link").select("id", F.col("ca").alias("a"), F.col("cb").alias("b"), "len")
         count = found
-        tied = linked_ids(e.where("link").select(F.col("a").alias("id"), F.col("b").alias("oid")), nodes.select(F.col("id").cast("long").alias("id")), checkpoint)
+        tied = linked_ids(e.where("link").select(F.col("a").alias("id"), F.col("b").alias("oid")), nodes.select(F.col("id").cast("long").alias("id")), checkpoint, block=block)
         both = tied.join(nodes.select(F.col("id").cast("long").alias("id"), F.col("r").cast("double").alias("r")), "id")
         widest = both.groupBy("cluster").agg(F.max("r").alias("r"))
         held = checkpoint(tied.join(widest, "cluster").select("id", "cluster", "r"))

@@ -13,6 +13,10 @@ from .outlines import _chains
 from .registry import query
 
 
+#: Numbers of the places of so many images.
+BLOCK = 16 * H.WIDE * H.WIDE
+
+
 def _graph(spark, sf):
     """The boundary networks without the edges that border the outside: nodes with a radius from their
     place, and edges with their length."""
@@ -30,14 +34,14 @@ def pruned_strokes(spark, sf):
     """Edges that are left when short spurs are dropped and the nodes that this leaves with two edges
     or one are dissolved."""
     nodes, edges = _graph(spark, sf)
-    return S.prune_spurs(nodes, edges, lambda df: written(df, "pruned")).select("id", "a", "b", "len", "parts", "closed")
+    return S.prune_spurs(nodes, edges, lambda df: written(df, "pruned"), block=4 * BLOCK).select("id", "a", "b", "len", "parts", "closed")
 
 
 @query()
 def contracted_strokes(spark, sf):
     """Clusters of nodes that short links tie together, with their edges to others."""
     nodes, edges = _graph(spark, sf)
-    held, left = S.contract_links(nodes, edges, lambda df: written(df, "contracted"))
+    held, left = S.contract_links(nodes, edges, lambda df: written(df, "contracted"), block=BLOCK)
     ends = left.select(F.explode(F.array("a", "b")).alias("cluster")).groupBy("cluster").agg(F.count("*").alias("ends"))
     return held.groupBy("cluster").agg(F.count("*").alias("nodes"), F.max("r").alias("r")).join(ends, "cluster", "left").select("cluster", "nodes", "r", F.coalesce("ends", F.lit(0)).alias("ends"))
 

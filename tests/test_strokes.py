@@ -123,3 +123,22 @@ def test_contraction_equals_a_loop(spark):
     assert {x["id"]: (x["cluster"], x["r"]) for x in held.collect()} == {n: (c, radius[c]) for n, c in cluster.items()}
     stay = {k: (cluster[a], None if b is None else cluster[b]) for k, (a, b, n) in edges.items() if b is None or a == b or n > 0.6 * radius[cluster[a]] + 1 or cluster[a] != cluster[b]}
     assert {x["id"]: (x["a"], x["b"]) for x in left.collect()} == stay
+
+
+def test_ids_are_linked_within_and_over_blocks(spark):
+    """The same components for any block; all in one block take a single table."""
+    from lodestone.operators.spatial import linked_ids
+
+    pairs, seen = [(1, 2), (2, 9), (9, 10), (17, 30), (30, 31), (31, 17), (50, 50)], []
+
+    def keep(df):
+        seen.append(df)
+        return df.localCheckpoint()
+
+    def found(**how):
+        nodes = sorted({k for p in pairs for k in p} | {40, 41})
+        return dict(map(tuple, linked_ids(spark.createDataFrame(pairs, "id long, oid long"), spark.createDataFrame([(k,) for k in nodes], "id long"), keep, **how).collect()))
+
+    whole = found(block=1000)
+    assert len(seen) == 1 and whole == found() == found(block=8) == found(block=1)
+    assert whole == {1: 1, 2: 1, 9: 1, 10: 1, 17: 17, 30: 17, 31: 17, 40: 40, 41: 41, 50: 50}
