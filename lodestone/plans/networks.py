@@ -56,16 +56,11 @@ def pruned_vertices(spark, sf):
 
 @query(f"""WITH {BOXES} SELECT b.g, b.id, bool_or(o.id IS NOT NULL) AS hidden FROM b LEFT JOIN b o ON o.g = b.g AND o.id > b.id AND b.x + b.w / 2 >= o.x AND b.x + b.w / 2 <= o.x + o.w AND b.y + b.h / 2 >= o.y AND b.y + b.h / 2 <= o.y + o.h GROUP BY 1, 2""")
 def hidden_boxes(spark, sf):
-    """Whether the middle of a box lies under one painted later. A middle meets the boxes that touch
-    its cell."""
+    """Whether the middle of a box lies under one painted later: whether the latest box over it is another."""
     b = _boxes(spark, sf)
-    cell = lambda c: F.floor(c / 32)
-    span = lambda at, size: F.explode(F.sequence(cell(F.col(at)), cell(F.col(at) + F.col(size))))
-    mid = b.select("g", "id", (F.col("x") + F.col("w") / 2).alias("mx"), (F.col("y") + F.col("h") / 2).alias("my")).withColumns({"cx": cell(F.col("mx")), "cy": cell(F.col("my"))})
-    over = b.withColumn("cx", span("x", "w")).withColumn("cy", span("y", "h")).withColumnRenamed("id", "oid")
-    inside = "oid > id and mx between x and x + w and my between y and y + h"
-    hit = mid.join(over, ["g", "cx", "cy"]).where(inside).select("g", "id").distinct().withColumn("hidden", F.lit(True))
-    return b.select("g", "id").join(hit, ["g", "id"], "left").select("g", "id", F.coalesce("hidden", F.lit(False)).alias("hidden"))
+    mid = b.select("g", "id", (F.col("x") + F.col("w") / 2).alias("mx"), (F.col("y") + F.col("h") / 2).alias("my"))
+    top = D.latest_over(mid, b, "g")
+    return mid.join(top.hint("merge"), ["g", "mx", "my"], "left").select("g", "id", F.coalesce(F.col("latest") > F.col("id"), F.lit(False)).alias("hidden"))
 
 
 @query(f"""WITH {PTS} SELECT a.id FROM p a WHERE a.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.id % 2 = 1 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 0.0001)""")
