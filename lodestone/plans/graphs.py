@@ -58,10 +58,7 @@ anc AS (SELECT id AS top, id, parent FROM chosen UNION ALL SELECT a.top, n.id, n
 SELECT id FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM anc a JOIN chosen d ON d.id = a.id WHERE a.top = c.id AND a.id <> c.id)""")
 def top_level_selection(spark, sf):
     """Chosen nodes without those under another chosen node."""
-    n = nodes(spark, sf)
-    chosen = n.where("ord % 5 = 0").select("id")
-    under = T.ancestors(n, lambda df: written(df, "ancestors")).where("distance > 0").join(chosen.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").select("id").distinct()
-    return chosen.join(under, "id", "left_anti")
+    return T.top_level(nodes(spark, sf), F.col("ord") % 5 == 0, lambda df: written(df, "top-level"))
 
 
 def _points(spark, sf, part: int):
@@ -122,13 +119,21 @@ def _segments(spark, sf):
 @query("""WITH RECURSIVE q AS (SELECT s_suppkey AS id, c_custkey AS oid, round(abs(s_acctbal - c_acctbal), 2) AS gap FROM supplier JOIN customer ON s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) <= 300)
 SELECT s_suppkey AS id, min_gap FROM supplier JOIN (SELECT id, min(gap) AS min_gap FROM q GROUP BY id) ON s_suppkey = id""", name="caption_gaps")
 def caption_gaps(spark, sf):
-    pairs = _caption_pairs(spark, sf)
-    return pairs.groupBy("id").agg(F.min("gap").alias("min_gap"))
+    """A supplier's least gap to a customer of its nation: those next to its value are enough."""
+    s, c = _captions(spark, sf)
+    near = D.with_beside(s, c, "g", "a", "b", 300)
+    gap = lambda b: F.when(F.abs(F.col("a") - F.col(b)) <= 300, F.round(F.abs(F.col("a") - F.col(b)), 2))
+    return near.select("id", F.least(gap("below"), gap("above")).alias("min_gap")).where("min_gap is not null").groupBy("id").agg(F.min("min_gap").alias("min_gap"))
 
 
-def _caption_pairs(spark, sf):
+def _captions(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("g"), F.col("s_acctbal").alias("a"))
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("oid"), F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("b"))
+    return s, c
+
+
+def _caption_pairs(spark, sf):
+    s, c = _captions(spark, sf)
     gap = F.round(F.abs(F.col("a") - F.col("b")), 2)
     return D.within_gap(s, c, "g", "a", "b", 300).select("id", "oid", gap.alias("gap"))
 
