@@ -5,8 +5,11 @@ Groups are single images or single chains; Spark spreads them over tasks.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,35 +80,33 @@ def outlines(mask: np.ndarray) -> list[list[tuple[int, int]]]:
     """Closed boundary loops of a mask as corner points, the inside to the right of each step; at a
     corner with two ways on, the turn that keeps diagonal pixels apart is taken."""
     m = np.pad(mask, 1)
-    steps: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for y, x in zip(*np.nonzero(m), strict=True):
-        for inside, a, b in (
-            (m[y - 1, x], (x, y), (x + 1, y)),
-            (m[y, x + 1], (x + 1, y), (x + 1, y + 1)),
-            (m[y + 1, x], (x + 1, y + 1), (x, y + 1)),
-            (m[y, x - 1], (x, y + 1), (x, y)),
-        ):
-            if not inside:
-                steps.setdefault((int(a[0]), int(a[1])), []).append((int(b[0]), int(b[1])))
+    high = m.shape[0] + 1
+    y, x = np.nonzero(m)
+    # corners are numbers x * high + y, in the order of (x, y)
+    corner = [x * high + y, (x + 1) * high + y, (x + 1) * high + y + 1, x * high + y + 1]
+    outside = ~np.stack([m[y - 1, x], m[y, x + 1], m[y + 1, x], m[y, x - 1]], axis=1)
+    a, b = (np.stack([corner[(k + side) % 4] for k in range(4)], axis=1)[outside].tolist() for side in (0, 1))
+    steps: dict[int, list[int]] = {}
+    for p, q in zip(a, b, strict=True):
+        steps.setdefault(p, []).append(q)
     loops = []
-    while steps:
-        at = start = min(steps)
-        loop, before = [], None
-        while True:
-            ways = steps[at]
-            if len(ways) > 1 and before is not None:
-                dx, dy = at[0] - before[0], at[1] - before[1]
-                ways.sort(key=lambda p: dx * (p[1] - at[1]) - dy * (p[0] - at[0]))
-                after = ways.pop()
-            else:
-                after = ways.pop()
-            if not ways:
-                del steps[at]
-            loop.append((at[0] - 1, at[1] - 1))
-            before, at = at, after
-            if at == start:
-                break
-        loops.append(loop)
+    for start in sorted(steps):
+        while start in steps:
+            at, loop, before = start, [], None
+            while True:
+                ways = steps[at]
+                if len(ways) > 1:
+                    if before is not None:
+                        dx, dy = at // high - before // high, at % high - before % high
+                        ways.sort(key=lambda p: dx * (p % high - at % high) - dy * (p // high - at // high))  # noqa: B023
+                    after = ways.pop()
+                else:
+                    after = steps.pop(at)[0]
+                loop.append((at // high - 1, at % high - 1))
+                before, at = at, after
+                if at == start:
+                    break
+            loops.append(loop)
     return loops
 
 
@@ -134,26 +135,71 @@ def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
     return points[keep]
 
 
+#: Chains up to this length are split by a loop, which takes less time there.
+SHORT = 48
+
+
+def _simplified_corners(points: list[tuple[int, int]], tolerance: float) -> list[tuple[int, int]]:
+    """``simplified`` for points of whole numbers, whose products are exact."""
+    keep = bytearray(len(points))
+    keep[0] = keep[-1] = 1
+    stack, whole = [(0, len(points) - 1)], None
+    while stack:
+        a, b = stack.pop()
+        if b - a < 2:
+            continue
+        (ax, ay), (bx, by) = points[a], points[b]
+        cx, cy = bx - ax, by - ay
+        if b - a <= SHORT:
+            if cx or cy:
+                far = [abs(cx * (y - ay) - cy * (x - ax)) for x, y in points[a + 1 : b]]
+            else:
+                far = [(x - ax) ** 2 + (y - ay) ** 2 for x, y in points[a + 1 : b]]
+            most = max(far)
+            k = far.index(most)
+        else:
+            whole = np.array(points, dtype=np.int64) if whole is None else whole
+            rest = whole[a + 1 : b] - whole[a]
+            far = np.abs(cx * rest[:, 1] - cy * rest[:, 0]) if cx or cy else (rest**2).sum(axis=1)
+            k = int(far.argmax())
+            most = int(far[k])
+        if (most / math.hypot(cx, cy) if cx or cy else math.sqrt(most)) > tolerance:
+            keep[a + 1 + k] = 1
+            stack += [(a, a + 1 + k), (a + 1 + k, b)]
+    return [p for p, k in zip(points, keep, strict=True) if k]
+
+
+def traced_labels(labels: np.ndarray, tolerance: float) -> list[tuple[int, int, int, float, str]]:
+    """(label, loops, nodes, area, path text) of each label of 0 or more."""
+    rows = []
+    for label in np.unique(labels[labels >= 0]).tolist():
+        d, nodes, double = [], 0, 0
+        loops = outlines(labels == label)
+        for loop in loops:
+            closed = [*loop, loop[0]]
+            double += sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(loop, closed[1:], strict=True))
+            kept = _simplified_corners(closed, tolerance)[:-1]
+            nodes += len(kept)
+            d.append("M" + "L".join(f"{x} {y}" for x, y in kept) + "Z")
+        rows.append((label, len(loops), nodes, double / 2, "".join(d)))
+    return rows
+
+
 def traced(px: DataFrame, tolerance: float = 0.75) -> DataFrame:
     """(img_id, label, loops, nodes, area, d): each label's outlines as simplified path text."""
+    types = {"img_id": pa.int64(), "label": pa.int32(), "loops": pa.int64(), "nodes": pa.int64(), "area": pa.float64(), "d": pa.string()}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels = grid(pdf, "label", -1)
-        rows = []
-        for label in np.unique(labels[labels >= 0]):
-            d, nodes, area = [], 0, 0.0
-            loops = outlines(labels == label)
-            for loop in loops:
-                closed = np.array([*loop, loop[0]], dtype=float)
-                area += signed_area(closed[:-1])
-                kept = simplified(closed, tolerance)[:-1]
-                nodes += len(kept)
-                d.append("M" + "L".join(f"{x:g} {y:g}" for x, y in kept) + "Z")
-            rows.append((int(pdf["img_id"].iloc[0]), int(label), len(loops), nodes, area, "".join(d)))
-        return pd.DataFrame(rows, columns=["img_id", "label", "loops", "nodes", "area", "d"])
+    def run(tab: pa.Table) -> pa.Table:
+        x, y, label = (tab.column(c).to_numpy() for c in ("x", "y", "label"))
+        labels = np.full((int(y.max()) + 1, int(x.max()) + 1), -1)
+        labels[y, x] = label
+        image = tab.column("img_id")[0].as_py()
+        rows = [(image, *r) for r in traced_labels(labels, tolerance)]
+        columns = zip(*rows, strict=True) if rows else [()] * len(types)
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip(types.items(), columns, strict=True)})
 
     schema = "img_id long, label int, loops long, nodes long, area double, d string"
-    return px.select("img_id", "x", "y", "label").groupBy("img_id").applyInPandas(run, schema)
+    return px.select("img_id", "x", "y", "label").groupBy("img_id").applyInArrow(run, schema)
 
 
 def bezier(control: np.ndarray, t: np.ndarray) -> np.ndarray:

@@ -24,7 +24,9 @@ def _markup(spark, sf):
         F.lit('<g display="none"><line x2="4"/></g></g><circle cx="'), t(s), F.lit('" cy="5" r="2" opacity=".5"/><g fill="none" stroke="currentColor" color="#00f"><polyline points="0,0 1,1 2 '), t(k % 5), F.lit('"/>'),
         F.lit('<path id="q" d="M0 0q1 2 2 0t2,0S5 5 6 0 7 1 8 0" fill-rule="evenodd"/></g>'), F.when(k % 9 == 0, "<g>").otherwise(""), F.lit("</svg>"),
     )
-    return table(spark, sf, "part").select(k.alias("doc"), text.alias("svg"))
+    # a small file may come as one task, which a short row's long markup would keep busy
+    parts = table(spark, sf, "part").select(k, s).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), k)
+    return parts.select(k.alias("doc"), text.alias("svg"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS doc, p_size AS s, p_partkey AS k FROM part)
