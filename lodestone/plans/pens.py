@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scan as R
 from ..operators.stroke import outlined
-from ..sources.roles import table
+from ..sources.roles import dealt, table
 from .registry import query
 
 #: A vector's first twelve components are a polyline of six points; its width follows its label.
@@ -19,10 +19,18 @@ og AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, pos, s * n)
 cl AS (SELECT *, coalesce(lead(x) OVER o, first_value(x) OVER o) AS nx, coalesce(lead(y) OVER o, first_value(y) OVER o) AS ny FROM og WINDOW o AS (PARTITION BY g ORDER BY i))"""
 
 
-def _lines(spark, sf):
+#: Strokes that are painted in one task: their edges on all lines of the picture fit its memory.
+STROKES = 2048
+
+
+def _lines(spark, sf, together: int | None = None):
+    """Points of the polylines; with ``together`` vectors are dealt into tasks of about so many."""
     e = F.col("embedding")
     p = F.array(*[F.struct(F.lit(i).alias("i"), *[(32 + 80 * e[2 * i + c].cast("double")).alias(n) for c, n in enumerate("xy")]) for i in range(6)])
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("g"), (1 + F.col("label") / 2).alias("w"), F.explode(p).alias("p")).select("g", "w", "p.*")
+    vectors = table(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 12).alias("embedding"))
+    if together:
+        vectors = dealt(vectors, together, "vec_id")
+    return vectors.select(F.col("vec_id").alias("g"), (1 + F.col("label") / 2).alias("w"), F.explode(p).alias("p")).select("g", "w", "p.*")
 
 
 @query(f"WITH {LINES} SELECT g, count(*) AS nodes, round(sum(x * ny - nx * y) / 2, 5) AS area, round(sum(sqrt(pow(nx - x, 2) + pow(ny - y, 2))), 5) AS length FROM cl GROUP BY 1")
@@ -36,11 +44,13 @@ def stroke_outlines(spark, sf):
 @query()
 def stroke_coverage(spark, sf):
     """Strokes of each vector painted with mitred, bevelled and round joins: pixels touched and ink."""
-    lines = _lines(spark, sf)
     kinds = [("miter", "butt"), ("bevel", "square"), ("round", "round")]
-    rings = None
+    out = None
     for join, cap in kinds:
-        one = outlined(lines, ["g"], "w", join, cap).withColumn("join", F.lit(join))
-        rings = one if rings is None else rings.unionByName(one)
-    c = R.coverage(R.closed_edges(rings, ["g", "join"]), ["g", "join"], 64, 64)
-    return c.groupBy("g", "join").agg(F.count("*").alias("pixels"), F.round(F.sum("coverage"), 5).alias("ink"))
+        # vectors are dealt, so that all windows of a stroke find it in one place; the edges are never shuffled
+        rings = outlined(_lines(spark, sf, STROKES), ["g"], "w", join, cap)
+        c = R.coverage(R.closed_edges(rings, ["g"]), ["g"], 64, 64)
+        one = c.groupBy("g").agg(F.count("*").alias("pixels"), F.round(F.sum("coverage"), 5).alias("ink"))
+        one = one.select("g", F.lit(join).alias("join"), "pixels", "ink")
+        out = one if out is None else out.unionByName(one)
+    return out

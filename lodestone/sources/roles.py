@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, together: int, *keys: str) -> DataFrame:
+    """Rows dealt by keys into tasks of about ``together``, so that a task's memory does not grow with the
+    table; never into fewer than the session's shuffle partitions."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // together)), *keys)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score rows in wide form: a tool is an event type, a case a quarter of a day, a corpus a week.
     Few measurements make a null; every fifth day's night has a truth that was refused."""

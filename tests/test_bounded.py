@@ -35,3 +35,19 @@ def test_corners_are_split_as_points_are():
             points.append(points[0])
             kept = G.simplified(np.array(points, dtype=float), tolerance)
             assert G._simplified_corners(points, tolerance) == [tuple(map(int, p)) for p in kept]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def in_files(spark, folder: str, name: str, n: int = 3) -> str:
+    """A table in several files, so that no step finds it in one partition by chance."""
+    spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(n).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_strokes_shuffle_their_vectors_alone(spark, tmp_path):
+    found = plan(QUERIES["stroke_coverage"](spark, in_files(spark, str(tmp_path), "embeddings")))
+    dealt = [line for line in found.splitlines() if "Exchange" in line]
+    assert len(dealt) == 3 and all("REPARTITION_BY_NUM" in line and "vec_id" in line for line in dealt)
