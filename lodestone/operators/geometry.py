@@ -6,6 +6,7 @@ Groups are single images or single chains; Spark spreads them over tasks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -203,47 +204,70 @@ def traced(px: DataFrame, tolerance: float = 0.75) -> DataFrame:
 
 
 def bezier(control: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Places of a curve, or of a stack of curves, at parameters."""
     s = 1 - t
-    basis = np.stack([s**3, 3 * s * s * t, 3 * s * t * t, t**3], axis=1)
-    return basis @ control
-
-
-def fit_cubic(points: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, float]:
-    """Cubic with fixed ends by linear least squares over chord-length parameters, which are then
-    moved towards the nearest places on the curve; and the largest distance that remains."""
-    steps = np.hypot(*np.diff(points, axis=0).T)
-    t = np.concatenate([[0], np.cumsum(steps)])
-    t = t / t[-1] if t[-1] > 0 else np.linspace(0, 1, len(points))
-    best, error = None, np.inf
+    return np.stack([s**3, 3 * s * s * t, 3 * s * t * t, t**3], axis=-1) @ control
+
+
+def fit_cubics(points: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """For a stack (chain, point, axis) of chains of one length: cubics with fixed ends by linear least
+    squares over chord-length parameters, which are then moved towards the nearest places on the curve;
+    and the largest distance that remains of each."""
+    n = points.shape[1]
+    steps = np.hypot(*np.moveaxis(np.diff(points, axis=1), 2, 0))
+    t = np.concatenate([np.zeros((len(points), 1)), np.cumsum(steps, axis=1)], axis=1)
+    whole = t[:, -1:]
+    t = np.where(whole > 0, t / np.where(whole > 0, whole, 1), np.linspace(0, 1, n))
+    best, error = np.zeros((len(points), 4, 2)), np.full(len(points), np.inf)
+    first, last = points[:, :1], points[:, -1:]
     for _ in range(rounds):
         s = 1 - t
-        basis = np.stack([3 * s * s * t, 3 * s * t * t], axis=1)
-        rest = points - np.outer(s**3, points[0]) - np.outer(t**3, points[-1])
-        inner = np.linalg.lstsq(basis, rest, rcond=None)[0]
-        control = np.vstack([points[0], inner, points[-1]])
+        basis = np.stack([3 * s * s * t, 3 * s * t * t], axis=2)
+        rest = points - (s**3)[..., None] * first - (t**3)[..., None] * last
+        inner = np.linalg.pinv(basis, rcond=np.finfo(float).eps * max(n, 2)) @ rest
+        control = np.concatenate([first, inner, last], axis=1)
         gap = bezier(control, t) - points
-        worst = float(np.hypot(*gap.T).max())
-        if worst < error:
-            best, error = control, worst
-        d1 = 3 * np.diff(control, axis=0)
-        s = 1 - t
-        speed = np.stack([s * s, 2 * s * t, t * t], axis=1) @ d1
-        down = (speed**2).sum(axis=1)
-        t = np.clip(t - np.where(down > 1e-12, (gap * speed).sum(axis=1) / np.maximum(down, 1e-12), 0), 0, 1)
+        worst = np.hypot(gap[..., 0], gap[..., 1]).max(axis=1)
+        better = worst < error
+        best[better], error[better] = control[better], worst[better]
+        speed = np.stack([s * s, 2 * s * t, t * t], axis=2) @ (3 * np.diff(control, axis=1))
+        down = (speed**2).sum(axis=2)
+        t = np.clip(t - np.where(down > 1e-12, (gap * speed).sum(axis=2) / np.maximum(down, 1e-12), 0), 0, 1)
     return best, error
 
 
-def fitted_cubics(chains: DataFrame) -> DataFrame:
-    """(g, n, control, error) for chains (g, i, x, y) of at least four points."""
+def fit_cubic(points: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, float]:
+    """``fit_cubics`` for one chain."""
+    control, error = fit_cubics(np.asarray(points, float)[None], rounds)
+    return control[0], float(error[0])
+
+
+#: Points of chains that are fitted at once.
+AT_ONCE = 65_536
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("i")[["x", "y"]].to_numpy(float)
-        if len(p) < 4:
-            return pd.DataFrame({"g": [], "n": [], "control": np.zeros(0, object), "error": []})
-        control, error = fit_cubic(p)
-        return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "n": [len(p)], "control": [control.reshape(-1).tolist()], "error": [error]})
 
-    return chains.groupBy("g").applyInPandas(run, "g long, n long, control array<double>, error double")
+def _fitted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        chains = batch.column("chain")
+        size = chains.value_lengths().to_numpy(zero_copy_only=False)
+        start = chains.offsets.to_numpy()[:-1]
+        x, y = (chains.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        for n in np.unique(size[size >= 4]).tolist():
+            same, step = np.nonzero(size == n)[0], max(1, AT_ONCE // n)
+            for some in (same[k : k + step] for k in range(0, len(same), step)):
+                at = start[some][:, None] + np.arange(n)
+                control, error = fit_cubics(np.stack([x[at], y[at]], axis=2))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(some) + 1, 8), pa.int32()), pa.array(control.reshape(-1)))
+                yield pa.RecordBatch.from_pydict({"g": batch.column("g").take(pa.array(some)), "n": pa.array(np.full(len(some), n)), "control": flat, "error": pa.array(error)})
+
+
+def fitted_cubics(chains: DataFrame) -> DataFrame:
+    """(g, n, control, error) for chains (g, i, x, y) of at least four points. A chain is one row and
+    chains of one length in a batch are fitted together."""
+    point = F.struct("i", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    rows = chains.groupBy(F.col("g").cast("long").alias("g")).agg(F.array_sort(F.collect_list(point)).alias("chain")).where(F.size("chain") >= 4)
+    rows = rows.select("g", F.transform("chain", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("chain"))
+    return rows.mapInArrow(_fitted, "g long, n long, control array<double>, error double")
 
 
 def plane_fit(px: DataFrame) -> DataFrame:

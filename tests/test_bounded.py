@@ -51,3 +51,18 @@ def test_strokes_shuffle_their_vectors_alone(spark, tmp_path):
     found = plan(QUERIES["stroke_coverage"](spark, in_files(spark, str(tmp_path), "embeddings")))
     dealt = [line for line in found.splitlines() if "Exchange" in line]
     assert len(dealt) == 3 and all("REPARTITION_BY_NUM" in line and "vec_id" in line for line in dealt)
+
+
+def test_chains_of_one_length_are_fitted_together(monkeypatch):
+    calls, fit = [], G.fit_cubics
+    monkeypatch.setattr(G, "fit_cubics", lambda p, *a: calls.append(p.shape) or fit(p, *a))
+    r = random.Random(4)
+    chains = [[{"x": float(k), "y": r.uniform(0, 9)} for k in range(4 + c % 3)] for c in range(30)]
+    chains += [[{"x": 1.0, "y": 1.0}] * 5, [{"x": 0.0, "y": float(k % 2)} for k in range(6)]]
+    batch = pa.RecordBatch.from_pydict({"g": pa.array(range(32), pa.int64()), "chain": pa.array(chains, pa.list_(pa.struct({"x": pa.float64(), "y": pa.float64()})))})
+    rows = {x["g"]: x for b in G._fitted(iter([batch])) for x in b.to_pylist()}
+    assert len(calls) == 3 and len(rows) == 32
+    for g, chain in enumerate(chains):
+        control, error = G.fit_cubic(np.array([[p["x"], p["y"]] for p in chain]))
+        assert rows[g]["n"] == len(chain) and np.allclose(rows[g]["control"], control.reshape(-1)) and np.isclose(rows[g]["error"], error)
+    assert rows[30]["error"] < 1e-9
