@@ -66,3 +66,21 @@ def test_chains_of_one_length_are_fitted_together(monkeypatch):
         control, error = G.fit_cubic(np.array([[p["x"], p["y"]] for p in chain]))
         assert rows[g]["n"] == len(chain) and np.allclose(rows[g]["control"], control.reshape(-1)) and np.isclose(rows[g]["error"], error)
     assert rows[30]["error"] < 1e-9
+
+
+def test_nearest_meets_few_places_of_a_crowded_plane(spark, monkeypatch):
+    from lodestone.operators import spatial as S
+    from lodestone.sources.scratch import written
+
+    r = random.Random(9)
+    places = [(round(r.gauss(0, 1), 3), round(r.gauss(0, 1), 3)) for _ in range(600)] + [(0.5, 0.5)] * 300 + [(40.0, -3.0)]
+    points = [(k, *p) for k, p in enumerate([(round(r.gauss(0, 1), 3), round(r.gauss(0, 1), 3)) for _ in range(150)] + [(0.5, 0.5)] * 50 + [(-30.0, 9.0)])]
+    met, near = [], S._near
+    monkeypatch.setattr(S, "_near", lambda *a: met.append(near(*a).count()) or near(*a))
+    o = spark.createDataFrame([(k, *p) for k, p in enumerate(places)], "oid long, ox double, oy double")
+    found = S.nearest(spark.createDataFrame(points, "id long, x double, y double"), o, 8.0, [], lambda df: written(df, "test-nearest"))
+    rows = {x["id"]: x["oid"] for x in found.collect()}
+    expected = {k: min((round((x - u) ** 2 + (y - v) ** 2, 12), j) for j, (u, v) in enumerate(places))[1] for k, x, y in points}
+    assert rows == expected
+    # all pairs of the plane are 181,000
+    assert sum(met) < 20_000
