@@ -94,9 +94,10 @@ c AS (SELECT img_id, x, y, min(comp) AS comp FROM walk GROUP BY 1, 2, 3)
 SELECT c.img_id, CAST(comp AS BIGINT) AS comp, m.label, count(*) AS area, count(*) >= 3 AND count(*) FILTER (WHERE m.after = m.label) <= 0.3 * count(*) AS restored FROM c JOIN m ON m.img_id = c.img_id AND m.x = c.x AND m.y = c.y WHERE m.label >= 0 GROUP BY 1, 2, 3""")
 def restored_components(spark, sf):
     """Components of three pixels or more of which a majority filter leaves three tenths or less come back."""
-    px = labels(spark, sf).select("img_id", "x", "y", "label")
-    after = K.mode_filter(px).select("img_id", "x", "y", F.col("label").alias("after"))
-    c = K.components(px, False, lambda df: written(df, "erased")).join(after, ["img_id", "x", "y"]).where("label >= 0")
+    px = labels(spark, sf).select("img_id", "x", "y", "label", F.col("label").alias("own"))
+    # the filtered label comes with its pixel through the components, so that pixels are never joined
+    both = K.mode_filter(px).select("img_id", "x", "y", F.col("own").alias("label"), F.col("label").alias("after"))
+    c = K.components(both, False, lambda df: written(df, "erased")).where("label >= 0")
     n = F.count("*")
     return c.groupBy("img_id", "comp", "label").agg(n.alias("area"), ((n >= 3) & (F.count_if(F.col("after") == F.col("label")) <= 0.3 * n)).alias("restored"))
 

@@ -21,6 +21,10 @@ def dealt(rows: DataFrame, together: int, *keys: str) -> DataFrame:
     return rows.repartition(max(least, -(-rows.count() // together)), *keys)
 
 
+#: Images of 8 by 8 pixels in one task, about.
+VECTORS = 8192
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score rows in wide form: a tool is an event type, a case a quarter of a day, a corpus a week.
     Few measurements make a null; every fifth day's night has a truth that was refused."""
@@ -87,7 +91,7 @@ def pixels(spark: SparkSession, sf_dir: str, together: int = 1) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     if together > 1:
         e = e.withColumn("sheet", F.floor(F.col("vec_id") / together))
-    e = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sheet" if together > 1 else "vec_id")
+    e = dealt(e, VECTORS, "sheet" if together > 1 else "vec_id")
     low, high = F.array_min("embedding"), F.array_max("embedding")
     sheet = ["sheet"] if together > 1 else []
     e = e.select("vec_id", "label", "embedding", low.alias("low"), high.alias("high"), *sheet)
