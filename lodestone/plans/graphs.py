@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import geometry as G
+from ..operators import matching as M
 from ..operators import raster as K
 from ..operators import sequence as Q
 from ..operators import spatial as D
@@ -132,12 +133,6 @@ def _captions(spark, sf):
     return s, c
 
 
-def _caption_pairs(spark, sf):
-    s, c = _captions(spark, sf)
-    gap = F.round(F.abs(F.col("a") - F.col("b")), 2)
-    return D.within_gap(s, c, "g", "a", "b", 300).select("id", "oid", gap.alias("gap"))
-
-
 @query("""WITH RECURSIVE q AS (SELECT s_suppkey AS id, c_custkey AS oid, round(abs(s_acctbal - c_acctbal), 2) AS gap FROM supplier JOIN customer ON s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) <= 300),
 o AS (SELECT id, oid, gap, row_number() OVER (ORDER BY gap, id, oid) AS place FROM q),
 g AS (SELECT CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS ids, CAST([] AS BIGINT[]) AS oids, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS oid, CAST(NULL AS DOUBLE) AS gap
@@ -146,7 +141,7 @@ g AS (SELECT CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS ids, CAST([] AS
 SELECT id, oid, gap FROM g WHERE id IS NOT NULL""")
 def match_captions(spark, sf):
     """Greedy one-to-one matching within a gap, by ascending gap."""
-    return D.mutual_best(_caption_pairs(spark, sf), lambda df: written(df, "captions"))
+    return M.matched_on_line(*_captions(spark, sf), "g", "a", "b", 300, lambda df: written(df, "captions"))
 
 
 CHAIN = """k AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i,
