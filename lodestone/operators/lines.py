@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +20,63 @@ def _samples(curves: DataFrame, group: list[str], step: float) -> DataFrame:
     return s.withColumn("id", F.col("curve").cast("long") * 4_294_967_296 + F.col("k"))
 
 
+#: Samples of either side up to which a group is one row.
+SMALL = 1024
+
+
+def _nearest_in_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distances within groups whose samples ``a`` and ``b`` are lists, both ways, batch by batch."""
+    for batch in it:
+        start, xy = {}, {}
+        for c in "ab":
+            rows = batch.column(c)
+            start[c] = rows.offsets.to_numpy() - rows.offsets[0].as_py()
+            flat = rows.flatten()
+            xy[c] = flat, *(flat.field(n).to_numpy(zero_copy_only=False) for n in "xy")
+        (fa, ax, ay), (fb, bx, by) = xy["a"], xy["b"]
+        out = {c: np.full(len(x), np.nan) for c, x in (("a", ax), ("b", bx))}
+        for g in range(batch.num_rows):
+            i, j = (slice(start[c][g], start[c][g + 1]) for c in "ab")
+            if i.start < i.stop and j.start < j.stop:
+                away = (ax[i, None] - bx[j]) ** 2 + (ay[i, None] - by[j]) ** 2
+                out["a"][i], out["b"][j] = away.min(axis=1), away.min(axis=0)
+        for c, flat, other in (("a", fa, False), ("b", fb, True)):
+            of = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(start[c])))
+            group = {n: batch.column(n).take(of) for n in batch.schema.names if n not in ("a", "b")}
+            d = np.sqrt(np.round(out[c], 12))
+            yield pa.RecordBatch.from_pydict(group | {"other": pa.array(np.full(len(of), other)), "curve": flat.field("curve"), "k": flat.field("k"), "distance": pa.array(d, mask=np.isnan(d))})
+
+
+def mutual_distances(curves: DataFrame, others: DataFrame, group: list[str], step: float, checkpoint) -> DataFrame:
+    """(group, other, curve, k, distance): from samples of curves (group, curve, i, x, y) to the nearest
+    sample of the others in the group, and from theirs (``other``) to the nearest of the curves; null where the
+    group has none. A group with few samples is one row and settled there, so samples of curves that are
+    dealt by group are not shuffled; groups with many go through the cells of ``nearest``."""
+    a, b = (_samples(c.withColumn("curve", F.col("curve").cast("long")), group, step) for c in (curves, others))
+    n = [s.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select(*group) for s in (a, b)]
+    large = checkpoint(n[0].union(n[1]).distinct())
+    some = not large.isEmpty()
+    rows = None
+    for name, s in (("a", a), ("b", b)):
+        few = s.join(large, group, "left_anti") if some else s
+        one = few.groupBy(*group).agg(F.collect_list(F.struct("curve", "k", "x", "y")).alias(name))
+        rows = one if rows is None else rows.join(one.hint("merge"), group, "full")
+    empty = lambda c: F.coalesce(c, F.array().cast("array<struct<curve:bigint,k:bigint,x:double,y:double>>")).alias(c)
+    kinds = ", ".join(f"`{c}` {curves.schema[c].dataType.simpleString()}" for c in group)
+    found = rows.select(*group, empty("a"), empty("b")).mapInArrow(_nearest_in_rows, f"{kinds}, other boolean, curve long, k long, distance double")
+    if not some:
+        return found
+    many = [checkpoint(s.join(large, group, "left_semi")) for s in (a, b)]
+    for other, (s, to) in enumerate((many, many[::-1])):
+        o = to.select(*group, F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+        near = nearest(s.select(*group, "id", "x", "y"), o, 4 * step, group, checkpoint).select(*group, "id", "distance")
+        found = found.unionByName(s.join(near, [*group, "id"], "left").select(*group, F.lit(other == 1).alias("other"), "curve", "k", "distance"))
+    return found
+
+
 def distances(curves: DataFrame, others: DataFrame, group: list[str], step: float, checkpoint) -> DataFrame:
-    """(group, curve, k, distance): from samples of curves (group, curve, i, x, y) to the nearest sample
-    of the others in the group; null where the group has none."""
-    a, b = (checkpoint(_samples(c, group, step)) for c in (curves, others))
-    o = b.select(*group, F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    near = nearest(a.select(*group, "id", "x", "y"), o, 4 * step, group, checkpoint).select(*group, "id", "distance")
-    return a.join(near, [*group, "id"], "left").select(*group, "curve", "k", "distance")
+    """(group, curve, k, distance) of ``mutual_distances`` from curves to others alone."""
+    return mutual_distances(curves, others, group, step, checkpoint).where("not other").drop("other")
 
 
 def covered(d: DataFrame, group: list[str], step: float, tolerance: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lines as L
 from ..operators import stats as S
-from ..sources.roles import table
+from ..sources.roles import VECTORS, dealt, table
 from ..sources.scratch import written
 from .registry import query
 
@@ -24,7 +24,7 @@ ds AS MATERIALIZED (SELECT a.g, a.side, a.curve, a.k, sqrt(min(round(pow(a.x - b
 def _curves(spark, sf):
     e = F.col("embedding")
     points = F.array(*[F.struct(F.lit(i).alias("i"), *[(10 * e[2 * i + c].cast("double")).alias(n) for c, n in enumerate("xy")]) for i in range(12)])
-    p = table(spark, sf, "embeddings").select(F.col("vec_id").alias("g"), F.explode(points).alias("p")).select("g", "p.*")
+    p = dealt(table(spark, sf, "embeddings"), VECTORS, "vec_id").select(F.col("vec_id").alias("g"), F.explode(points).alias("p")).select("g", "p.*")
     return p.withColumn("curve", F.floor(F.col("i") / 6)), p.where("i % 3 <> 1").withColumn("curve", F.lit(0).cast("long"))
 
 
@@ -39,8 +39,8 @@ def line_scores(spark, sf):
     them is covered within a tolerance, in how many stretches."""
     drawn, traced = _curves(spark, sf)
     keep = lambda df: written(df, "line-scores")
-    there = keep(L.distances(traced, drawn, ["g"], 0.5, keep))
-    back = keep(L.distances(drawn, traced, ["g"], 0.5, keep))
+    d = keep(L.mutual_distances(drawn, traced, ["g"], 0.5, keep))
+    there, back = d.where("other"), d.where("not other")
     cover = L.covered(back, ["g"], 0.5, 0.4).groupBy("g").agg(F.sum("length").alias("length"), F.sum("covered").alias("covered"), F.sum("stretches").alias("stretches"))
     p95 = S.at_ranks(there, ["g"], "distance", {"p95": S.floored(0.95)})
     centre = there.groupBy("g").agg(F.avg("distance").alias("centre"))

@@ -110,3 +110,41 @@ def test_coverage_equals_a_loop(spark):
         near = [far[k] is not None and far[k] <= 0.5 for k in sorted(far) if k[:2] == (x["g"], x["curve"])]
         runs = sum(v and not (i and near[i - 1]) for i, v in enumerate(near))
         assert (x["length"], x["covered"], x["stretches"]) == ((len(near) - 1) * 0.25, (sum(near) - runs) * 0.25, runs)
+
+
+def test_distances_both_ways_of_small_and_large_groups_equal_a_loop(spark, monkeypatch):
+    import math
+    import random
+
+    from lodestone.sources.scratch import written
+
+    r = random.Random(8)
+    line = lambda g, c, n: [(g, c, i, float(i), r.uniform(0, 2)) for i in range(n)]
+    curves = line(0, 0, 5) + line(0, 1, 4) + line(1, 0, 40) + line(2, 0, 3)
+    others = line(0, 0, 6) + line(1, 0, 30) + line(3, 4, 3)
+    frame = lambda rows: spark.createDataFrame(rows, "g int, curve int, i int, x double, y double")
+    keep = lambda df: written(df, "test-distances")
+    at = lambda rows: {(x["g"], x["curve"], x["k"]): (x["x"], x["y"]) for x in L._samples(frame(rows), ["g"], 0.5).collect()}
+    a, b = at(curves), at(others)
+    expected = {}
+    for other, own, to in ((False, a, b), (True, b, a)):
+        for key, p in own.items():
+            expected[other, *key] = min((math.dist(p, q) for k, q in to.items() if k[0] == key[0]), default=None)
+    # all groups as rows, then the one with some 90 samples through cells
+    for small in (1024, 60):
+        monkeypatch.setattr(L, "SMALL", small)
+        rows = L.mutual_distances(frame(curves), frame(others), ["g"], 0.5, keep).collect()
+        found = {(x["other"], x["g"], x["curve"], x["k"]): x["distance"] for x in rows}
+        assert len(rows) == len(found) == len(expected)
+        for k, d in expected.items():
+            assert (d is None) == (found[k] is None) and (d is None or abs(found[k] - d) < 1e-5)
+
+
+def test_samples_of_curves_dealt_by_group_are_not_shuffled(spark):
+    from lodestone.plans import lines as P
+    from lodestone.sources.scratch import written
+
+    drawn, traced = P._curves(spark, "/root/testdata/sf0.001")
+    plan = L.mutual_distances(drawn, traced, ["g"], 0.5, lambda df: written(df, "test-distances"))._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange" in x]
+    assert dealt and all("REPARTITION_BY_NUM" in x for x in dealt)
