@@ -116,7 +116,7 @@ def _spread(pdf: pd.DataFrame) -> pd.DataFrame:
     return own.assign(level=out[:, 0], hops=out[:, 1], label=out[:, 2])[list(FLOODED)]
 
 
-def flooded(px: DataFrame, checkpoint, size: int = TILE, most_rounds: int = 500) -> DataFrame:
+def flooded(px: DataFrame, checkpoint, size: int = TILE, most_rounds: int = 500, most: int = TILE) -> DataFrame:
     """A flood from several seeds, lowest cost first, within areas.
 
     ``px``: (img_id, x, y, area, cost, seed). A pixel with ``seed`` of 0 or more starts with that
@@ -127,22 +127,26 @@ def flooded(px: DataFrame, checkpoint, size: int = TILE, most_rounds: int = 500)
 
     Each tile is flooded on its own, given the claims on its neighbours' borders; rounds go on until
     no claim changes. Levels and hops only fall from round to round and a claim is greater than what
-    it came from, so that end is the same as one flood of the whole image."""
+    it came from, so that end is the same as one flood of the whole image. Tiles start with ``size`` and
+    are twice as wide in each round, up to ``most``, as long as claims cross their borders: an image that fits
+    into one tile is then done at once, where tiles of one size would hand claims to and fro."""
     now = px.select(*[F.col(c).cast("long").alias(c) for c in FLOODED[:6]]).withColumns({c: F.lit(-1).cast("long") for c in FLOODED[6:]})
     schema = ", ".join(f"{c} long" for c in FLOODED)
-    x, y, mark = F.col("x"), F.col("y"), None
-    edges = ((x, 0, -1, 0), (x, size - 1, 1, 0), (y, 0, 0, -1), (y, size - 1, 0, 1))
-    to = [F.when(at % size == edge, F.struct((_tile("x", size) + dx).alias("tx"), (_tile("y", size) + dy).alias("ty"))) for at, edge, dx, dy in edges]
+    x, y, mark, most = F.col("x"), F.col("y"), None, max(size, most)
     for k in range(most_rounds):
+        edges = ((x, 0, -1, 0), (x, size - 1, 1, 0), (y, 0, 0, -1), (y, size - 1, 0, 1))
+        to = [F.when(at % size == edge, F.struct((_tile("x", size) + dx).alias("tx"), (_tile("y", size) + dy).alias("ty"))) for at, edge, dx, dy in edges]
         tile = now.withColumns({"halo": F.lit(False), "tx": _tile("x", size), "ty": _tile("y", size)})
         if k:
             halo = now.where("label >= 0").withColumn("to", F.explode(F.array_compact(F.array(*to)))).select(*now.columns, F.lit(True).alias("halo"), "to.tx", "to.ty")
             tile = tile.unionByName(halo)
         now = checkpoint(tile.groupBy("img_id", "tx", "ty").applyInPandas(_spread, schema))
+        if now.select("img_id", _tile("x", size), _tile("y", size)).distinct().groupBy("img_id").count().where("count > 1").isEmpty():
+            return now
         found = now.agg(F.bit_xor(F.xxhash64("img_id", "x", "y", "label", "level", "hops"))).first()[0]
         if found == mark:
             return now
-        mark = found
+        mark, size = found, min(2 * size, most)
     raise RuntimeError(f"claims still change after {most_rounds} rounds")
 
 

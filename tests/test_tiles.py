@@ -99,6 +99,18 @@ def test_floods_equal_one_heap(spark, seed, n, size):
     assert {k: v for k, v in found.items() if v[2] >= 0} == expected and len(found) == len(rows)
 
 
+def test_tiles_of_a_flood_grow_until_an_image_fits_into_one(spark):
+    # a path to and fro over the border at x = 8, on which tiles of one size pass the claim on once a round
+    free = {(x, y) for y in range(0, 32, 2) for x in range(16)} | {(15 if y % 4 == 1 else 0, y) for y in range(1, 31, 2)}
+    rows = [(1, x, y, 0, 0, 3 if (x, y) == (0, 0) else -1) for x, y in sorted(free)]
+    rounds = []
+    hold = lambda df: rounds.append(1) or keep(df)
+    out = T.flooded(spark.createDataFrame(rows, FLOOD), hold, 8).collect()
+    assert {r["label"] for r in out} == {3} and max(r["hops"] for r in out) == len(free) - 1 and len(rounds) <= 3
+    # where tiles may not hold the image, rounds go on to the same end
+    assert sorted(T.flooded(spark.createDataFrame(rows, FLOOD), keep, 8, most=16).collect()) == sorted(out)
+
+
 def test_a_flood_without_seeds_or_pixels(spark):
     rows = [(1, x, 0, 0, 5, -1) for x in range(3)]
     out = T.flooded(spark.createDataFrame(rows, FLOOD), keep).collect()
