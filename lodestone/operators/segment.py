@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import grid
@@ -79,38 +82,57 @@ def smoothed(px: DataFrame, weight: float = 1.0, step: float = 48.0, rounds: int
     return px.select("img_id", "x", "y", "v").groupBy("img_id").applyInPandas(run, "img_id long, x int, y int, u double")
 
 
+def _lloyd(v: np.ndarray, n: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(level, count) of up to ``k`` centres for each histogram of a stack: levels ``v`` ascending, counts
+    ``n``, zero beyond a histogram's end. A centre that is not there has a count of zero."""
+    whole = n.sum(axis=1, keepdims=True)
+    share = (np.cumsum(n, axis=1) - n / 2) / whole
+    last = (n > 0).sum(axis=1) - 1
+    each = np.arange(len(v))
+    centres = np.empty((len(v), k))
+    for i in range(k):
+        enough = (share >= (i + 0.5) / k) & (n > 0)
+        centres[:, i] = v[each, np.where(enough.any(axis=1), enough.argmax(axis=1), last)]
+    # centres ascend; one that comes again goes
+    centres[:, 1:][centres[:, 1:] == centres[:, :-1]] = np.inf
+    for _ in range(rounds + 1):
+        away, own = np.full(v.shape, np.inf), np.zeros(v.shape, dtype=np.int64)
+        for i in range(k):
+            d = np.abs(v - centres[:, i : i + 1])
+            nearer = d < away
+            away, own = np.where(nearer, d, away), np.where(nearer, i, own)
+        count = np.stack([np.where(own == i, n, 0).sum(axis=1) for i in range(k)], axis=1)
+        total = np.stack([np.where(own == i, n * v, 0).sum(axis=1) for i in range(k)], axis=1)
+        was = centres
+        centres = np.where(count > 0, total / np.where(count > 0, count, 1), np.inf)
+    return was, count
+
+
+#: Histograms that are taken at once.
+HISTOGRAMS = 2048
+
+
 def weighted_palette(px: DataFrame, k: int, rounds: int) -> DataFrame:
     """Per image at most ``k`` levels by weighted Lloyd rounds over its histogram, from the levels
     at even shares of the weight; (img_id, entry, level, count), by count. A histogram has as many
-    entries as there are levels, so an image's rounds are a fold over two small arrays."""
+    entries as there are levels, so it is one row and many are taken at once."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for batch in (whole.slice(s, HISTOGRAMS) for s in range(0, whole.num_rows, HISTOGRAMS)):
+                h = batch.column("h")
+                size, flat = h.value_lengths().to_numpy(zero_copy_only=False), h.flatten()
+                row, col = np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                v, n = np.zeros((len(size), size.max())), np.zeros((len(size), size.max()))
+                v[row, col], n[row, col] = flat.field("v").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)
+                level, count = _lloyd(v, n, k, rounds)
+                order = np.lexsort((level, -count), axis=1)
+                level, count = np.take_along_axis(level, order, axis=1), np.take_along_axis(count, order, axis=1)
+                image, entry = np.nonzero(count > 0)
+                columns = [batch.column("img_id").take(pa.array(image)), pa.array(entry), pa.array(level[image, entry]), pa.array(count[image, entry].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["img_id", "entry", "level", "count"])
+
     counts = px.groupBy("img_id", "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("img_id").orderBy("v")
-    shares = counts.withColumns({"share": F.sum("n").over(w) - F.col("n") / 2, "all": F.sum("n").over(Window.partitionBy("img_id"))})
-    entry = F.struct(F.col("v").cast("double").alias("v"), "n", (F.col("share") / F.col("all")).alias("share"))
-    h = shares.groupBy("img_id").agg(F.array_sort(F.collect_list(entry)).alias("h"))
-    hist = F.col("h")
-    places = F.array(*[F.lit((i + 0.5) / k) for i in range(k)])
-    first = F.transform(places, lambda p: F.coalesce(F.get(F.filter(hist, lambda x: x["share"] >= p), F.lit(0)), F.element_at(hist, -1))["v"])
-
-    def nearest(v: Column, centres: Column) -> Column:
-        away = F.transform(centres, lambda c: F.abs(v - c))
-        return F.array_position(away, F.array_min(away))
-
-    def groups(centres: Column) -> Column:
-        """(level, count) of each centre's entries; centres without any go."""
-        own = F.transform(hist, lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), nearest(x["v"], centres).alias("c")))
-        add = lambda rows, f: F.aggregate(rows, F.lit(0.0), lambda acc, x: acc + f(x))
-
-        def one(c: Column, i: Column) -> Column:
-            mine = F.filter(own, lambda x: x["c"] == i + 1)
-            n = add(mine, lambda x: x["n"])
-            return F.struct((add(mine, lambda x: x["n"] * x["v"]) / F.when(n > 0, n)).alias("level"), n.alias("n"), c.alias("was"))
-
-        return F.filter(F.transform(centres, one), lambda g: g["n"] > 0)
-
-    turns = F.sequence(F.lit(1), F.lit(rounds))
-    centres = F.aggregate(turns, F.array_distinct(first), lambda acc, _: F.transform(groups(acc), lambda g: g["level"]))
-    h = h.withColumn("centres", centres)
-    rows = h.select("img_id", F.explode(groups(F.col("centres"))).alias("g"))
-    place = F.row_number().over(Window.partitionBy("img_id").orderBy(F.col("g.n").desc(), "g.was")) - 1
-    return rows.select("img_id", place.cast("long").alias("entry"), F.col("g.was").alias("level"), F.col("g.n").cast("long").alias("count"))
+    entry = F.struct(F.col("v").cast("double").alias("v"), F.col("n").cast("double").alias("n"))
+    h = counts.where("v is not null").groupBy(F.col("img_id").cast("long").alias("img_id")).agg(F.array_sort(F.collect_list(entry)).alias("h"))
+    return h.mapInArrow(run, "img_id long, entry long, level double, count long")
