@@ -164,3 +164,24 @@ def test_networks_shuffle_vectors_not_pixels(spark):
 
     plan = K.cracks(labels(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_small_images_are_traced_in_batches_and_large_ones_alone(spark, monkeypatch):
+    import random
+
+    from lodestone.operators import geometry as G
+
+    r = random.Random(12)
+    images = {k: {(x, y): r.randrange(-1, 3) for x in range(n) for y in range(n)} for k, n in enumerate([3, 8, 8, 12, 1, 5])}
+    px = spark.createDataFrame([(k, x, y, v) for k, image in images.items() for (x, y), v in image.items()], "img_id long, x int, y int, label int")
+    found = []
+    for small, at_once in ((1024, 1 << 16), (64, 70), (0, 1)):
+        monkeypatch.setattr(G, "SMALL_IMAGE", small)
+        monkeypatch.setattr(G, "PIXELS_AT_ONCE", at_once)
+        df = G.traced(px, 0.0)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert ("FlatMapGroupsInArrow" in plan) == (small < 144)
+        found.append(sorted(tuple(x) for x in df.collect()))
+    assert found[0] == found[1] == found[2]
+    counts = {(k, v): list(image.values()).count(v) for k, image in images.items() for v in range(3) if v in image.values()}
+    assert {x[:2]: x[4] for x in found[0]} == counts
