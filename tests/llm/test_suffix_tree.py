@@ -132,3 +132,27 @@ def test_one_rule_for_rare_contexts_at_all_sizes(spark):
     assert tree.often == 2 + int(found[0][4] ** 0.5 / 200) == 2
     expected = sorted(by_dictionary(rows, 2, 2, 0.75)[0], key=str)
     np.testing.assert_allclose([f[5:] for f in found], [e[5:] for e in expected], rtol=1e-9)
+
+
+def test_contexts_that_come_twice_count_in_a_large_corpus(spark, tmp_path):
+    """The query looks at all contexts of up to three words that come twice, where few words of many are such."""
+    from lodestone.llm.queries import QUERIES
+
+    r = random.Random(11)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.7)) % 3000}" for _ in range(150))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1][:400] + " x" * (i % 3)) for i in range(60)] + [(2000 + i, rows[7][1]) for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((tuple(x) for x in QUERIES["op13_suffix_tree"](spark, str(tmp_path)).collect()), key=str)
+    expected, states, _, _ = by_dictionary(rows, 3, 2, 0.75)
+    expected.sort(key=str)
+    assert expected[0][4] > 40_000 and {len(c) for c in states} == {1, 2, 3} and min(states.values()) == 2
+    assert [f[:5] for f in found] == [e[:5] for e in expected]
+    np.testing.assert_allclose([f[5:] for f in found], [e[5:] for e in expected], rtol=1e-9)
+
+
+def test_hashes_are_numbered_in_order():
+    r = np.random.default_rng(1)
+    for keys in (r.integers(0, 2**64, 3000, dtype=np.uint64), r.integers(0, 40, 3000).astype(np.uint64), np.zeros(0, np.uint64)):
+        seen, which, order, first = S.numbered(keys)
+        different, number = np.unique(keys, return_inverse=True)
+        assert (seen == different).all() and (which == number).all() and (keys[order] == np.sort(keys)).all() and (keys[order[first]] == seen).all()
