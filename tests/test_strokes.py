@@ -142,3 +142,33 @@ def test_ids_are_linked_within_and_over_blocks(spark):
     whole = found(block=1000)
     assert len(seen) == 1 and whole == found() == found(block=8) == found(block=1)
     assert whole == {1: 1, 2: 1, 9: 1, 10: 1, 17: 17, 30: 17, 31: 17, 40: 40, 41: 41, 50: 50}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40, 7])
+def test_pruning_within_and_over_blocks(spark, block):
+    """Images of 40 edge numbers are pruned to their end in one pass, and otherwise as a loop does it; how
+    edges run is the same for any block."""
+    r, nodes, edges, seen = random.Random(9), {}, {}, []
+    for g in range(12):
+        mine = [100 * g + k for k in range(14)]
+        nodes |= {n: r.choice([1.0, 2.0, 4.0]) for n in mine}
+        for k in range(18):
+            a, b = r.choice(mine), r.choice([None, *mine])
+            edges[40 * g + k] = [a, b, float(r.randint(1, 12)), None, r.choice([None, 0.5, 2.0, 4.0]) if b is None else None]
+        edges |= {40 * g + 20 + k: [mine[-1] + 1 + k, mine[-1] + 1 + (k + 1) % (g + 1), 2.0, None, None] for k in range(g + 1)}
+        nodes |= {mine[-1] + 1 + k: 1.0 for k in range(g + 1)}
+    edges[1000] = [None, None, 3.0, 1.0, 1.0]
+
+    def once(df):
+        seen.append(df)
+        return keep(df)
+
+    def found(how, checkpoint):
+        schema = "id long, a long, b long, len double, tip_a double, tip_b double"
+        return S.prune_spurs(spark.createDataFrame(list(nodes.items()), "id long, r double"), spark.createDataFrame([(k, *e) for k, e in edges.items()], schema), checkpoint, block=how).collect()
+
+    out = found(block, once)
+    assert {x["id"]: (plain(x["a"], x["b"]), x["len"], x["parts"], x["closed"]) for x in out} == {k: (plain(e[0], e[1]), e[2], e[5], e[6]) for k, e in pruned_by_loop(nodes, edges).items()}
+    assert (len(seen) == 1) == (block >= 40)
+    if block < 40:
+        assert sorted(map(str, out)) == sorted(map(str, found(40, keep)))
