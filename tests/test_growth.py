@@ -72,6 +72,35 @@ def test_crossings_in_blocks_equal_a_loop(spark):
     assert plan(found).split("SortMergeJoin")[0].count("HashAggregate") == 0
 
 
+def test_segments_of_crossings_are_not_multiplied(spark):
+    """Long and short, endless, repeated and incomplete segments meet as in a loop, and go out by the block."""
+    import math
+    import random
+
+    from lodestone.operators import spatial as D
+
+    r = random.Random(8)
+    near = lambda v: v + r.uniform(-0.01, 0.01)
+    segments = [(k, *(r.uniform(-50, 50) for _ in range(4))) for k in range(60)]
+    segments += [(100 + k, x, y, near(x), near(y)) for k, (x, y) in enumerate((r.uniform(0, 0.1), r.uniform(0, 0.1)) for _ in range(120))]
+    segments += [(300, -1.0, 0.05, math.inf, 0.06), (301, 0.0, -math.inf, 0.01, math.inf), (302, 0.0, math.nan, 1.0, 1.0), (303, None, 0.0, 1.0, 1.0), (None, -9.0, -9.0, 9.0, 9.0)]
+    segments += [segments[5], (5, *segments[9][1:]), (101, *segments[0][1:])]
+
+    def side(a, x, y):
+        v = (a[3] - a[1]) * (y - a[2]) - (a[4] - a[2]) * (x - a[1])
+        return (v > 0) - (v < 0)
+
+    cross = lambda a, b: side(a, *b[1:3]) * side(a, *b[3:]) < 0 and side(b, *a[1:3]) * side(b, *a[3:]) < 0
+    whole = [s for s in segments if None not in s]
+    expected = sorted((a[0], b[0]) for a in whole for b in whole if a[0] < b[0] and cross(a, b))
+    df = spark.createDataFrame(segments, "id long, x0 double, y0 double, x1 double, y1 double")
+    assert expected and any(b == 300 for _, b in expected)
+    for block in (4, 1000):
+        found = D.crossings(df, 0.1, block=block)
+        assert "Generate" not in plan(found) and "explode" not in plan(found)
+        assert sorted(tuple(x) for x in found.collect()) == expected
+
+
 def test_no_table_of_inlined_styles_or_despeckled_pixels_is_broadcast(spark):
     for name in ("inlined_styles", "despeckle_components"):
         found = plan(QUERIES[name](spark, SF))
